@@ -45,7 +45,7 @@ def peer_weight_nano(year_gap: Column, km_gap: Column, age_days: Column) -> Colu
 
 def age_days(as_of: Column, observed_at: Column | str) -> Column:
     """Elapsed days, exact to the microsecond."""
-    micros = F.unix_micros(as_of) - F.unix_micros(col(observed_at))
+    micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(col(observed_at).cast("timestamp"))
     return micros / F.lit(86_400_000_000.0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import peer_weight_nano, required_margin, stressed_exit
+from ..functions.money import age_days, peer_weight_nano, required_margin, stressed_exit
 from ..functions.text import labels
 
 
@@ -47,9 +47,8 @@ def weighted_quantiles(
 
 def benchmark_weight(as_of: Column) -> Column:
     """Weight of a pair (target columns plain, peer columns prefixed ``p_``)."""
-    age = (F.unix_micros(as_of) - F.unix_micros("p_observed_at")) / F.lit(86_400_000_000.0)
     return peer_weight_nano(
-        F.abs(F.col("year") - F.col("p_year")), F.abs(F.col("mileage_km") - F.col("p_mileage_km")), age
+        F.abs(F.col("year") - F.col("p_year")), F.abs(F.col("mileage_km") - F.col("p_mileage_km")), age_days(as_of, "p_observed_at")
     )
 
 
