@@ -1 +1,441 @@
-"""Queries."""
+"""Claims, reviewed evidence, costs, scenarios and reviews over table-derived evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..operators import economics, evaluation, evidence, parts, predicates, quality
+from . import base as b
+from .base import query
+from .predicates import margin_sql
+
+AT = "2001-06-30 00:00:00"
+
+
+def at():
+    return F.lit(AT).cast("timestamp")
+
+
+def _identity(spark, d):
+    a = b.adverts(spark, d).select("doc_id", "title", "version_text", "fuel", "transmission", "power_hp", "power_kw", "displacement_cc", F.col("phrases").alias("description"))
+    original = F.when(
+        F.col("doc_id") % 4 < 2,
+        F.concat(F.lit('{"fuelCategory":{"formatted":"Benzina"},"rawPowerInHp":'), F.when(F.col("doc_id") % 8 < 4, "69").otherwise("75"), F.lit(',"transmissionType":"Cambio manuale"}')),
+    )
+    return a.withColumn("vehicle", F.try_parse_json(original))
+
+
+_HP = """hp as (select doc_id, case when doc_id % 4 < 2 then case when doc_id % 8 < 4 then 69 else 75 end end as s, power_hp as p,
+ case doc_id // 2 % 4 when 0 then 69 when 1 then 90 end as v0, case when doc_id % 2 = 0 then true else false end as has_v,
+ case when phrases like '%90 cv%' then true else false end as d90, case when phrases like '%69 cv%' then true else false end as d69 from adverts),
+ vals as (select doc_id, list_filter([s, p, case when has_v then v0 end, case when d90 then 90 end, case when d69 then 69 end], lambda x: x is not null) as l from hp)"""
+
+
+@query("resolve_identity_power", b.with_adverts("select doc_id, cast(l[1] as string) as value, len(l) > 0 and list_max(l) - list_min(l) > 2 as value_conflict from vals", _HP))
+def resolve_identity_power(spark, d):
+    r = evidence.resolve_identity(_identity(spark, d), "vehicle")
+    f = evidence.identity_fields(r, ["doc_id", "identity_conflicts"]).filter("field = 'power_hp'")
+    return f.select("doc_id", "value", F.array_contains("identity_conflicts", "power_hp").alias("value_conflict"))
+
+
+@query("resolve_identity_fuel", b.with_adverts("""select doc_id, case when doc_id % 4 < 2 then 'petrol' end as value, case when doc_id % 4 = 1 then 'conflict' when doc_id % 4 = 0 then 'declared' else 'missing' end as status,
+ case when doc_id % 4 = 0 then 'present' when doc_id % 4 = 1 then 'normalized_value_mismatch' else 'absent_from_source' end as recovery_status from adverts"""))
+def resolve_identity_fuel(spark, d):
+    r = evidence.resolve_identity(_identity(spark, d), "vehicle")
+    return evidence.identity_fields(r, ["doc_id"]).filter("field = 'fuel'").select("doc_id", "value", "status", "recovery_status")
+
+
+@query("identity_quality", b.with_adverts("""select 'fuel' as field, count(*) filter (doc_id % 4 < 2) as present, 0 as recovered_gaps, count(*) filter (doc_id % 4 = 1) as conflicts from adverts"""))
+def identity_quality(spark, d):
+    r = evidence.resolve_identity(_identity(spark, d), "vehicle")
+    return quality.identity_quality(evidence.identity_fields(r, ["doc_id"]).filter("field = 'fuel'"))
+
+
+@query("compatible_identity_gate", b.with_adverts("""select doc_id, doc_id % 4 = 1 as fuel_conflict from adverts"""))
+def compatible_identity_gate(spark, d):
+    r = evidence.resolve_identity(_identity(spark, d), "vehicle")
+    return r.select("doc_id", F.array_contains("identity_conflicts", "fuel").alias("fuel_conflict"))
+
+
+@query("verified_field_overlay", b.with_adverts("""select doc_id, case when doc_id % 4 = 1 then 'conflict' when doc_id % 4 = 0 and doc_id % 3 <> 1 then 'verified' when doc_id % 4 = 0 then 'declared' else 'missing' end as status from adverts"""))
+def verified_field_overlay(spark, d):
+    r = evidence.resolve_identity(_identity(spark, d), "vehicle")
+    fields = evidence.identity_fields(r, ["doc_id"]).filter("field = 'fuel'")
+    docs = b.table(spark, d, "documents")
+    proofs = docs.select(
+        "doc_id", F.lit("fuel").alias("field"), F.when(F.col("doc_id") % 3 != 1, "petrol").otherwise("diesel").alias("value"), F.lit("vin_report").alias("origin"),
+        F.lit(True).alias("verified"), F.lit("reviewer").alias("verified_by"), F.lit("https://records.example.com/1").alias("evidence_url"), F.lit("2001-01-01").cast("timestamp").alias("verified_at"),
+    )
+    return evidence.verified_overlay(fields, proofs, ["doc_id"], at()).select("doc_id", "status")
+
+
+@query("identity_evaluation", """select 'fuel' as field, count(*) as checked, count(*) filter (doc_id % 4 = 0 and quality = 1) as correct, count(*) filter (doc_id % 4 = 0 and quality = 0) as incorrect, count(*) filter (doc_id % 4 <> 0) as abstained,
+ count(*) filter (doc_id % 4 = 0 and quality = 1) / count(*) filter (doc_id % 4 = 0) as accuracy_when_answered, count(*) filter (doc_id % 4 = 0) / count(*) as coverage from labels""")
+def identity_evaluation(spark, d):
+    r = evidence.resolve_identity(_identity(spark, d), "vehicle")
+    fields = evidence.identity_fields(r, ["doc_id"]).filter("field = 'fuel'").select("doc_id", "field", "value", "status")
+    reviewed = b.table(spark, d, "labels").select("doc_id", F.lit("fuel").alias("field"), F.when(F.col("quality") == 1, "petrol").otherwise("diesel").alias("expected"))
+    return evaluation.identity_evaluation(fields, reviewed, ["doc_id"])
+
+
+# External claims: one per line item about its order; the order is the listing.
+_FIELD = "case l_linenumber % 4 when 0 then 'fuel' when 1 then 'make' when 2 then 'mileage_km' else 'generation' end"
+_VALUE = "case l_linenumber % 4 when 2 then cast(cast(l_quantity as bigint) * 1000 as string) when 0 then lower(l_linestatus) else lower(l_returnflag) end"
+_ORIGIN = "case l_suppkey % 4 when 0 then 'photo' when 1 then 'document' when 2 then 'web' else 'listing' end"
+
+
+def _claims(spark, d):
+    li = b.table(spark, d, "lineitem")
+    claims = li.select(
+        F.col("l_orderkey").alias("listing_key"), F.expr(_FIELD).alias("field"), F.expr(_VALUE).alias("value"), F.expr(_ORIGIN).alias("origin"),
+        F.array(F.concat(F.lit("https://w.example.com/"), (F.col("l_partkey") % 2).cast("string"))).alias("urls"), F.array((F.col("l_suppkey") % 7).cast("int")).alias("photo_indexes"),
+    )
+    o = b.table(spark, d, "orders")
+    visited = o.select(F.col("o_orderkey").alias("listing_key"), F.array(F.lit("https://w.example.com/1")).alias("urls"), F.lit(5).alias("n_images"), (F.col("o_orderkey") % 3 != 0).alias("web_search_performed"))
+    specs = o.select(F.col("o_orderkey").alias("listing_key"), F.lit("make").alias("field"), F.lit("a").alias("spec_value"))
+    return claims, visited, specs
+
+
+_CLAIM_REASON = """case when f = 'mileage_km' and o = 'web' then 'mileage requires numeric vehicle evidence' when o in ('photo', 'document') and ix >= 5 then 'image index unavailable'
+ when o = 'web' and (k % 3 = 0 or u = 0) then 'web evidence was not retrieved' when o = 'photo' and f = 'fuel' then 'appearance cannot identify this field' when o = 'listing' and not (f = 'make' and v = 'a') then 'claim absent from the listing' end"""
+_CL = f"cl as (select l_orderkey k, {_FIELD} f, {_VALUE} v, {_ORIGIN} o, l_suppkey % 7 ix, l_partkey % 2 u from lineitem)"
+
+
+@query("external_claim_judgement", f"with {_CL} select f as field, o as origin, coalesce({_CLAIM_REASON}, 'accepted') as reason, count(*) as n from cl group by 1, 2, 3")
+def external_claim_judgement(spark, d):
+    judged = evidence.judge_claims(*_claims(spark, d))
+    return judged.groupBy("field", "origin", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("external_claim_fusion", f"""with {_CL}, x as (select k, f, v from cl where {_CLAIM_REASON} is null and o <> 'web' union all select o_orderkey, 'make', 'a' from orders)
+ select k as listing_key, f as field, count(*) as support, min(v) <> max(v) as conflict, case when min(v) = max(v) then min(v) end as proposed from x group by 1, 2""")
+def external_claim_fusion(spark, d):
+    claims, visited, specs = _claims(spark, d)
+    return evidence.propose_specs(evidence.judge_claims(claims, visited, specs), specs)
+
+
+# Reviewed cost lines: every line item is one operating cost of its order.
+_COST_OK = "l_tax < 0.075 and l_shipdate <= timestamp '2001-06-30'"
+
+
+def _cost_lines(spark, d):
+    names = F.array(*[F.lit(n) for n in S.OPERATING_COSTS])
+    return b.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.element_at(names, F.col("l_linenumber")).alias("name"), F.floor("l_quantity").cast("bigint").alias("low_cents"),
+        F.floor(F.col("l_quantity") * 3).cast("bigint").alias("high_cents"), F.lit("EUR").alias("currency"), (F.col("l_tax") < 0.075).alias("tax_included"),
+        F.col("l_shipdate").alias("quoted_at"), F.lit("2010-01-01").cast("timestamp").alias("valid_until"), F.lit(True).alias("verified"), F.lit("reviewer").alias("verified_by"),
+        F.col("l_linenumber"),
+    )
+
+
+@query("cost_line_checks", f"select l_linenumber as line, {_COST_OK} as usable, count(*) as n from lineitem group by 1, 2")
+def cost_line_checks(spark, d):
+    return _cost_lines(spark, d).groupBy(F.col("l_linenumber").alias("line"), predicates.bounded_cost_ok(at()).alias("usable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("operating_costs", f"""select k, ok as operations_complete, case when ok then lo end as operations_low_cents, case when ok then hi end as operations_high_cents from (select l_suppkey * 7 + l_partkey % 50 as k, count(*) = 7 and count(distinct l_linenumber) = 7 and bool_and({_COST_OK}) as ok,
+ cast(sum(cast(floor(l_quantity) as bigint)) as bigint) lo, cast(sum(cast(floor(l_quantity * 3) as bigint)) as bigint) hi from lineitem group by 1)""")
+def operating_costs(spark, d):
+    lines = _cost_lines(spark, d).drop("k")
+    li = b.table(spark, d, "lineitem")
+    names = F.array(*[F.lit(n) for n in S.OPERATING_COSTS])
+    lines = li.select(
+        (F.col("l_suppkey") * 7 + F.col("l_partkey") % 50).alias("k"), F.element_at(names, F.col("l_linenumber")).alias("name"), F.floor("l_quantity").cast("bigint").alias("low_cents"),
+        F.floor(F.col("l_quantity") * 3).cast("bigint").alias("high_cents"), F.lit("EUR").alias("currency"), (F.col("l_tax") < 0.075).alias("tax_included"),
+        F.col("l_shipdate").alias("quoted_at"), F.lit("2010-01-01").cast("timestamp").alias("valid_until"), F.lit(True).alias("verified"), F.lit("reviewer").alias("verified_by"),
+    )
+    return economics.operating_costs(lines, ["k"], at())
+
+
+_ECON = """e as (select source, source_id, price_eur p, condition = 'damaged' sev, cents as p25, cents + (version_key % 7 - 3) * 20000 as low, cents + (version_key % 5 - 1) * 10000 as ceil_c, case when version_key % 9 <> 0 then mileage_km end as rep, mileage_km // 2 as op, mileage_km // 4 as hold from fresh where price_eur > 0),
+ e1 as (select *, case when least(p25, low) > 0 then case when sev then least(p25, low, ceil_c) else least(p25, low) end end as ref from e),
+ e2 as (select *, (ref * case when sev then 1500 else 1000 end + 9999) // 10000 as ss, (rep * case when sev then 4000 else 2500 end + 9999) // 10000 as rs, greatest(case when sev then 200000 else 75000 end, (rep * case when sev then 3000 else 1500 end + 9999) // 10000) as rsv0,
+   (ref * 500 + 9999) // 10000 as shock, (rep * case when sev then 2000 else 1500 end + 9999) // 10000 as rshock, case when sev then 3000 else 2500 end as rate from e1),
+ e3 as (select *, ref - ss as exit0, rep + op + rs + rsv0 + hold as base from e2),
+ e4 as (select *, exit0 - shock as exit1, base + rshock as costs, exit0 - shock - (p * 100 + base + rshock) as margin, p * 100 + base + rshock as invest, MARGIN * 100 as req from e3)""".replace("MARGIN", margin_sql("p"))
+
+
+def _econ_rows(spark, d):
+    k = F.col("version_key")
+    return b.fresh(spark, d).filter("price_eur > 0").select(
+        "source", "source_id", "observed_at", "price_eur", (F.col("condition") == "damaged").alias("severe"), F.col("cents").alias("p25_cents"),
+        (F.col("cents") + (k % 7 - 3) * 20_000).alias("lowest_reviewed_cents"), (F.col("cents") + (k % 5 - 1) * 10_000).alias("repaired_ceiling_cents"),
+        F.when(k % 9 != 0, F.col("mileage_km")).alias("repairs_high_cents"), F.floor(F.col("mileage_km") / 2).cast("bigint").alias("operations_high_cents"),
+        F.floor(F.col("mileage_km") / 4).cast("bigint").alias("holding_high_cents"),
+    )
+
+
+@query("conservative_economics", b.with_asks("""select source, source_id, ref as reference_cents, margin as margin_low_cents, invest as total_investment_cents, margin >= req as passes_margin, margin * 10000 >= invest * rate as passes_return, p <= 20000 as budget_passed from e4""", _ECON))
+def conservative_economics(spark, d):
+    e = economics.stress_scenarios(_econ_rows(spark, d))
+    return e.select("source", "source_id", "reference_cents", "margin_low_cents", "total_investment_cents", "passes_margin", "passes_return", "budget_passed")
+
+
+# The oracle finds the best offer by trying every whole amount of every price tier.
+@query("maximum_offer", b.with_asks(f"""select source, source_id, 100 * coalesce((select max(o.v) from range(1, 20001) o(v) where exit1 - (o.v * 100 + costs) >= 100 * {margin_sql('o.v')} and (exit1 - (o.v * 100 + costs)) * 10000 >= (o.v * 100 + costs) * rate), 0) as maximum_offer_cents
+ from e4 where margin is not null and hash_ok""", _ECON).replace("where margin is not null and hash_ok", "where margin is not null"))
+def maximum_offer(spark, d):
+    e = economics.stress_scenarios(_econ_rows(spark, d)).filter("margin_low_cents is not null")
+    return e.select("source", "source_id", "maximum_offer_cents")
+
+
+@query("stress_scenarios", b.with_asks("""select source, source_id, n as name, exit0 - case when s then shock else 0 end as exit_cents, p * 100 + base + case when r then rshock else 0 end as investment_cents, exit0 - case when s then shock else 0 end - (p * 100 + base + case when r then rshock else 0 end) >= req as passes_margin
+ from e4 cross join (values ('base', false, false), ('lower_resale', true, false), ('higher_repairs', false, true), ('combined_adverse', true, true)) z(n, s, r)""", _ECON))
+def stress_scenarios(spark, d):
+    e = economics.stress_scenarios(_econ_rows(spark, d))
+    return e.select("source", "source_id", F.explode("scenarios").alias("s")).select("source", "source_id", "s.name", "s.exit_cents", "s.investment_cents", "s.passes_margin")
+
+
+@query("holding_cost", """select o_orderkey as k, case when not (days between case when sev then 90 else 45 end and 730) then 'holding days out of range' when n is null or n <> 3 or nd <> 3 then 'holding categories incomplete' when not ok then 'holding rate not usable' end as issue,
+ case when days between case when sev then 90 else 45 end and 730 and n = 3 and nd = 3 and ok then day * days end as holding_high_cents from (select o_orderkey, 30 + o_custkey % 120 as days, o_orderstatus = 'F' as sev from orders)
+ left join (select l_orderkey, count(*) n, count(distinct l_linenumber) nd, bool_and(l_tax < 0.075) ok, cast(sum(cast(l_quantity as bigint)) as bigint) as day from lineitem where l_linenumber <= 3 group by 1) on l_orderkey = o_orderkey""")
+def holding_cost(spark, d):
+    plans = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 120 + 30).alias("planned_days"), (F.col("o_orderstatus") == "F").alias("severe"))
+    names = F.array(*[F.lit(n) for n in S.HOLDING_COSTS])
+    rates = _cost_lines(spark, d).filter("l_linenumber <= 3").withColumn("name", F.element_at(names, F.col("l_linenumber"))).withColumns({
+        "high_cents": F.col("low_cents"), "unit": F.lit("day"), "zero_basis": F.lit(None).cast("string"), "quoted_at": F.lit("2000-01-01").cast("timestamp"),
+    })
+    return economics.holding_cost(plans, rates, ["k"], at())
+
+
+@query("bodywork_cost", """with q as (select l_suppkey * 40 + l_partkey % 40 as k, count(*) n, cast(sum(cast(l_quantity as bigint)) as bigint) h, bool_and(l_tax < 0.075) ok, count(distinct l_linenumber) nd from lineitem where l_linenumber <= 9 group by 1)
+ select k, case when k % 11 = 0 then 'external bodyshop required' when not (n = 7 and nd = 7 and ok) then 'work lines incomplete' when k % 13 = 0 then 'totals differ from lines' end as issue, case when k % 11 <> 0 and n = 7 and nd = 7 and ok and k % 13 <> 0 then h end as bodywork_high_cents from q""")
+def bodywork_cost(spark, d):
+    li = b.table(spark, d, "lineitem")
+    k = (F.col("l_suppkey") * 40 + F.col("l_partkey") % 40).alias("k")
+    names = F.array(*[F.lit(n) for n in S.BODYWORK_LINES])
+    # Seven line numbers describe seven work lines; the last two lines are quoted with the first two.
+    base = li.select(k, F.col("l_linenumber"), F.col("l_quantity").cast("bigint").alias("amount"), (F.col("l_tax") < 0.075).alias("tax_included"))
+    pieces = F.when(F.col("l_linenumber") <= 2, F.array(
+        F.struct(F.element_at(names, F.col("l_linenumber")).alias("name"), F.col("amount").alias("c")), F.struct(F.element_at(names, F.col("l_linenumber") + 7).alias("name"), F.lit(0).cast("bigint").alias("c")),
+    )).otherwise(F.array(F.struct(F.element_at(names, F.col("l_linenumber")).alias("name"), F.col("amount").alias("c"))))
+    common = dict(
+        currency=F.lit("EUR"), quoted_at=F.lit("2000-01-01").cast("timestamp"), valid_until=F.lit("2010-01-01").cast("timestamp"), verified=F.lit(True), verified_by=F.lit("reviewer"),
+    )
+    lines = base.withColumn("x", F.explode(pieces)).select("k", "tax_included", F.col("x.name").alias("name"), F.col("x.c").alias("low_cents"), F.col("x.c").alias("high_cents")).withColumns(common)
+    quotes = base.groupBy("k").agg(F.sum("amount").alias("h")).withColumns({
+        "high_cents": F.col("h") + F.when(F.col("k") % 13 == 0, 1).otherwise(0), "low_cents": F.col("h"), "provider_type": F.when(F.col("k") % 11 == 0, "in_house").otherwise("external_bodyshop"),
+        "provider_name": F.lit("shop"), "tax_included": F.lit(True), "scope_complete": F.lit(True), "fixed_scope": F.lit(True), **common,
+    })
+    return economics.bodywork_cost(quotes, lines, ["k"], at())
+
+
+@query("damage_severity", b.with_adverts(f"""select doc_id, case when sev then 'severe' when ok and assess in ('none', 'minor', 'moderate') then case when condition = 'damaged' and assess = 'none' then 'unknown' else assess end else 'unknown' end as severity,
+ sev or (condition = 'damaged' and (not ok or assess = 'none')) as severe_controls_required from (select *, damage_severity = 'severe' or {b.declared_sql("lower(concat(title, ' ', description))", r"gravemente incidentat\w*|telaio (?:piegato|deformato|danneggiato)|airbag\w* (?:scoppiat\w*|esplos\w*|deployed)|alluvionat\w*|incendiat\w*")} as sev,
+ case doc_id % 3 when 0 then 'none' when 1 then 'minor' else 'moderate' end as assess, doc_id % 4 <> 0 as ok from adverts)"""))
+def damage_severity(spark, d):
+    a = b.adverts(spark, d).withColumns({
+        "damage_indicators": F.lit(None).cast("array<string>"), "inspection_severity": F.lit(None).cast("string"),
+        "assessment_severity": F.expr("case doc_id % 3 when 0 then 'none' when 1 then 'minor' else 'moderate' end"), "assessment_ok": F.col("doc_id") % 4 != 0,
+    })
+    return economics.damage_severity(a).select("doc_id", "severity", "severe_controls_required")
+
+
+def _checked(rows, ok):
+    return rows.withColumns({
+        "verified": F.lit(True), "verified_by": F.lit("reviewer"), "evidence_url": F.lit("https://records.example.com/1"),
+        "checked_at": F.when(ok, F.lit("2001-06-20").cast("timestamp")).otherwise(F.lit("2001-01-01").cast("timestamp")),
+    })
+
+
+@query("technical_risk", """with c as (select l_orderkey k, count(distinct l_linenumber) filter (l_tax < 0.075 and l_linenumber <= 7) n, count(*) filter (l_returnflag = 'R' and not (l_discount < 0.05)) bad, count(*) filter (l_returnflag = 'R' and l_discount < 0.05 and l_linestatus <> 'F') open from lineitem group by 1)
+ select o_orderkey as k, array_to_string(list_filter([case when o_custkey % 4 = 0 then 'severity_review_required' end, case when o_orderstatus = 'F' and coalesce(n, 0) < 7 then 'collision_checks_unresolved' end, case when bad > 0 then 'model_risk_report_requires_correction' end,
+  case when open > 0 then 'model_inspection_unresolved' end, case when o_custkey % 5 = 0 then 'variant_risk_review_missing' end], lambda x: x is not null), ',') as blockers from orders left join c on k = o_orderkey""")
+def technical_risk(spark, d):
+    o, li = b.table(spark, d, "orders"), b.table(spark, d, "lineitem")
+    severity = o.select(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("severe_controls_required"), (F.col("o_custkey") % 4 != 0).alias("assessment_ok"))
+    names = F.array(*[F.lit(n) for n in S.COLLISION_CHECKS])
+    checks = _checked(li.select(F.col("l_orderkey").alias("k"), F.element_at(names, F.col("l_linenumber")).alias("check"), F.lit(True).alias("passed"), F.lit("fine").alias("findings"), "l_tax"), F.col("l_tax") < 0.075)
+    risks = _checked(li.filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("k"), (F.col("l_discount") < 0.05).alias("specifications_match"), F.lit("f").alias("finding"), F.lit("c").alias("required_check"), (F.col("l_linestatus") == "F").alias("vehicle_check_passed"),
+    ), F.lit(True))
+    reviews = _checked(o.filter(F.col("o_custkey") % 5 != 0).select(
+        F.col("o_orderkey").alias("k"), F.lit(True).alias("coverage_complete"), F.lit(True).alias("specifications_match"), F.array(F.lit("a"), F.lit("b")).alias("sources_consulted"),
+    ), F.lit(True))
+    return economics.technical_risk(severity, checks, risks, reviews, ["k"], at()).select("k", F.array_join("risk_blockers", ",").alias("blockers"))
+
+
+@query("independent_review", """select o_orderkey as k, array_to_string(list_filter([case when o_orderstatus = 'P' then 'pending' end, case when not (o_custkey % 3 <> 0 and o_custkey % 2 = 0) then 'distinct_reviewer_required' end,
+ case when o_custkey % 3 <> 0 and o_custkey % 2 = 0 and o_custkey % 4 <> 0 then 'recomputed_economics_not_confirmed' end], lambda x: x is not null), ',') as blockers from orders""")
+def independent_review(spark, d):
+    o = b.table(spark, d, "orders")
+    candidates = o.select(
+        F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "P", F.array(F.lit("pending"))).otherwise(F.array().cast("array<string>")).alias("own"),
+        F.lit(100).cast("bigint").alias("margin_low_cents"), F.lit(900).cast("bigint").alias("total_investment_cents"), F.array(F.lit("first")).alias("primary_reviewers"),
+    )
+    att = _checked(o.select(
+        F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3 != 0).alias("passed"), F.lit("ok").alias("rationale"), F.lit(900).cast("bigint").alias("total_investment_cents"),
+        F.when(F.col("o_custkey") % 4 == 0, 100).otherwise(101).cast("bigint").alias("margin_low_cents"), "o_custkey",
+    ), F.lit(True)).withColumns({"verified_by": F.when(F.col("o_custkey") % 2 == 0, "second").otherwise("first"), "checked_at": F.lit("2001-06-29 12:00:00").cast("timestamp")})
+    out = economics.independent_review(["own"], candidates, att, ["k"], at())
+    return out.select("k", F.array_join("review_blockers", ",").alias("blockers"))
+
+
+@query("repair_quote_totals", """with q as (select l_orderkey k, list_sort(list(cast(l_linenumber as string))) ids, bool_and(l_tax < 0.075) ok, cast(sum(cast(l_quantity as bigint)) as bigint) lo, cast(sum(cast(l_quantity as bigint) * 3) as bigint) hi from lineitem group by 1),
+ r as (select o_orderkey k, case o_custkey % 3 when 0 then [] when 1 then ['1', '2'] else ['1', '2', '3'] end::varchar[] need from orders)
+ select r.k, len(need) = 0 or coalesce(ok and ids = need, false) as repairs_complete, case when len(need) = 0 then 0 when ok and ids = need then lo end as repairs_low_cents, case when len(need) = 0 then 0 when ok and ids = need then hi end as repairs_high_cents from r left join q on q.k = r.k""")
+def repair_quote_totals(spark, d):
+    quotes = _cost_lines(spark, d).withColumns({"repair_id": F.col("l_linenumber").cast("string"), "scope": F.lit("parts_and_labor"), "quoted_at": F.lit("2000-01-01").cast("timestamp")})
+    need = F.when(F.col("o_custkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("o_custkey") % 3 == 1, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.lit("1"), F.lit("2"), F.lit("3")))
+    required = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), need.alias("required_repairs"))
+    return economics.repair_quotes_total(required, quotes, ["k"], at())
+
+
+@query("cost_scenario", b.with_asks("""select source, source_id, mileage_km // 2 + mileage_km // 4 as total_cost_low_cents, mileage_km + mileage_km // 2 as total_cost_high_cents, cents - price_eur * 100 - (mileage_km + mileage_km // 2) as scenario_low_cents from fresh where cents % 100 = 0"""))
+def cost_scenario(spark, d):
+    half, quarter = F.floor(F.col("mileage_km") / 2).cast("bigint"), F.floor(F.col("mileage_km") / 4).cast("bigint")
+    f = b.fresh(spark, d).filter("cents % 100 = 0").withColumns({
+        "operations_low_cents": quarter, "operations_high_cents": half, "repairs_low_cents": half, "repairs_high_cents": F.col("mileage_km"),
+        "p25_eur": F.floor(F.col("cents") / 100).cast("bigint"), "p75_eur": F.floor(F.col("cents") / 50).cast("bigint"),
+    })
+    return economics.cost_scenario(f).select("source", "source_id", "total_cost_low_cents", "total_cost_high_cents", "scenario_low_cents")
+
+
+_PAIR = """pairs as (select t.source, t.source_id, p.source p_source, p.source_id p_source_id, p.price_eur, p.observed_at from fresh t join fresh p on t.make = p.make and t.seller_type = p.seller_type and abs(t.year - p.year) <= 1 and abs(t.mileage_km - p.mileage_km) <= 20000
+ and (t.source <> p.source or t.source_id <> p.source_id) where p.price_kind = 'total'),
+ revd as (select * from (select *, row_number() over (partition by source, source_id, cast(p_source_id as bigint) % 500 order by p_source, p_source_id) rn from pairs where observed_at >= timestamp '2001-06-16' and cast(p_source_id as bigint) % 5 <> 0) where rn = 1)"""
+
+
+def _reviewed_pairs(spark, d):
+    from ..operators import peers
+    from .joins import _NARROW, b_pool
+
+    f = b.fresh(spark, d)
+    pairs = peers.strict_comparables(f.select(*_NARROW, F.lit("none").alias("vehicle_id")), f.filter(b_pool()).select(*_NARROW, "observed_at"), keys=("make", "seller_type"))
+    key = F.col("p_source_id").cast("bigint")
+    proofs = _checked(pairs.select(
+        "source", "source_id", "p_source", "p_source_id", "p_observed_at", (key % 500).cast("string").alias("comparable_vehicle_id"), (key % 5 != 0).alias("specifications_verified"),
+        (F.col("p_price_eur") * 100).alias("price_cents"),
+    ), F.lit(True))
+    return economics.reviewed_comparables(pairs, proofs, at(), ["source", "source_id"])
+
+
+@query("comparable_audit", b.with_asks("select source, source_id, count(*) as accepted_count, min(price_eur) as lowest_eur, count(*) >= 2 as enough from revd group by 1, 2", _PAIR))
+def comparable_audit(spark, d):
+    return _reviewed_pairs(spark, d).groupBy("source", "source_id").agg(
+        F.count(F.lit(1)).alias("accepted_count"), F.min("p_price_eur").alias("lowest_eur"), (F.count(F.lit(1)) >= 2).alias("enough")
+    )
+
+
+@query("repaired_history_ceiling", """select k, count(*) as repaired_count, case when count(*) >= 8 then cast(quantile_disc(c, 0.25) as bigint) end as repaired_ceiling_cents from (select l_suppkey k, l_partkey v, min(cast(round(l_extendedprice * 100) as bigint)) c from lineitem where l_returnflag = 'R' and l_linenumber <> 5 group by 1, 2) group by k""")
+def repaired_history_ceiling(spark, d):
+    rows = b.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("k"), F.col("l_partkey").cast("string").alias("comparable_vehicle_id"), F.when(F.col("l_returnflag") == "R", "severe").otherwise("minor").alias("prior_damage_severity"),
+        F.lit(True).alias("repair_history_disclosed"), (F.col("l_linenumber") != 5).alias("p_active"), F.lit("total").alias("p_price_kind"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price_cents"),
+    )
+    return economics.repaired_ceiling(rows, ["k"])
+
+
+def _plan_offers(spark, d):
+    li = b.table(spark, d, "lineitem")
+    parts_t = li.filter("l_linenumber <= 3").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("part_id"), F.col("l_linenumber").cast("string").alias("repair_id"), F.lit("x").alias("part_number"), F.lit(1).alias("quantity"),
+    ).distinct()
+    offers = _checked(li.select(
+        F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 3 + 1).cast("string").alias("part_id"), F.lit(True).alias("fitment_confirmed"), (F.col("l_returnflag") != "R").alias("available"), F.lit("x").alias("offer_part_number"),
+        F.lit("original").alias("tier"), F.lit("new").alias("condition"), F.lit(1).alias("quantity_covered"), F.lit(True).alias("shipping_included"), F.lit(True).alias("deposit_included"), F.lit("EUR").alias("currency"),
+        F.lit(True).alias("tax_included"), F.lit("2000-01-01").cast("timestamp").alias("quoted_at"), F.lit("2010-01-01").cast("timestamp").alias("valid_until"), F.lit(1).cast("bigint").alias("low_cents"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("high_cents"), F.col("l_suppkey").cast("string").alias("seller"),
+    ), F.lit(True)).withColumn("checked_at", F.lit("2001-06-25").cast("timestamp"))
+    return parts_t, offers
+
+
+_PLAN = """pp as (select distinct l_orderkey k, cast(l_linenumber as string) part_id from lineitem where l_linenumber <= 3), oo as (select l_orderkey k, cast(l_linenumber % 3 + 1 as string) part_id, l_returnflag <> 'R' ok, cast(round(l_extendedprice * 100) as bigint) c, cast(l_suppkey as string) s from lineitem),
+ pl as (select k, part_id, count(*) filter (ok) as accepted_offers, count(*) filter (not ok) as rejected_offers, min(c) filter (ok) as cheapest_all_in_cents from pp join oo using (k, part_id) group by 1, 2)"""
+
+
+@query("plan_parts", f"with {_PLAN} select * from pl")
+def plan_parts(spark, d):
+    p, o = _plan_offers(spark, d)
+    return parts.plan_parts(p, o, ["k"], at()).drop("repair_id", "cheapest_seller")
+
+
+@query("plan_labour", """with op as (select l_orderkey k, l_linenumber n, cast(l_quantity as bigint) lo, cast(l_quantity as bigint) * 2 hi, case when l_linenumber <= 2 then 'g' end g from lineitem),
+ gr as (select k, count(*) m, min(lo) s from op where g is not null group by 1), t as (select k, count(*) operations, cast(sum(hi) as bigint) total_minutes from op group by 1),
+ c as (select k, m >= 2 and k % 3 <> 0 and k % 20 <= s as valid, m >= 2 and not (k % 3 <> 0 and k % 20 <= s) as open from gr)
+ select t.k, operations, total_minutes, case when not coalesce(open, false) then total_minutes - case when coalesce(valid, false) then t.k % 20 else 0 end end as effective_minutes from t left join c on c.k = t.k""")
+def plan_labour(spark, d):
+    op = b.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("repair_id"), F.col("l_quantity").cast("bigint").alias("low_minutes"), (F.col("l_quantity").cast("bigint") * 2).alias("high_minutes"),
+        F.when(F.col("l_linenumber") <= 2, "g").alias("shared_group"),
+    )
+    credits = b.table(spark, d, "orders").filter(F.col("o_orderkey") % 3 != 0).select(F.col("o_orderkey").alias("k"), F.lit("g").alias("shared_group"), (F.col("o_orderkey") % 20).alias("minutes"))
+    return parts.plan_labour(op, credits, ["k"]).select("k", "operations", "total_minutes", "effective_minutes")
+
+
+@query("repair_plan", f"""with {_PLAN}, q as (select l_orderkey k, cast(l_linenumber as string) part_id, count(*) n, max(cast(round(l_extendedprice * 200) as bigint)) h from lineitem group by 1, 2),
+ pr as (select pl.k, sum(cheapest_all_in_cents) pc, count(*) filter (cheapest_all_in_cents is null) un, count(*) filter (not coalesce(q.n = 1 and q.h >= cheapest_all_in_cents, false)) us from pl left join q using (k, part_id) group by 1)
+ select o_orderkey as k, cast(pc as bigint) as parts_cents, coalesce(un, 1) > 0 as unpriced, coalesce(us, 1) > 0 as understated from orders left join pr on pr.k = o_orderkey""")
+def repair_plan(spark, d):
+    p, o = _plan_offers(spark, d)
+    planned = parts.plan_parts(p, o, ["k"], at())
+    li = b.table(spark, d, "lineitem")
+    quotes = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("repair_id"), F.round(F.col("l_extendedprice") * 200).cast("bigint").alias("high_cents"))
+    labour = parts.plan_labour(
+        li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("repair_id"), F.lit(1).alias("low_minutes"), F.lit(2).alias("high_minutes"), F.lit(None).cast("string").alias("shared_group")),
+        b.table(spark, d, "orders").filter("false").select(F.col("o_orderkey").alias("k"), F.lit("g").alias("shared_group"), F.lit(0).alias("minutes")), ["k"],
+    )
+    required = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.array(F.lit("1")).alias("required_repairs"))
+    out = parts.repair_plan(required, planned, labour, quotes, ["k"])
+    return out.select(
+        "k", F.col("parts_cents").cast("bigint").alias("parts_cents"), F.array_contains("plan_blockers", "parts_without_complete_offer").alias("unpriced"),
+        F.array_contains("plan_blockers", "quote_understates_parts").alias("understated"),
+    )
+
+
+@query("researched_offers", """select case when l_partkey % 3 = 0 then 'product url was not consulted' when l_linenumber = 7 then 'compatibility explanation missing' when l_suppkey % 2 = 0 then 'required compatibility check unresolved' else 'accepted' end as reason, count(*) as n from lineitem group by 1""")
+def researched_offers(spark, d):
+    li = b.table(spark, d, "lineitem")
+    check = F.struct(F.lit("side").alias("requirement"), (F.col("l_suppkey") % 2 != 0).alias("matches"), F.lit("page").alias("evidence"))
+    offers = li.select(
+        F.col("l_orderkey").alias("request_id"), F.col("l_orderkey").alias("part_id"), F.concat(F.lit("https://p.example.com/"), F.when(F.col("l_partkey") % 3 == 0, "x").otherwise("y")).alias("url"),
+        F.when(F.col("l_linenumber") != 7, "fits").alias("fitment_basis"), F.array(check).alias("compatibility"),
+    )
+    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"))
+    visited = o.withColumn("urls", F.array(F.lit("https://p.example.com/y")))
+    requests = o.withColumn("part_id", F.col("request_id")).withColumn("requirements", F.create_map(F.lit("side"), F.lit("left")))
+    out = parts.researched_offers(offers, visited, requests)
+    return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("damage_scope", """select case when l_returnflag = 'N' then 'needs a valid origin, finding and photo references' when l_linestatus = 'F' and l_suppkey % 8 >= 5 then 'needs a valid origin, finding and photo references' when l_linestatus = 'F' and l_suppkey % 8 = 0 then 'visible damage requires a photo' else 'accepted' end as reason, count(*) as n from lineitem group by 1""")
+def damage_scope(spark, d):
+    li = b.table(spark, d, "lineitem")
+    ix = (F.col("l_suppkey") % 8).cast("int")
+    photos = F.when((F.col("l_linestatus") != "F") | (ix == 0), F.array().cast("array<int>")).otherwise(F.array(ix))
+    obs = li.select(
+        F.col("l_orderkey").alias("k"), F.when(F.col("l_returnflag") == "N", "rumour").when(F.col("l_linestatus") == "F", "photo").otherwise("inspection").alias("origin"), F.lit("dent").alias("finding"), photos.alias("photo_indexes"),
+    )
+    work = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("repair_id"), F.lit("necessary").alias("category"), F.lit("why").alias("explanation"))
+    listings = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(5).alias("n_images"), F.array(F.lit("1"), F.lit("2")).alias("required_repairs"))
+    checked, _ = evidence.damage_scope(obs, work, listings, ["k"])
+    return checked.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("work_classification", """select l_linenumber <= 2 and l_tax < 0.075 as accepted, count(*) as n from lineitem group by 1""")
+def work_classification(spark, d):
+    li = b.table(spark, d, "lineitem")
+    work = li.select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("repair_id"), F.when(F.col("l_tax") < 0.075, "cosmetic").otherwise("optional").alias("category"), F.lit("why").alias("explanation")
+    )
+    obs = li.filter("false").select(F.col("l_orderkey").alias("k"), F.lit("photo").alias("origin"), F.lit("x").alias("finding"), F.array(F.lit(0)).alias("photo_indexes"))
+    listings = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(5).alias("n_images"), F.array(F.lit("1"), F.lit("2")).alias("required_repairs"))
+    return evidence.damage_scope(obs, work, listings, ["k"])[1].groupBy("accepted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("document_checks", """select l_tax < 0.075 and l_shipdate between timestamp '2001-05-31' and timestamp '2001-06-30' as usable, count(*) as n from lineitem group by 1""")
+def document_checks(spark, d):
+    rows = _checked(b.table(spark, d, "lineitem"), F.lit(True)).withColumns({"checked_at": F.col("l_shipdate").cast("timestamp"), "verified": F.col("l_tax") < 0.075})
+    return rows.groupBy(predicates.document_ok(at(), 30).alias("usable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("verified_identity", b.with_asks("""select source, source_id from fresh where version_key % 3 = 0 and mileage_km > 40000"""))
+def verified_identity(spark, d):
+    f = b.fresh(spark, d).withColumn("vehicle_id", F.col("source_id"))
+    proofs = _checked(f.filter("version_key % 3 = 0").select("source", "source_id", "observed_at", "vehicle_id", "mileage_km"), F.lit(True)).withColumns({
+        "verified_at": F.lit("2001-06-01").cast("timestamp"), "verified": F.col("mileage_km") > 40_000,
+    })
+    return predicates.verified_identity(f, proofs, at()).select("source", "source_id")
+
+

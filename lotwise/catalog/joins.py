@@ -1 +1,200 @@
-"""Queries."""
+"""Comparable joins, anti and semi joins, lookups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import identity as ident, text as tx
+from ..operators import dedup, peers
+from . import base as b
+from .base import query
+
+NOT_SELF = "(t.source <> p.source or t.source_id <> p.source_id)"
+
+
+def near_sql(years: int, km: int) -> str:
+    return f"abs(t.year - p.year) <= {years} and abs(t.mileage_km - p.mileage_km) <= {km}"
+
+
+def tolerant_sql(*names: str) -> str:
+    return " and ".join(f"(t.{n} is null or p.{n} is null or t.{n} = p.{n})" for n in names)
+
+
+POOL = "price_kind = 'total'"
+SUMMARY = "count(*) as peer_count, min(p.price_eur) as low_eur, cast(sum(p.price_eur) as bigint) as sum_eur"
+
+
+def _summary(pairs, *keys):
+    return pairs.groupBy(*(keys or ("source", "source_id"))).agg(
+        F.count(F.lit(1)).alias("peer_count"), F.min("p_price_eur").alias("low_eur"), F.sum("p_price_eur").alias("sum_eur")
+    )
+
+
+_NARROW = ("source", "source_id", "make", "model", "transmission", "seller_type", "generation", "province", "fuel", "year", "mileage_km", "price_eur")
+
+
+@query("comparables_strict", b.with_asks(f"""select t.source, t.source_id, {SUMMARY} from fresh t join fresh p on t.source = p.source and t.make = p.make and t.model = p.model
+  and t.transmission = p.transmission and t.seller_type = p.seller_type and {near_sql(1, 20000)} and {NOT_SELF} where p.{POOL} group by 1, 2"""))
+def comparables_strict(spark, d):
+    f = b.fresh(spark, d).select(*_NARROW, "price_kind")
+    pairs = peers.strict_comparables(f, f.filter(b_pool()), keys=("source", "make", "model", "transmission", "seller_type"))
+    return _summary(pairs)
+
+
+def b_pool():
+    return F.col("price_kind") == "total"
+
+
+@query("comparable_pairs", b.with_asks(f"""select t.source, t.source_id, p.source as p_source, p.source_id as p_source_id from fresh t join fresh p on t.source = p.source and t.make = p.make and t.model = p.model
+  and t.generation = p.generation and {near_sql(1, 20000)} and {NOT_SELF} where p.{POOL}"""))
+def comparable_pairs(spark, d):
+    f = b.fresh(spark, d).select(*_NARROW, "price_kind")
+    return peers.strict_comparables(f, f.filter(b_pool()), keys=("source", "make", "model", "generation")).select("source", "source_id", "p_source", "p_source_id")
+
+
+@query("benchmark_pool", b.with_asks(f"""select t.source, t.source_id, {SUMMARY} from fresh t join fresh p on t.make = p.make and t.province = p.province and t.seller_type = p.seller_type
+  and {near_sql(1, 20000)} and {NOT_SELF} and {tolerant_sql('fuel')} where p.{POOL} and p.condition = 'undamaged' group by 1, 2"""))
+def benchmark_pool(spark, d):
+    f = b.fresh(spark, d)
+    pool = f.filter(b_pool() & (F.col("condition") == "undamaged")).select(*_NARROW)
+    return _summary(peers.benchmark_pairs(f.select(*_NARROW), pool, match=("make", "province", "seller_type"), tolerant=("fuel",)))
+
+
+_BROAD = """broad as (select make, model, 'clean' as damage_group, year, mileage_km, price_eur, city, fuel, transmission, generation, body_type, displacement_cc, power_hp, source, source_id from fresh where price_kind = 'total')"""
+_BROAD_ON = f"""t.make = p.make and t.model = p.model and {near_sql(3, 60000)} and {NOT_SELF} and {tolerant_sql('fuel', 'transmission', 'generation', 'body_type')}
+ and (t.displacement_cc is null or p.displacement_cc is null or abs(t.displacement_cc - p.displacement_cc) <= 50)
+ and (t.power_hp is null or p.power_hp is null or abs(t.power_hp - p.power_hp) <= greatest(3.0, least(t.power_hp, p.power_hp) * 0.1))"""
+
+
+def _broad(spark, d):
+    return b.fresh(spark, d).filter(b_pool()).withColumn("damage_group", F.lit("clean")).select(*peers.BROAD_CELL, "source", "source_id", "observed_at")
+
+
+@query("broad_peers", b.with_asks(f"""select t.source, t.source_id, count(distinct (p.year, p.mileage_km, p.price_eur, coalesce(p.city, ''))) as comparable_count, min(p.price_eur) as asking_low_eur
+  from broad t join broad p on {_BROAD_ON} group by 1, 2""", _BROAD))
+def broad_peers(spark, d):
+    rows = _broad(spark, d)
+    cells = peers.advert_cells(rows)
+    offers = peers.broad_peer_cells(cells).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("comparable_count"), F.min("p_price_eur").alias("asking_low_eur")
+    )
+    return rows.withColumn("cell", F.xxhash64(*peers.BROAD_CELL)).join(offers, "cell").select("source", "source_id", "comparable_count", "asking_low_eur")
+
+
+_VARIANT_ON = """(t.version_text is not null or p.version_text is not null) and t.version_text = p.version_text
+  or t.version_text is null and p.version_text is null and t.generation = p.generation and t.trim = p.trim
+  or t.version_text <> p.version_text and t.power_hp = p.power_hp and t.displacement_cc = p.displacement_cc and t.version_text = p.version_text"""
+
+
+@query("strict_variant_peers", b.with_asks(f"""select t.source, t.source_id, {SUMMARY} from fresh t join fresh p on t.make = p.make and t.transmission = p.transmission and {near_sql(2, 40000)} and {NOT_SELF}
+  and {tolerant_sql('generation', 'trim', 'power_hp', 'displacement_cc', 'body_type')} and ({_VARIANT_ON}) where p.{POOL} group by 1, 2"""))
+def strict_variant_peers(spark, d):
+    f = b.fresh(spark, d).withColumns({
+        "version": tx.squash("version_text"), "signature": ident.version_signature(F.col("version_text"), F.col("model"), F.col("year")),
+    }).select("source", "source_id", "make", "transmission", "generation", "trim", "power_hp", "displacement_cc", "body_type", "version", "signature", "year", "mileage_km", "price_eur", "price_kind")
+    fields = ("generation", "trim", "power_hp", "displacement_cc", "body_type")
+    pairs = peers.band_join(f, f.filter(b_pool()), ["make", "transmission"], {"year": 2, "mileage_km": 40_000}, peers.not_self() & peers.same_variant(fields))
+    return _summary(pairs)
+
+
+_TP_ON = f"""t.make = p.make and t.model = p.model and abs(t.year - p.year) <= 1 and {tolerant_sql('fuel', 'generation')}
+ and (t.power_hp is null or p.power_hp is null or abs(t.power_hp - p.power_hp) <= greatest(3.0, least(t.power_hp, p.power_hp) * 0.1))
+ and (t.displacement_cc is null or p.displacement_cc is null or abs(t.displacement_cc - p.displacement_cc) <= 50)
+ and t.sport = p.sport and (t.body is null or p.body is null or t.body = p.body) and not (t.drive is not null and p.drive is null)
+ and not (coalesce(t.body, '') = 'wagon' and coalesce(p.body, '') <> 'wagon')
+ and (t.litres is null or p.litres is null or abs(t.litres - p.litres) <= 0.05)"""
+_TP = """tp as (select *, case when x like '%touring%' or x like '% sw%' then 'wagon' else body_type end as body, case when x like '%quattro%' then 'awd' end as drive,
+ case when x like '%abarth%' then 'abarth' when x like '%gti%' then 'gti' when x like '%amg%' then 'amg' else '' end as sport,
+ cast(nullif(regexp_extract(x, '(?:^|[^0-9.])([1-6][.][0-9])(?:$|[^0-9])', 1), '') as double) as litres from (select *, lower(title) as x from fresh))"""
+
+
+def _third(spark, d):
+    f = b.fresh(spark, d)
+    return f.withColumns({
+        "variant": ident.variant(F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("drivetrain"), F.col("body_type")),
+        "family_make": F.col("make"), "family_model": F.col("model"), "transmission": F.lit(None).cast("string"),
+    }).select("source", "source_id", "variant", "family_make", "family_model", "fuel", "transmission", "generation", "power_hp", "displacement_cc", "year", "mileage_km", "price_eur", "price_kind")
+
+
+@query("third_party_peers", b.with_asks(f"""select t.source, t.source_id, {SUMMARY} from tp t join tp p on {_TP_ON} and abs(t.mileage_km - p.mileage_km) <= 20000
+  where t.source = 'a' and p.source <> 'a' and p.{POOL} group by 1, 2""", _TP))
+def third_party_peers(spark, d):
+    f = _third(spark, d)
+    targets = f.filter("source = 'a'").withColumn("mileage_options", F.array("mileage_km"))
+    return _summary(peers.third_party_pairs(targets, f.filter((F.col("source") != "a") & b_pool())))
+
+
+@query("mileage_hypothesis_peers", b.with_asks(f"""select t.source, t.source_id, {SUMMARY} from tp t join tp p on {_TP_ON}
+  and (abs(t.mileage_km - p.mileage_km) <= 20000 or abs(cast(floor(t.mileage_km * 1.609344) as bigint) - p.mileage_km) <= 20000)
+  where t.source = 'a' and p.source <> 'a' and p.{POOL} group by 1, 2""", _TP))
+def mileage_hypothesis_peers(spark, d):
+    f = _third(spark, d)
+    options = peers.mileage_hypotheses(F.lit(None).cast("bigint"), F.col("mileage_km").cast("double"))
+    targets = f.filter("source = 'a'").withColumn("mileage_options", options)
+    return _summary(peers.third_party_pairs(targets, f.filter((F.col("source") != "a") & b_pool())))
+
+
+@query("vehicle_cohort_or_self", b.with_asks("""select t.source, t.source_id, count(*) as candidates from fresh t join fresh p on (t.vin = p.vin or (t.make = p.make and t.model = p.model and t.year = p.year and t.mileage_km = p.mileage_km)
+  or (t.source = p.source and t.source_id = p.source_id)) group by 1, 2""").replace("select * from latest where active", "select *, source_id as vin from latest where active"))
+def vehicle_cohort_or_self(spark, d):
+    f = b.fresh(spark, d).withColumn("vehicle_id", F.col("source_id")).select("source", "source_id", "vehicle_id", "make", "model", "year", "mileage_km")
+    return peers.vehicle_cohort_or_self(f, f, ("make", "model", "year", "mileage_km")).groupBy("source", "source_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+@query("semi_join_gate", "select o_orderkey, o_orderstatus from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
+def semi_join_gate(spark, d):
+    returned = b.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return b.table(spark, d, "orders").join(returned, "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
+
+
+@query("anti_join_gate", "select o_orderkey, o_orderstatus from orders o where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
+def anti_join_gate(spark, d):
+    returned = b.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return b.table(spark, d, "orders").join(returned, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
+
+
+_LINKS = """links as (select distinct page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as photo from pages)"""
+
+
+def _linked(spark, d):
+    found = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
+    p = b.table(spark, d, "pages")
+    return p.select(F.lit("web").alias("source"), F.col("page_id").alias("source_id"), "url", found.alias("image_urls"))
+
+
+@query("shared_photo_groups", f"""with {_LINKS} select photo, count(*) as listing_count, min(page_id) as first_listing from links group by photo having count(*) > 1""")
+def shared_photo_groups(spark, d):
+    g = dedup.shared_photos(_linked(spark, d))
+    return g.select("photo", "listing_count", F.col("first_listing.source_id").alias("first_listing"))
+
+
+@query("repost_signals", f"""with {_LINKS}, s as (select photo, count(*) n from links group by photo having count(*) > 1)
+  select page_id as source_id, count(*) as shared_photo_count, max(n) as widest_use from links join s using (photo) group by page_id""")
+def repost_signals(spark, d):
+    return dedup.repost_signals(_linked(spark, d)).select("source_id", "shared_photo_count", "widest_use")
+
+
+
+
+@query("published_location", """select s_suppkey, case when s_suppkey % 5 = 4 then 'municipality outside the registry'
+  when s_suppkey % 5 in (1, 2) and n_regionkey = 2 then 'ambiguous municipality' when s_suppkey % 5 = 3 and n_regionkey = 2 then 'ambiguous municipality' end as location_issue,
+  case when s_suppkey % 5 <> 4 and (n_regionkey <> 2 or s_suppkey % 5 = 0) then n_name end as location_city,
+  case when s_suppkey % 5 <> 4 and (n_regionkey <> 2 or s_suppkey % 5 = 0) then concat('P', chr(65 + n_regionkey)) end as location_province
+  from supplier join nation on n_nationkey = s_nationkey""")
+def published_location(spark, d):
+    from ..sources.geography import published_location as locate
+
+    n = b.table(spark, d, "nation").join(b.table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    n = n.withColumn("code", F.concat(F.lit("P"), F.chr((F.col("n_regionkey") + 65).cast("bigint"))))
+    registry = n.select(
+        F.col("n_name").alias("city"), F.col("code").alias("province"), F.concat(F.lit("province "), F.col("code")).alias("province_name"),
+        F.col("r_name").alias("region"), (F.col("n_regionkey") == 2).alias("ambiguous"),
+    )
+    k = F.col("s_suppkey") % 5
+    s = b.table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"))
+    city = (
+        F.when(k == 0, F.concat("n_name", F.lit(" ("), F.lower("code"), F.lit(")"))).when(k == 1, F.concat("n_name", F.lit(", Somewhere")))
+        .when(k == 2, F.upper("n_name")).when(k == 3, F.concat("n_name", F.lit(", "), "r_name")).otherwise(F.lit("nowhere"))
+    )
+    rows = s.select("s_suppkey", city.alias("city"))
+    return locate(rows, registry).select("s_suppkey", "location_issue", "location_city", "location_province")

@@ -57,15 +57,11 @@ def _alias(field: str, value: Column) -> Column:
     pairs = ALIASES.get(field)
     if not pairs:
         return value
-    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    out = F.coalesce(F.try_element_at(table, value), value)
     if field == "fuel":
-        out = (
-            F.when(F.rlike(value, F.lit(r"^benzina (?:e\d+|\d+)")), "petrol")
-            .when(F.rlike(value, F.lit(r"^diesel (?:b\d+|\d+)")), "diesel")
-            .otherwise(out)
-        )
-    return out
+        # A petrol or diesel grade is that fuel.
+        value = F.regexp_replace(value, r"^(?:(benzina) e?\d+|(diesel) b?\d+).*$", "$1$2")
+    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, value), value)
 
 
 def normalize_field(field: str, value: Column | str) -> Column:
@@ -150,6 +146,10 @@ _SERVICE = (
 )
 
 
+def _kilometres(factor: int):
+    return lambda v: F.regexp_replace(v, "[ .]", "").cast("bigint") * factor
+
+
 def mileage_claims(text: Column | str) -> Column:
     """Distinct kilometre values claimed by a text, as an ascending array of bigint."""
     found = []
@@ -158,12 +158,7 @@ def mileage_claims(text: Column | str) -> Column:
         hits = F.regexp_extract_all(
             tx.col(text), F.lit(f"(?iuU)(?={voided})(?:{_SERVICE}{pattern}|{voided})"), F.lit(1)
         )
-        found.append(
-            F.transform(
-                F.filter(hits, lambda v: v != ""),
-                lambda v, f=factor: F.regexp_replace(v, "[ .]", "").cast("bigint") * f,
-            )
-        )
+        found.append(F.transform(F.filter(hits, lambda v: v != ""), _kilometres(factor)))
     every = F.concat(*found)
     return F.array_sort(F.array_distinct(F.filter(every, lambda v: (v >= 0) & (v <= 1_000_000))))
 

@@ -14,10 +14,19 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# Anything a plain lower-casing leaves untidy: runs of spaces or characters beyond plain ASCII.
+_UNTIDY = r"  |[^ -~]"
+
+
+def _tidy(value: Column | str) -> Column:
+    lowered = F.lower(col(value))
+    spaced = F.regexp_replace(F.replace(lowered, F.lit("ß"), F.lit("ss")), r"(?U)\s+", " ")
+    return F.trim(F.when(F.rlike(lowered, F.lit(_UNTIDY)), spaced).otherwise(lowered))
+
+
 def squash(value: Column | str) -> Column:
     """Lower-cased, trimmed text with single spaces; NULL when blank."""
-    lowered = F.replace(F.lower(col(value)), F.lit("ß"), F.lit("ss"))
-    return F.nullif(F.trim(F.regexp_replace(lowered, r"(?U)\s+", " ")), F.lit(""))
+    return F.nullif(_tidy(value), F.lit(""))
 
 
 def _accent_table() -> tuple[str, str]:
@@ -35,17 +44,21 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
+def _plain(value: Column | str) -> Column:
+    lowered = F.lower(col(value))
+    spaced = F.regexp_replace(F.replace(lowered, F.lit("ß"), F.lit("ss")), r"(?U)\s+", " ")
+    bare = F.regexp_replace(F.translate(spaced, _ACCENTED, _PLAIN), r"\p{M}+", "")
+    return F.trim(F.when(F.rlike(lowered, F.lit(_UNTIDY)), bare).otherwise(lowered))
+
+
 def fold(value: Column | str) -> Column:
     """Accent-insensitive form of :func:`squash`."""
-    return F.nullif(
-        F.regexp_replace(F.translate(squash(value), _ACCENTED, _PLAIN), r"\p{M}+", ""), F.lit("")
-    )
+    return F.nullif(_plain(value), F.lit(""))
 
 
 def known(value: Column | str) -> Column:
     """Folded text, with placeholder words read as NULL."""
-    folded = fold(value)
-    return F.when(~folded.isin(*[m for m in ABSENT_MARKS if m != "unclassified"]), folded)
+    return F.nullif(F.regexp_replace(_plain(value), r"^(?:unknown|n/a|-|sconosciuto)$", ""), F.lit(""))
 
 
 def present(value: Column | str) -> Column:
@@ -102,6 +115,6 @@ def labels(**conditions: Column) -> Column:
     )
 
 
-def first_failure(*checks: tuple[str, Column]) -> Column:
+def first_failure(*checks: tuple[str | Column, Column]) -> Column:
     """Text of the first failing check, NULL when all pass. A NULL condition does not fail."""
-    return F.coalesce(*[F.when(bad, F.lit(message)) for message, bad in checks])
+    return F.coalesce(*[F.when(bad, F.lit(message) if isinstance(message, str) else message) for message, bad in checks])

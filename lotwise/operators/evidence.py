@@ -10,60 +10,58 @@ from pyspark.sql import functions as F
 from ..functions import documents, identity as ident, money, text as tx, urls
 from .peers import all_equal_or_null
 
-CLAIM = "array<struct<value:string,path:string,origin:string>>"
+CLAIM = "array<struct<field:string,value:string,path:string,origin:string>>"
 TEXT_ORIGINS = ("version_text", "title", "description")
 
 
-def _claim(value: Column, path: str, origin: str) -> Column:
-    return F.struct(value.alias("value"), F.lit(path).alias("path"), F.lit(origin).alias("origin"))
+def _claim(field: str, value: Column, path: str, origin: str) -> Column:
+    return F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(path).alias("path"), F.lit(origin).alias("origin"))
 
 
-def _field_claims(df: DataFrame, field: str, original: str | None) -> Column:
-    parts = []
+def _read(field: str, values: Column, origin: str) -> Column:
+    return F.transform(values, lambda v: _claim(field, ident.normalize_field(field, v), origin, "seller_text"))
+
+
+def _field_claims(df: DataFrame, field: str, original: str | None) -> list[Column]:
+    parts, fixed = [], []
     if original:
         at = lambda path: documents.at(original, path)
-        structured = []
         for path in ident.SOURCE_PATHS[field]:
             value = ident.normalize_field(field, at(path))
             if path == "primaryFuel.formatted":
                 # The component fuel speaks only when the category is silent.
                 value = F.when(ident.normalize_field("fuel", at("fuelCategory.formatted")).isNull(), value)
-            structured.append(_claim(value, "original.vehicle." + path, "source_structured"))
-        parts.append(F.array(*structured))
+            fixed.append(_claim(field, value, "original.vehicle." + path, "source_structured"))
     if field in df.columns:
-        parts.append(F.array(_claim(ident.normalize_field(field, field), "payload." + field, "normalized_source")))
+        fixed.append(_claim(field, ident.normalize_field(field, field), "payload." + field, "normalized_source"))
+    if fixed:
+        parts.append(F.array(*fixed))
     if field in ident.TEXT_CLAIMS:
-        for origin in TEXT_ORIGINS:
-            if origin in df.columns:
-                found = ident.text_claim_values(field, origin)
-                parts.append(F.transform(found, lambda v, o=origin: _claim(ident.normalize_field(field, v), o, "seller_text")))
+        parts += [_read(field, ident.text_claim_values(field, o), o) for o in TEXT_ORIGINS if o in df.columns]
     if "version_text" in df.columns and field in ("generation", "trim"):
-        stated = ident.normalize_field(field, field).isNotNull() if field in df.columns else F.lit(False)
         values = F.array(ident.generation_claim("version_text")) if field == "generation" else ident.trim_claims("version_text")
-        read = F.transform(values, lambda v: _claim(ident.normalize_field(field, v), "version_text", "seller_text"))
-        parts.append(F.when(~stated, read).otherwise(F.array().cast(CLAIM)))
-    every = F.concat(*[p.cast(CLAIM) for p in parts]) if parts else F.array().cast(CLAIM)
-    return F.array_distinct(F.filter(every, lambda c: c["value"].isNotNull()))
+        if field in df.columns:
+            values = F.when(F.col(field).isNull(), values).otherwise(F.array().cast("array<string>"))
+        parts.append(_read(field, values, "version_text"))
+    return parts
 
 
-def _distinct_values(claims: Column, field: str) -> Column:
-    """Claimed values that differ beyond tolerance, in claim order."""
+def _same(a: Column, b: Column, tolerant: Column) -> Column:
+    x, y = a.try_cast("bigint"), b.try_cast("bigint")
+    return F.when(tolerant & x.isNotNull() & y.isNotNull(), F.abs(x - y) <= 2).otherwise(a == b)
 
-    def same(a: Column, b: Column) -> Column:
-        if field not in ("power_hp", "power_kw"):
-            return a == b
-        x, y = a.try_cast("bigint"), b.try_cast("bigint")
-        whole = a.rlike(r"^\d+$") & b.rlike(r"^\d+$")
-        return F.when(whole, F.abs(x - y) <= 2).otherwise(a == b)
+
+def _distinct_values(claims: Column, field: Column) -> Column:
+    """Claimed values that differ beyond tolerance, in claim order."""
+    tolerant = field.isin("power_hp", "power_kw")
 
     def merge(acc: Column, claim: Column) -> Column:
         value = claim["value"]
-        repeat = F.exists(acc, lambda v: same(v, value))
-        if field == "transmission":
-            # A seller's plain "automatic" does not contradict a semi-automatic gearbox.
-            vague = (claim["origin"] == "seller_text") & (value == "automatic") & F.array_contains(acc, "semi_automatic")
-            repeat = repeat | vague
-        return F.when(repeat, acc).otherwise(F.concat(acc, F.array(value)))
+        # A seller's plain "automatic" does not contradict a semi-automatic gearbox.
+        vague = (
+            (field == "transmission") & (claim["origin"] == "seller_text") & (value == "automatic") & F.array_contains(acc, "semi_automatic")
+        )
+        return F.when(vague | F.exists(acc, lambda v: _same(v, value, tolerant)), acc).otherwise(F.concat(acc, F.array(value)))
 
     return F.aggregate(claims, F.array().cast("array<string>"), merge)
 
@@ -71,40 +69,49 @@ def _distinct_values(claims: Column, field: str) -> Column:
 def resolve_identity(df: DataFrame, original: str | None = None) -> DataFrame:
     """Add ``identity``: one struct per field with value, status, recovery and claims.
 
-    Everything is computed inside the row, so resolving costs no shuffle. ``identity_conflicts``
-    lists the fields in conflict, power by unit included.
+    All claims of a row are one array and every field is judged by the same expression over it,
+    inside the row: resolving costs no shuffle. ``identity_conflicts`` lists the fields in
+    conflict, power by unit included.
     """
-    names = ident.FIELDS
-    d = df.withColumns({f"_c_{f}": _field_claims(df, f, original) for f in names})
-    d = d.withColumns({f"_d_{f}": _distinct_values(F.col(f"_c_{f}"), f) for f in names})
-    first = {f: F.try_element_at(F.col(f"_c_{f}"), F.lit(1))["value"] for f in names}
-    power = money.hp_kw_conflict(first["power_hp"].try_cast("double"), first["power_kw"].try_cast("double"))
-    structs, conflicts = [], {}
-    for f in names:
-        claims = F.col(f"_c_{f}")
-        differs = F.size(f"_d_{f}") > 1
-        conflicts[f] = differs
-        conflict = differs | power if f in ("power_hp", "power_kw") else differs
-        existing = ident.normalize_field(f, f) if f in df.columns else F.lit(None).cast("string")
-        structured = F.exists(claims, lambda c: c["origin"] == "source_structured")
-        origins = F.size(F.array_distinct(F.transform(F.filter(claims, lambda c: c["origin"] != "normalized_source"), lambda c: c["origin"])))
-        status = (
-            F.when(conflict, "conflict").when(F.size(claims) == 0, "missing").when(origins >= 2, "consistent").otherwise("declared")
-        )
+    names = list(ident.FIELDS)
+    empty = F.array().cast(CLAIM)
+    every = F.concat(*[F.coalesce(p.cast(CLAIM), empty) for f in names for p in _field_claims(df, f, original)])
+    known = {f: ident.normalize_field(f, f) for f in names if f in df.columns}
+    pairs = [x for f, v in known.items() for x in (F.lit(f), v)]
+    d = df.withColumn("_claims", F.array_distinct(F.filter(every, lambda c: c["value"].isNotNull())))
+    d = d.withColumn("_known", F.create_map(*pairs).cast("map<string,string>") if pairs else F.create_map().cast("map<string,string>"))
+    per_field = F.transform(
+        F.array(*[F.lit(f) for f in names]), lambda f: F.struct(f.alias("field"), F.filter("_claims", lambda c: c["field"] == f).alias("claims"))
+    )
+    d = d.withColumn("_fields", per_field)
+    d = d.withColumn("_fields", F.transform("_fields", lambda s: F.struct(
+        s["field"].alias("field"), s["claims"].alias("claims"), F.try_element_at(s["claims"], F.lit(1))["value"].alias("value"),
+        (F.size(_distinct_values(s["claims"], s["field"])) > 1).alias("differs"), F.try_element_at(F.col("_known"), s["field"]).alias("existing"),
+        F.exists(s["claims"], lambda c: c["origin"] == "source_structured").alias("structured"),
+        F.size(F.array_distinct(F.transform(F.filter(s["claims"], lambda c: c["origin"] != "normalized_source"), lambda c: c["origin"]))).alias("origins"),
+    )))
+    value_of = lambda f: F.element_at("_fields", names.index(f) + 1)["value"].try_cast("double")
+    d = d.withColumn("_power", money.hp_kw_conflict(value_of("power_hp"), value_of("power_kw")))
+
+    def judged(s: Column) -> Column:
+        conflict = s["differs"] | (F.col("_power") & s["field"].isin("power_hp", "power_kw"))
+        said = F.size(s["claims"]) > 0
+        status = F.when(conflict, "conflict").when(~said, "missing").when(s["origins"] >= 2, "consistent").otherwise("declared")
         recovery = (
-            F.when(structured & existing.isNull(), "normalization_gap")
-            .when(structured & ~existing.eqNullSafe(first[f]), "normalized_value_mismatch")
-            .when(existing.isNotNull(), "present").when(F.size(claims) > 0, "seller_text_only").otherwise("absent_from_source")
+            F.when(s["structured"] & s["existing"].isNull(), "normalization_gap")
+            .when(s["structured"] & (s["existing"] != s["value"]), "normalized_value_mismatch")
+            .when(s["existing"].isNotNull(), "present").when(said, "seller_text_only").otherwise("absent_from_source")
         )
-        structs.append(F.struct(
-            F.lit(f).alias("field"), first[f].alias("value"), status.alias("status"), recovery.alias("recovery_status"),
-            F.size(claims).alias("claim_count"), claims.alias("claims"),
-        ))
-    conflicts["power_hp/power_kw"] = power
+        return F.struct(
+            s["field"].alias("field"), s["value"].alias("value"), status.alias("status"), recovery.alias("recovery_status"),
+            F.size(s["claims"]).alias("claim_count"), s["claims"].alias("claims"),
+        )
+
+    conflicts = F.transform(F.filter("_fields", lambda s: s["differs"]), lambda s: s["field"])
+    power = F.when(F.col("_power"), F.array(F.lit("power_hp/power_kw"))).otherwise(F.array().cast("array<string>"))
     return (
-        d.withColumn("identity", F.array(*structs))
-        .withColumn("identity_conflicts", tx.labels(**conflicts))
-        .drop(*[f"_{x}_{f}" for f in names for x in "cd"])
+        d.withColumn("identity", F.transform("_fields", judged)).withColumn("identity_conflicts", F.concat(conflicts, power))
+        .drop("_claims", "_known", "_fields", "_power")
     )
 
 

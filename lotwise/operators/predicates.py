@@ -20,15 +20,20 @@ def listing_issue(df: DataFrame, as_of: Column) -> Column:
     """First rule a listing breaks, in a fixed order; NULL for a valid listing."""
     get = lambda n, k="string": _or_null(df, n, k)
     bad = lambda c: F.coalesce(c, F.lit(False))
-    checks: list[tuple[str, Column]] = []
+    checks: list[tuple[str | Column, Column]] = []
     for name, top in (("power_hp", 3000), ("displacement_cc", 20_000)):
         checks.append((f"{name} must be a positive whole number", bad(~get(name, "bigint").between(1, top))))
     kw = get("power_kw", "double")
     checks.append(("power_kw must be a positive finite number", bad(F.isnan(kw) | (kw <= 0) | (kw > 3000))))
-    for name in ("source",) + S.COHORT[:6] + ("province", "seller_type", "condition"):
-        checks.append((f"{name} is required", tx.squash(get(name)).isNull()))
-        if name in S.COHORT[:6]:
-            checks.append((f"{name} cannot be an unknown placeholder", bad(tx.squash(get(name)).isin(*S.PLACEHOLDERS))))
+    # One loop over the required texts keeps the generated code small however many there are.
+    texts = F.array(*[
+        F.struct(F.lit(n).alias("name"), tx.squash(get(n)).alias("value"), F.lit(n in S.COHORT[:6]).alias("specific"))
+        for n in ("source",) + S.COHORT[:6] + ("province", "seller_type", "condition")
+    ])
+    broken = F.try_element_at(
+        F.filter(texts, lambda t: t["value"].isNull() | (t["specific"] & t["value"].isin(*S.PLACEHOLDERS))), F.lit(1)
+    )
+    checks.append((F.concat(broken["name"], F.when(broken["value"].isNull(), " is required").otherwise(" cannot be an unknown placeholder")), broken.isNotNull()))
     checks.append(("source_id is required", bad(F.trim(get("source_id")) == "") | get("source_id").isNull()))
     for name in ("year", "mileage_km", "price_eur"):
         checks.append((f"{name} must be a whole number", get(name, "bigint").isNull()))
