@@ -28,8 +28,8 @@ def _identity(spark, d):
 
 _HP = """hp as (select doc_id, case when doc_id % 4 < 2 then case when doc_id % 8 < 4 then 69 else 75 end end as s, power_hp as p,
  case doc_id // 2 % 4 when 0 then 69 when 1 then 90 end as v0, case when doc_id % 2 = 0 then true else false end as has_v,
- case when phrases like '%90 cv%' then true else false end as d90, case when phrases like '%69 cv%' then true else false end as d69 from adverts),
- vals as (select doc_id, list_filter([s, p, case when has_v then v0 end, case when d90 then 90 end, case when d69 then 69 end], lambda x: x is not null) as l from hp)"""
+ case when phrases like '%90 cv%' then true else false end as d90, phrases, case when phrases like '%69 cv%' then true else false end as d69 from adverts),
+ vals as (select doc_id, list_filter([s, p, case when has_v then v0 end, case when d69 and strpos(phrases, '69 cv') < strpos(phrases, '90 cv') then 69 end, case when d90 then 90 end, case when d69 then 69 end], lambda x: x is not null) as l from hp)"""
 
 
 @query("resolve_identity_power", b.with_adverts("select doc_id, cast(l[1] as string) as value, len(l) > 0 and list_max(l) - list_min(l) > 2 as value_conflict from vals", _HP))

@@ -1 +1,123 @@
-"""Queries."""
+"""Sorting, paging, top-k and balanced selection."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.money import price_band
+from ..operators import dedup, selection
+from . import base as b
+from .base import query
+
+
+def leads(spark, d):
+    """Every fresh total-price listing as a lead with a whole-number score."""
+    return b.fresh(spark, d).filter("price_kind = 'total' and price_eur > 0").select(
+        "source", "source_id", "make", "model", "year", "mileage_km", "price_eur", "version_text", "city", price_band("price_eur").alias("price_band"),
+        (F.col("cents") % 97).alias("comparable_count"), (F.col("version_key") % 1009).cast("double").alias("score"), (F.col("version_key") % 1009).cast("double").alias("priority_score"),
+        (F.col("version_key") % 200 == 0).alias("price_priority_passed"),
+        F.when(F.col("version_key") % 10 < 6, "clean").when(F.col("version_key") % 10 < 8, "minimal").otherwise("non_severe").alias("damage_category"),
+    )
+
+
+_LEADS = """leads as (select *, least(3, price_eur // 5000) as price_band, cents % 97 as comparable_count, cast(version_key % 1009 as double) as score from fresh where price_kind = 'total' and price_eur > 0)"""
+
+
+@query("multi_key_sort", b.with_asks("select source, source_id, row_number() over (order by fuel is not null desc, price_eur desc, mileage_km, source, source_id) as position from fresh order by position limit 500"))
+def multi_key_sort(spark, d):
+    from pyspark.sql import Window
+
+    f = b.fresh(spark, d).orderBy(F.col("fuel").isNotNull().desc(), F.col("price_eur").desc(), "mileage_km", "source", "source_id").limit(500)
+    w = Window.orderBy(F.col("fuel").isNotNull().desc(), F.col("price_eur").desc(), "mileage_km", "source", "source_id")
+    return f.select("source", "source_id", F.row_number().over(w).cast("bigint").alias("position"))
+
+
+@query("offset_limit_page", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 100 offset 300")
+def offset_limit_page(spark, d):
+    return b.table(spark, d, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(300).limit(100).select("o_orderkey", "o_totalprice")
+
+
+@query("top_k_with_counts", b.with_asks("select source, source_id, score, (select count(*) from leads) as total, greatest(0, 50 - (select count(*) from leads)) as shortage from leads order by score desc, comparable_count desc, source, source_id limit 50", _LEADS))
+def top_k_with_counts(spark, d):
+    rows = leads(spark, d)
+    top = rows.orderBy(F.col("score").desc(), F.col("comparable_count").desc(), "source", "source_id").limit(50)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return top.select("source", "source_id", "score", F.lit(1).alias("_k")).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").select(
+        "source", "source_id", "score", "total", F.greatest(F.lit(0), F.lit(50) - F.col("total")).alias("shortage")
+    )
+
+
+@query("round_robin_bands")
+def round_robin_bands(spark, d):
+    return selection.round_robin_bands(leads(spark, d), "score", 20).select("source", "source_id", "price_band", "make", "model", "selection_rank")
+
+
+@query("damage_mix_selection")
+def damage_mix_selection(spark, d):
+    return selection.damage_mix_selection(leads(spark, d), 20).select("source", "source_id", "damage_category", "price_band", "selection_rank")
+
+
+@query("evidence_balanced_select")
+def evidence_balanced_select(spark, d):
+    return selection.evidence_balanced_select(leads(spark, d), 40).select("source", "source_id", "price_band", "price_priority_passed", "score", "selection_rank")
+
+
+@query("damage_mix_counts", "select * from (values ('clean', 6), ('minimal', 4), ('non_severe', 10)) v(damage_category, n) where exists (select 1 from lineitem)")
+def damage_mix_counts(spark, d):
+    return selection.damage_mix_selection(leads(spark, d), 20).groupBy("damage_category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("selection_summary", b.with_asks("""select price_band, count(*) as available, 10 as target, 10 as selected, 0 as shortage, 0 as redistributed from (
+ select least(3, price_eur // 5000) as price_band from fresh where price_kind = 'total' and price_eur > 0) group by 1"""))
+def selection_summary(spark, d):
+    rows = leads(spark, d).withColumn("price_priority_passed", F.lit(False))
+    out = selection.selection_summary(rows, selection.evidence_balanced_select(rows, 40), 40)
+    return out.select([F.col(c).cast("bigint").alias(c) for c in ("price_band", "available", "target", "selected", "shortage", "redistributed")])
+
+
+@query("apportionment", """with s as (select n_regionkey, count(*) n from customer join nation on n_nationkey = c_nationkey group by 1), t as (select *, 17 * n as raw, sum(n) over () tot from s), f as (select *, raw // tot fl, raw % tot rest from t),
+ r as (select *, row_number() over (order by rest desc, n_regionkey) rn, 17 - sum(fl) over () leftover from f) select n_regionkey, cast(fl + case when rn <= leftover then 1 else 0 end as bigint) as seats from r""")
+def apportionment(spark, d):
+    c, n = b.table(spark, d, "customer"), b.table(spark, d, "nation")
+    shares = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    return selection.apportion(shares, "n", 17, ["n_regionkey"]).select("n_regionkey", F.col("seats").cast("bigint").alias("seats"))
+
+
+@query("union_distinct", "select o_orderkey, min(side) as side from (select o_orderkey, 0 as side from orders where o_custkey % 2 = 0 union all select o_orderkey, 1 from orders where o_custkey % 3 = 0) group by 1")
+def union_distinct(spark, d):
+    o = b.table(spark, d, "orders")
+    left = o.filter("o_custkey % 2 = 0").select("o_orderkey", F.lit(0).alias("side"))
+    right = o.filter("o_custkey % 3 = 0").select("o_orderkey", F.lit(1).alias("side"))
+    return dedup.union_distinct(left, right, ["o_orderkey"])
+
+
+@query("checksum_status", """select source, arrivals, case when lo <> hi then 'conflicting_content' when arrivals > 1 then 'repeated' else 'new' end as status, n from (select source, arrivals, lo, hi, 1 n from (
+ select concat(source, '/', cast(doc_id % 20 as string)) as source, count(*) arrivals, min(sha256(text)) lo, max(sha256(text)) hi from documents group by 1))""")
+def checksum_status(spark, d):
+    docs = b.table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id") % 20).alias("source"), F.sha2("text", 256).alias("h"))
+    return dedup.checksum_status(docs, ["source"], "h").withColumn("n", F.lit(1))
+
+
+@query("content_assets", "select sha256(text) as sha, octet_length(encode(text)) as byte_count, min(doc_id) as first_saved, count(*) as reference_count from documents group by 1, 2")
+def content_assets(spark, d):
+    out = dedup.content_assets(b.table(spark, d, "documents"), "text", "doc_id")
+    return out.withColumn("byte_count", F.col("byte_count").cast("bigint"))
+
+
+_ASSETS = "assets as (select sha256(text) as sha, octet_length(encode(text)) as byte_count, min(timestamp '2024-01-01' + to_seconds(doc_id * 977)) as first_saved from documents group by 1, 2)"
+
+
+@query("storage_cap", f"with {_ASSETS}, r as (select *, sum(byte_count) over (order by first_saved, sha rows unbounded preceding) rb from assets) select sha, cast(rb as bigint) as running_bytes, rb <= 1000000 as stored from r")
+def storage_cap(spark, d):
+    docs = b.table(spark, d, "documents").withColumn("saved", F.timestamp_seconds(F.col("doc_id") * 977 + 1_704_067_200))
+    assets = dedup.content_assets(docs, "text", "saved")
+    return dedup.within_storage_cap(assets, 1_000_000).select("sha", F.col("running_bytes").cast("bigint").alias("running_bytes"), "stored")
+
+
+@query("ordered_distinct_terms", r"select doc_id, len(list_distinct(string_split(text, ' '))) as distinct_terms, len(list_filter(['the', 'of', 'und'], lambda x: not list_contains(string_split(text, ' '), x))) as missing_terms from documents")
+def ordered_distinct_terms(spark, d):
+    words = F.split("text", " ")
+    need = F.array(*[F.lit(w) for w in ("the", "of", "und")])
+    return b.table(spark, d, "documents").select(
+        "doc_id", F.size(F.array_distinct(words)).cast("bigint").alias("distinct_terms"), F.size(F.array_except(need, words)).cast("bigint").alias("missing_terms")
+    )

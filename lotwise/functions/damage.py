@@ -88,18 +88,17 @@ def with_damage(df: DataFrame) -> DataFrame:
     body = F.concat_ws(
         " ", tx.full_text(text_of("title"), text_of("description")), F.array_join(declared_list, " ")
     )
-    scanned = df.withColumn(
-        "_scan",
-        F.struct(
-            signals(body, SEVERE).alias("severe"),
-            signals(body, MINIMAL).alias("minimal"),
-            signals(body, NON_SEVERE).alias("moderate"),
-            (F.size(signals(body, DISCLOSED)) > 0).alias("disclosed"),
+    scanned = tx.staged(tx.staged(df, {"_body": body}), {
+        "_scan": F.struct(
+            signals(F.col("_body"), SEVERE).alias("severe"),
+            signals(F.col("_body"), MINIMAL).alias("minimal"),
+            signals(F.col("_body"), NON_SEVERE).alias("moderate"),
+            (F.size(signals(F.col("_body"), DISCLOSED)) > 0).alias("disclosed"),
             F.filter(
-                signals(body, GOOD_CONDITION), lambda m: ~F.rlike(m, F.lit("(?iuU)" + NOT_NOW))
+                signals(F.col("_body"), GOOD_CONDITION), lambda m: ~F.rlike(m, F.lit("(?iuU)" + NOT_NOW))
             ).alias("good"),
         ),
-    )
+    }).drop("_body")
     severe, minimal = F.col("_scan.severe"), F.col("_scan.minimal")
     # A generic phrase nested inside a milder one is the milder one.
     moderate = F.filter(
@@ -143,12 +142,8 @@ def with_damage(df: DataFrame) -> DataFrame:
     group = F.when(F.col("damage_category") != "unknown", F.col("damage_category")).otherwise(
         F.when(disclosed, "damaged_unspecified").otherwise("condition_unknown")
     )
-    return (
-        scanned.withColumn("damage_category", category)
-        .withColumn("damage_evidence", evidence)
-        .withColumn("damage_group", group)
-        .drop("_scan")
-    )
+    judged = tx.staged(scanned, {"damage_category": category})
+    return judged.withColumn("damage_evidence", evidence).withColumn("damage_group", group).drop("_scan")
 
 
 def eligible(category: Column | str) -> Column:

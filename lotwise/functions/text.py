@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ABSENT_MARKS
@@ -118,3 +118,14 @@ def labels(**conditions: Column) -> Column:
 def first_failure(*checks: tuple[str | Column, Column]) -> Column:
     """Text of the first failing check, NULL when all pass. A NULL condition does not fail."""
     return F.coalesce(*[F.when(bad, F.lit(message) if isinstance(message, str) else message) for message, bad in checks])
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    The optimizer copies projected expressions into every later use, which repeats costly text
+    scans. A one-element explode is a boundary it does not copy across; it adds no shuffle.
+    """
+    stage = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    keep = [c for c in df.columns if c not in columns]
+    return df.withColumn("_stage", stage).select(*keep, *[F.col(f"_stage.{n}").alias(n) for n in columns])

@@ -78,18 +78,20 @@ def resolve_identity(df: DataFrame, original: str | None = None) -> DataFrame:
     every = F.concat(*[F.coalesce(p.cast(CLAIM), empty) for f in names for p in _field_claims(df, f, original)])
     known = {f: ident.normalize_field(f, f) for f in names if f in df.columns}
     pairs = [x for f, v in known.items() for x in (F.lit(f), v)]
-    d = df.withColumn("_claims", F.array_distinct(F.filter(every, lambda c: c["value"].isNotNull())))
-    d = d.withColumn("_known", F.create_map(*pairs).cast("map<string,string>") if pairs else F.create_map().cast("map<string,string>"))
+    d = tx.staged(df, {
+        "_claims": F.array_distinct(F.filter(every, lambda c: c["value"].isNotNull())),
+        "_known": (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>"),
+    })
     per_field = F.transform(
         F.array(*[F.lit(f) for f in names]), lambda f: F.struct(f.alias("field"), F.filter("_claims", lambda c: c["field"] == f).alias("claims"))
     )
-    d = d.withColumn("_fields", per_field)
-    d = d.withColumn("_fields", F.transform("_fields", lambda s: F.struct(
+    d = tx.staged(d, {"_fields": per_field})
+    d = tx.staged(d, {"_fields": F.transform("_fields", lambda s: F.struct(
         s["field"].alias("field"), s["claims"].alias("claims"), F.try_element_at(s["claims"], F.lit(1))["value"].alias("value"),
         (F.size(_distinct_values(s["claims"], s["field"])) > 1).alias("differs"), F.try_element_at(F.col("_known"), s["field"]).alias("existing"),
         F.exists(s["claims"], lambda c: c["origin"] == "source_structured").alias("structured"),
         F.size(F.array_distinct(F.transform(F.filter(s["claims"], lambda c: c["origin"] != "normalized_source"), lambda c: c["origin"]))).alias("origins"),
-    )))
+    ))})
     value_of = lambda f: F.element_at("_fields", names.index(f) + 1)["value"].try_cast("double")
     d = d.withColumn("_power", money.hp_kw_conflict(value_of("power_hp"), value_of("power_kw")))
 
@@ -109,10 +111,8 @@ def resolve_identity(df: DataFrame, original: str | None = None) -> DataFrame:
 
     conflicts = F.transform(F.filter("_fields", lambda s: s["differs"]), lambda s: s["field"])
     power = F.when(F.col("_power"), F.array(F.lit("power_hp/power_kw"))).otherwise(F.array().cast("array<string>"))
-    return (
-        d.withColumn("identity", F.transform("_fields", judged)).withColumn("identity_conflicts", F.concat(conflicts, power))
-        .drop("_claims", "_known", "_fields", "_power")
-    )
+    d = tx.staged(d, {"identity": F.transform("_fields", judged), "identity_conflicts": F.concat(conflicts, power)})
+    return d.drop("_claims", "_known", "_fields", "_power")
 
 
 def identity_fields(resolved: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -19,7 +19,9 @@ def read_raw_listings(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "jsonl":
         return spark.read.schema(LISTING_SCHEMA).json(path)
     if fmt == "csv":
-        return spark.read.schema(_SCALARS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        text = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        # Columns are found by their header, in any order; a value that does not fit is missing.
+        return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in _SCALARS if f.name in text.columns])
     raise ValueError("format must be json, jsonl or csv")
 
 
@@ -41,13 +43,15 @@ def import_counts(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...]
     ).withColumn("duplicates", F.col("received") - F.col("inserted"))
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
+def read_export(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Records of a paged export: one row per record with its page and position.
 
+    An export is one JSON document per file, or one per line when ``whole_file`` is off.
+
     The page index is the cursor, and only the last page completes the run.
     """
     outer = T.StructType([T.StructField("source", T.StringType()), T.StructField("pages", T.ArrayType(T.ArrayType(PAGE_SCHEMA["records"].dataType.elementType)))])
-    export = spark.read.schema(outer).option("multiLine", True).json(path)
+    export = spark.read.schema(outer).option("multiLine", whole_file).json(path)
     pages = export.select("source", F.size("pages").alias("page_count"), F.posexplode("pages").alias("page_no", "records"))
     return pages.select(
         "source", "page_no", ((F.col("page_no") + 1) == F.col("page_count")).alias("complete"), F.posexplode("records").alias("ordinal", "record")

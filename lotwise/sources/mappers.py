@@ -140,7 +140,8 @@ def provider_listing(rows: DataFrame, as_of: Column) -> DataFrame:
     Expects location_issue, location_city and location_province from the registry join. Mileage is
     taken only when the description's kilometres equal the provider's own figure.
     """
-    name = ident.title_identity("title")
+    rows = tx.staged(rows, {"_name": ident.title_identity("title"), "_km": ident.mileage_claims("description")})
+    name, km = F.col("_name"), F.col("_km")
     car = F.exists("breadcrumbs", lambda b: F.lower(F.trim(b)).isin(*CAR_CATEGORIES))
     inferred = (
         name.isNotNull() & (name["year"] <= F.year(as_of) + 1) & F.col("car_miles").between(0, 2_000_000)
@@ -162,14 +163,13 @@ def provider_listing(rows: DataFrame, as_of: Column) -> DataFrame:
         ("sold listing", F.col("is_sold")),
         ("unsupported images", F.coalesce((F.size("images") > 1000) | F.exists("images", lambda u: ~F.rlike(u, F.lit(r"^https://[^/?#\s]+"))), no)),
     )
-    km = ident.mileage_claims("description")
     agreed = (F.size(km) == 1) & (F.element_at(km, 1).cast("double") == F.col("car_miles"))
     return rows.withColumn("issue", issue).withColumns({
         "source_id": F.col("product_id"), "make": name["make"], "model": name["model"], "model_year_from_title": name["year"],
         "price_eur": F.floor(amount).cast("bigint"), "price_kind": F.lit("unknown"), "active": ~F.col("is_sold"),
         "mileage_km": F.when(F.coalesce(agreed, no), F.col("car_miles").cast("bigint")),
         "vehicle_type_basis": F.when(F.coalesce(car, no), "provider_car_category").otherwise("inferred_from_title_and_vehicle_fields"),
-    })
+    }).drop("_name", "_km")
 
 
 def recover_seller_evidence(rows: DataFrame) -> DataFrame:
@@ -179,8 +179,9 @@ def recover_seller_evidence(rows: DataFrame) -> DataFrame:
     fuels leave the field unknown.
     """
     name = ident.title_identity("title")
-    d = rows.withColumn("_t", name).withColumn("_km", ident.mileage_claims("description"))
-    d = d.withColumn("_fuel", ident.fuel_claims(tx.full_text("title", "description"), F.col("fuel")))
+    d = tx.staged(rows, {
+        "_t": name, "_km": ident.mileage_claims("description"), "_fuel": ident.fuel_claims(tx.full_text("title", "description"), F.col("fuel")),
+    })
     corrected = (F.col("model") == "500") & F.col("_t.model").isin("500L", "500X")
     clash = lambda f, ok: F.col("_t").isNotNull() & F.col(f).isNotNull() & (F.col(f) != F.col(f"_t.{f}")) & ~ok
     km_all = F.array_distinct(F.concat("_km", F.when(F.col("mileage_km").isNotNull(), F.array("mileage_km")).otherwise(F.array().cast("array<bigint>"))))
