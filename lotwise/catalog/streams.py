@@ -1 +1,135 @@
-"""Queries."""
+"""Streaming ingestion, keyed state and change-driven rescoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import peers, temporal
+from ..session import shared_folder
+from ..streaming import incremental, ingest, state
+from . import base as b
+from .base import query
+
+
+def _event_stream(spark, d):
+    schema = b.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("stream_latest_state", "select event_type as source, cast(user_id as string) as source_id, max(ts) as observed_at, count(*) as versions, arg_max(event_id, struct_pack(t := ts, e := event_id)) as event_id from events group by 1, 2")
+def stream_latest_state(spark, d):
+    events = _event_stream(spark, d).select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("ts").alias("observed_at"), "event_id")
+    path, checkpoint = shared_folder(spark, "state"), shared_folder(spark, "state-log")
+    state.run_to_end(state.latest_state(events, [], ties=("event_id",)), state.upsert_sink(path), checkpoint)
+    return state.read_state(spark, path).select("source", "source_id", "observed_at", "versions", "event_id")
+
+
+@query("stream_projection", "select event_type as source, cast(user_id as string) as source_id, ts as observed_at, cast(floor(value * 100) as bigint) as price_eur from (select *, row_number() over (partition by event_type, user_id, ts order by event_id) rn from events) where rn = 1")
+def stream_projection(spark, d):
+    events = _event_stream(spark, d).select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("ts").alias("observed_at"), F.floor(F.col("value") * 100).cast("bigint").alias("price_eur"))
+    path, checkpoint = shared_folder(spark, "projection"), shared_folder(spark, "projection-log")
+    write = state.projection_writer(path, lambda df: df, ("source", "source_id", "observed_at"))
+    state.run_to_end(events, write, checkpoint, mode="append")
+    return spark.read.parquet(path + "/*").drop("batch")
+
+
+def _pages(spark, d):
+    """Pages of at most 50 events: some records are foreign, priced as text or without a zone."""
+    e = b.table(spark, d, "events")
+    k = F.col("event_id")
+    record = F.struct(
+        F.concat(F.lit("u"), F.col("user_id")).alias("source_id"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(k % 13 == 0, "").otherwise("Z")).alias("observed_at"),
+        F.lit("https://a.example/1").alias("url"), F.lit(True).alias("active"),
+        F.concat(F.lit('{"country":"'), F.when(k % 29 == 0, "FR").otherwise("IT"), F.lit('","price_eur":'), F.when(k % 31 == 0, '"7"').otherwise("7"), F.lit("}")).alias("payload"),
+    )
+    page = F.floor(k / 50)
+    return e.select(F.col("event_type").alias("source"), page.cast("string").alias("page_id"), record.alias("r")).groupBy("source", "page_id").agg(F.collect_list("r").alias("records")).select(
+        "source", F.lit("run").alias("run_id"), "page_id", F.lit("initial").alias("mode"), F.lit('{"country":"IT"}').alias("scope"), F.lit(None).cast("string").alias("input_cursor"),
+        F.concat(F.lit("c"), "page_id").alias("next_cursor"), F.lit(False).alias("complete"), "records",
+    )
+
+
+_PAGE_SQL = """select event_type as source, count(distinct event_id // 50) as pages, count(*) filter (event_id % 13 <> 0 and event_id % 29 <> 0 and event_id % 31 <> 0) as accepted,
+ count(*) filter (event_id % 13 = 0 or event_id % 29 = 0 or event_id % 31 = 0) as rejected from events group by 1"""
+
+
+def _ingested(spark, d, repeats=1):
+    source, checkpoint = shared_folder(spark, "pages"), shared_folder(spark, "pages-log")
+    store = ingest.PageStore(spark, shared_folder(spark, "store"))
+    for _ in range(repeats):
+        _pages(spark, d).write.mode("append").json(source)
+        ingest.ingest_stream(spark, source, store, checkpoint, F.lit("2030-01-01").cast("timestamp")).awaitTermination()
+    return store
+
+
+@query("page_ingestion", _PAGE_SQL)
+def page_ingestion(spark, d):
+    m = _ingested(spark, d).manifest()
+    return m.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+
+@query("page_ingestion_twice", _PAGE_SQL)
+def page_ingestion_twice(spark, d):
+    """The same pages collected again change nothing."""
+    store = _ingested(spark, d, repeats=2)
+    pages = store.manifest().groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
+    good = store.events().groupBy("source").agg(F.count(F.lit(1)).alias("accepted"))
+    bad = store.quarantine().groupBy("source").agg(F.count(F.lit(1)).alias("rejected"))
+    return pages.join(good, "source").join(bad, "source")
+
+
+@query("resume_state", "select event_type as source, 'run' as run_id, 'continue' as action from events group by 1")
+def resume_state(spark, d):
+    pages = _pages(spark, d).withColumn("batch", F.col("page_id").cast("bigint"))
+    return ingest.resume_state(pages).select("source", "run_id", "action")
+
+
+@query("quarantine_replay", """select event_type as source, count(*) filter (event_id % 31 = 0 and event_id % 2 = 0) as appended from events group by 1""")
+def quarantine_replay(spark, d):
+    e = b.table(spark, d, "events").filter("event_id % 31 = 0")
+    rejected = e.select(F.col("event_type").alias("source"), F.concat(F.lit("u"), "event_id").alias("source_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("ordinal"), F.lit('{"price_eur":"7"}').alias("payload"))
+
+    def newer_rules(df):
+        price = F.get_json_object("payload", "$.price_eur").cast("bigint")
+        issue = F.when(F.col("ordinal") % 2 == 1, "still invalid")
+        return df.withColumn("content", F.concat(F.lit("price="), price)).withColumn("issue", issue)
+
+    none_stored = rejected.filter("false").withColumn("content", F.lit(""))
+    out = ingest.replay_quarantine(rejected, newer_rules, none_stored)
+    types = b.table(spark, d, "events").select(F.col("event_type").alias("source")).distinct()
+    done = out.filter("outcome = 'new'").groupBy("source").agg(F.count(F.lit(1)).alias("appended"))
+    return types.join(done, "source", "left").fillna(0, ["appended"])
+
+
+EARLIER = "2001-04-30 00:00:00"
+_FIELDS = ("source", "source_id", "observed_at", "price_eur", "year", "mileage_km")
+
+
+def _signed(spark, d, moment):
+    """Fresh listings at a moment with their own and their basis signature."""
+    at = F.lit(moment).cast("timestamp")
+    f = temporal.fresh(temporal.latest_as_of(b.asks(spark, d), at, ties=b.TIES), at, b.WINDOW_DAYS)
+    pool = f.filter("price_kind = 'total'").select(*_FIELDS, "make", "model")
+    signed = incremental.with_signature(f)
+    pairs = peers.strict_comparables(f.select(*_FIELDS, "make", "model"), pool, keys=("source", "make", "model"))
+    return incremental.basis_signatures(signed, pairs, _FIELDS)
+
+
+def _at_sql(name: str, moment: str) -> str:
+    own = "fuel, transmission, generation, trim, province, seller_type, condition, year, mileage_km, price_eur, price_kind, city, active, url"
+    return f"""{name}_f as (select * exclude (rn) from (select *, row_number() over (partition by source, source_id order by observed_at desc, version_key desc, cents desc) rn from asks where observed_at <= timestamp '{moment}') where rn = 1 and active and observed_at >= timestamp '{moment}' - interval {b.WINDOW_DAYS} day),
+ {name} as (select t.source, t.source_id, t.observed_at, t.price_eur, cast(row({own.replace(", ", ", t.").replace("fuel", "t.fuel", 1)}) as string) as sig, coalesce(pp.basis, '') as basis from {name}_f t left join (select t.source, t.source_id, string_agg(concat_ws('/', p.source_id, cast(p.observed_at as string), cast(p.price_eur as string), cast(p.year as string), cast(p.mileage_km as string)), ';' order by p.source_id) as basis
+  from {name}_f t join {name}_f p on t.source = p.source and t.make = p.make and t.model = p.model and abs(t.year - p.year) <= 1 and abs(t.mileage_km - p.mileage_km) <= 20000 and t.source_id <> p.source_id where p.price_kind = 'total' group by 1, 2) pp using (source, source_id))"""
+
+
+@query("change_driven_rescoring", b.with_asks("""select n.source, n.source_id, case when o.source is null then 'new' when o.sig <> n.sig then 'listing_changed' when o.basis <> n.basis then 'basis_changed' else 'unchanged' end as change from nw n left join ol o on o.source = n.source and o.source_id = n.source_id""", _at_sql("nw", b.AS_OF), _at_sql("ol", EARLIER)))
+def change_driven_rescoring(spark, d):
+    old = _signed(spark, d, EARLIER).select("source", "source_id", "signature", "basis_signature", F.lit(EARLIER).cast("timestamp").alias("as_of"), F.lit(1).alias("id"))
+    return incremental.rescoring_plan(_signed(spark, d, b.AS_OF), old).select("source", "source_id", "change")
+
+
+@query("visible_candidates", b.with_asks("""select o.source, o.source_id from ol o join nw n on o.source = n.source and o.source_id = n.source_id and o.observed_at = n.observed_at and o.sig = n.sig and o.basis = n.basis where o.price_eur < 9000""", _at_sql("nw", b.AS_OF), _at_sql("ol", EARLIER)))
+def visible_candidates(spark, d):
+    cheap = F.col("price_eur") < 9000
+    old = _signed(spark, d, EARLIER).withColumns({"as_of": F.lit(EARLIER).cast("timestamp"), "id": F.lit(1), "selected": cheap})
+    return incremental.visible_candidates(old, _signed(spark, d, b.AS_OF).withColumn("selected", cheap)).select("source", "source_id")
