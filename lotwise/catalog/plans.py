@@ -76,23 +76,24 @@ def market_experts(spark, d):
     return out.select("source", "source_id", "view", "comparable_count", "envelope_low_eur", "envelope_high_eur")
 
 
-def _research_rows(spark, d):
-    """Fresh listings regrouped so that variants hold enough peers to fit prices."""
-    f = b.fresh(spark, d)
-    return f.select(
+def _research_rows(spark, d, ids_per_trim=200, trend=True):
+    """Fresh listings regrouped into variants of a size that does not grow with the tables."""
+    trend_price = F.col("price_eur") / 4 + 9000 + 700 * (F.col("year") - 1998) - F.col("mileage_km") / 40
+    return b.fresh(spark, d).select(
         "source", "source_id", "observed_at", "active", F.col("model").alias("make"), F.lit("all").alias("model"), F.lit("petrol").alias("fuel"), "transmission", "seller_type", "year", "mileage_km",
-        (F.col("price_eur") / 4 + 9000 + 700 * (F.col("year") - 1998) - F.col("mileage_km") / 40).cast("bigint").alias("price_eur"), F.lit("total").alias("price_kind"), "city",
-        F.lit("undamaged").alias("condition"), F.lit("").alias("title"), F.lit("").alias("description"), F.lit("g1").alias("generation"), F.lit("t1").alias("trim"), F.lit(None).cast("string").alias("version_text"),
+        (trend_price if trend else F.col("price_eur")).cast("bigint").alias("price_eur"), F.lit("total").alias("price_kind"), "city", F.lit("undamaged").alias("condition"), F.lit("").alias("title"), F.lit("").alias("description"),
+        F.lit("g1").alias("generation"), F.floor(F.col("source_id").cast("bigint") / ids_per_trim).cast("string").alias("trim"), F.lit(None).cast("string").alias("version_text"),
+        F.when(F.col("version_key") % 10 == 7, "minor").when(F.col("version_key") % 10 > 7, "moderate").otherwise("unknown").alias("damage_severity"),
     )
 
 
 @query("price_context")
 def price_context(spark, d):
-    pairs = research.research_pairs(research.prepare(_research_rows(spark, d), "exploratory"), "exploratory")
+    pairs = research.research_pairs(research.prepare(_research_rows(spark, d).drop("damage_severity"), "exploratory"), "exploratory")
     return stats.price_context(pairs, F.col("near")).select("source", "source_id", "cohort_count", "context_count", "method", "confidence", "asking_low_eur", "asking_typical_eur", "asking_high_eur", "validation_error_eur")
 
 
-_RR = """rr as (select source, source_id, model as make, transmission, seller_type, year, mileage_km, city, cast(trunc(price_eur / 4 + 9000 + 700 * (year - 1998) - mileage_km / 40) as bigint) as price_eur from fresh)"""
+_RR = """rr as (select source, source_id, concat(model, '/', cast(cast(source_id as bigint) // 200 as string)) as make, transmission, seller_type, year, mileage_km, city, cast(trunc(price_eur / 4 + 9000 + 700 * (year - 1998) - mileage_km / 40) as bigint) as price_eur from fresh)"""
 
 
 @query("price_context_counts", b.with_asks("""select t.source, t.source_id, count(distinct (p.year, p.mileage_km, p.price_eur, p.city)) as cohort_count, count(distinct (p.year, p.mileage_km, p.price_eur, p.city)) filter (abs(t.year - p.year) <= 2 and abs(t.mileage_km - p.mileage_km) <= 40000) as context_count
@@ -108,18 +109,18 @@ def learning_summary(spark, d):
 
 @query("research_strict")
 def research_strict(spark, d):
-    return research.research_leads(_research_rows(spark, d), "strict").select("source", "source_id", "price_band", "comparable_count", "asking_low_eur", "gross_headroom_eur")
+    return research.research_leads(_research_rows(spark, d, 2000, False), "strict").select("source", "source_id", "price_band", "comparable_count", "asking_low_eur", "gross_headroom_eur")
 
 
 @query("research_exploratory")
 def research_exploratory(spark, d):
-    leads = research.research_leads(_research_rows(spark, d), "exploratory")
+    leads = research.research_leads(_research_rows(spark, d, 400, False), "exploratory")
     return research.research_selection(leads, "exploratory", 20).select("source", "source_id", "price_band", "comparable_count", "gross_headroom_eur", "selection_rank")
 
 
 @query("research_opportunities")
 def research_opportunities(spark, d):
-    leads = research.research_leads(_research_rows(spark, d), "opportunities")
+    leads = research.research_leads(_research_rows(spark, d, 400, False), "opportunities")
     return research.research_selection(leads, "opportunities", 20).select("source", "source_id", "damage_category", "price_band", "priority_score", "selection_rank")
 
 
@@ -148,8 +149,13 @@ def collection_price_screen(spark, d):
 
 
 def _third(spark, d):
-    f = b.fresh(spark, d).withColumn("raw_miles", F.lit(None).cast("double")).withColumn("seller_conflicts", F.array().cast("array<string>"))
-    return f.filter("source = 'a'"), f.filter("source <> 'a'")
+    # Headlines are left out, so that families hold comparable cars; half of the adverts give a unit-less mileage.
+    f = b.fresh(spark, d).withColumns({
+        "title": F.lit(""), "version_text": F.lit(None).cast("string"), "model": F.lit("all"), "make": F.floor(F.col("source_id").cast("bigint") / 1000).cast("string"), "generation": F.lit(None).cast("string"), "displacement_cc": F.lit(None).cast("bigint"), "raw_miles": F.when(F.col("version_key") % 2 == 0, F.col("mileage_km").cast("double")),
+        "seller_conflicts": F.array().cast("array<string>"),
+    })
+    unlabelled = F.when(F.col("raw_miles").isNull(), F.col("mileage_km"))
+    return f.filter("source = 'a'").withColumn("mileage_km", unlabelled), f.filter("source <> 'a'")
 
 
 @query("third_party_report")

@@ -73,7 +73,7 @@ def feasibility(price: Column, reference: Column, confidence: Column) -> dict[st
         minimum_required_net_margin_eur=required,
         remaining_cost_budget_eur=budget,
         passes_necessary_budget=budget > 0,
-        priority_score=F.bround(F.greatest(F.lit(0), budget) / price * weight, 6),
+        priority_score=F.bround(F.try_divide(F.greatest(F.lit(0), budget), price) * weight, 6),
     )
 
 

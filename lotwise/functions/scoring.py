@@ -18,9 +18,9 @@ def judgment(
     kind: Column, age: Column, detailed: Column, conflicts: Column, category: Column,
 ) -> Column:
     """``struct`` of the score, its components and the open flags of one lead."""
-    discount = F.when(lowest > 0, F.greatest(F.lit(0.0), (lowest - price) / lowest)).otherwise(0.0)
+    discount = F.when(lowest > 0, F.greatest(F.lit(0.0), F.try_divide(lowest - price, lowest))).otherwise(0.0)
     spare = F.greatest(F.lit(0), F.coalesce(headroom, F.lit(0)))
-    price_score = F.least(F.lit(20.0), discount * 40) + F.least(F.lit(15.0), spare / required * 10)
+    price_score = F.least(F.lit(20.0), discount * 40) + F.least(F.lit(15.0), F.try_divide(spare, required) * 10)
     evidence = F.lit(0)
     for name, points in COMMON_FIELDS.items():
         evidence = evidence + F.when(tx.present(name), points).otherwise(0)

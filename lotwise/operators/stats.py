@@ -75,7 +75,7 @@ def asking_benchmark(
     start = as_of - F.expr(f"interval {int(window_days)} days")
     outside = ~F.col("active") | (F.col("observed_at") < start) | (F.col("observed_at") > as_of)
     count = F.coalesce(F.col("comparable_count"), F.lit(0))
-    spread = (F.col("p75") - F.col("p25")) / F.col("p50")
+    spread = F.try_divide(F.col("p75") - F.col("p25"), F.col("p50"))
     reason = F.coalesce(
         F.when(outside | (F.col("price_kind") != "total"), F.lit("target_not_usable")),
         F.when(count < minimum, F.lit("too_few_comparables")),
@@ -195,14 +195,14 @@ def with_robust_fit(points: DataFrame, group: Sequence[str], train: Column, roun
         d = d.withColumns({f"_s{k}": F.sum(v).over(whole) for k, v in moments.items()})
         s = {k: F.col(f"_s{k}") for k in moments}
         # Centred second moments reduce the system to two unknowns.
-        mxx, mzz = s["xx"] - s["x"] * s["x"] / s["w"], s["zz"] - s["z"] * s["z"] / s["w"]
-        mxz = s["xz"] - s["x"] * s["z"] / s["w"]
-        mxy, mzy = s["xy"] - s["x"] * s["y"] / s["w"], s["zy"] - s["z"] * s["y"] / s["w"]
+        centred = lambda pair, a, b: s[pair] - F.try_divide(s[a] * s[b], s["w"])
+        mxx, mzz, mxz = centred("xx", "x", "x"), centred("zz", "z", "z"), centred("xz", "x", "z")
+        mxy, mzy = centred("xy", "x", "y"), centred("zy", "z", "y")
         det = mxx * mzz - mxz * mxz
         solvable = (s["w"] > 0) & (mxx > 1e-8) & (det > 1e-8 * mxx)
-        d = d.withColumn("b1", F.when(solvable, (mxy * mzz - mzy * mxz) / det))
-        d = d.withColumn("b2", F.when(solvable, (mzy * mxx - mxy * mxz) / det))
-        d = d.withColumn("b0", (s["y"] - F.col("b1") * s["x"] - F.col("b2") * s["z"]) / s["w"])
+        d = d.withColumn("b1", F.when(solvable, F.try_divide(mxy * mzz - mzy * mxz, det)))
+        d = d.withColumn("b2", F.when(solvable, F.try_divide(mzy * mxx - mxy * mxz, det)))
+        d = d.withColumn("b0", F.try_divide(s["y"] - F.col("b1") * s["x"] - F.col("b2") * s["z"], s["w"]))
         d = d.drop(*[f"_s{k}" for k in moments])
         if step == rounds - 1:
             break
@@ -247,7 +247,7 @@ def price_context(pairs: DataFrame, near: Column, *, group: Sequence[str] = ("so
     fitted = F.col("b0") + F.col("b1") * F.col("dy") + F.col("b2") * F.col("dkm")
     held = lambda c: F.when(F.col("_held"), c)
     d = d.withColumn("_mae", F.median(held(F.abs(F.col("price") - fitted))).over(whole))
-    d = d.withColumn("relative_error", F.col("_mae") / F.median(held(F.col("price"))).over(whole))
+    d = d.withColumn("relative_error", F.try_divide(F.col("_mae"), F.median(held(F.col("price"))).over(whole)))
     d = d.withColumn("adopted", F.coalesce(F.col("relative_error") <= 0.20, F.lit(False)))
     shift = F.when(F.col("adopted"), F.col("b1") * F.col("dy") + F.col("b2") * F.col("dkm")).otherwise(0.0)
     d = d.filter(near).withColumn("_adj", F.greatest(F.lit(1), F.bround(F.col("price") - shift, 0).cast("bigint")))

@@ -137,7 +137,7 @@ def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     ranked = df.withColumn("_i", F.row_number().over(w) - 1).join(counts, list(group))
     last = F.lit(size - 1)
     # Rank i is kept when some step s gives round_half_even(s * (n - 1) / (size - 1)) = i.
-    near = F.floor(F.col("_i") * last / (F.col("_n") - 1))
+    near = F.floor(F.try_divide(F.col("_i") * last, F.col("_n") - 1))
     steps = [near - 1, near, near + 1, near + 2]
     hit = F.lit(False)
     for s in steps:
