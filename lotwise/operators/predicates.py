@@ -63,7 +63,7 @@ def listing_issue(df: DataFrame, as_of: Column) -> Column:
 
 def parse_listings(df: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Valid listings with normal text, and the rejected rows with their issue."""
-    checked = df.withColumn("issue", listing_issue(df, as_of))
+    checked = tx.staged(df, {"issue": listing_issue(df, as_of)})
     valid = checked.filter(F.col("issue").isNull()).drop("issue")
     for name in ("source",) + S.COHORT + ("province", "condition", "city"):
         if name in valid.columns:

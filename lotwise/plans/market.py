@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import staged
 from ..operators import peers, stats, temporal
 from ..operators.predicates import listing_issue
 from ..schema import COHORT
@@ -18,7 +19,7 @@ def usable_latest(events: DataFrame, as_of: Column, window_days: int = 30, ties:
     """Newest version per listing, then valid, active and fresh ones."""
     latest = temporal.latest_as_of(events, as_of, ties=ties)
     if validate:
-        latest = latest.filter(listing_issue(latest, as_of).isNull())
+        latest = staged(latest, {"_issue": listing_issue(latest, as_of)}).filter(F.col("_issue").isNull()).drop("_issue")
     return temporal.fresh(latest, as_of, window_days)
 
 

@@ -27,36 +27,21 @@ def listings(spark, rows):
     return df.withColumn("observed_at", as_of() - F.make_interval(days=F.col("days").cast("int"))).drop("days")
 
 
-def screen(spark, rows, **options):
-    out = market.market_screen(listings(spark, rows), as_of(), **options).collect()
-    return {r["source_id"]: r for r in out}
-
-
-def test_eight_peers_give_a_benchmark(spark):
-    rows = [{}] + [dict(source_id=f"p{i}", price_eur=10_000 + 100 * i) for i in range(8)]
-    assert screen(spark, rows)["t"]["p50"] == 10_300
-
-
-def test_seven_peers_are_too_few(spark):
-    rows = [{}] + [dict(source_id=f"p{i}", price_eur=10_000 + 100 * i) for i in range(7)]
-    t = screen(spark, rows)["t"]
-    assert t["benchmark_issue"] == "too_few_comparables" and t["reason"] == "insufficient_comparables"
-
-
-def test_dispersed_prices_block(spark):
-    rows = [{}] + [dict(source_id=f"p{i}", price_eur=5_000 if i < 4 else 20_000) for i in range(8)]
-    assert screen(spark, rows)["t"]["benchmark_issue"] == "too_dispersed"
-
-
-def test_removed_version_retires_the_old_good_one(spark):
-    rows = [{}] + [dict(source_id=f"p{i}", price_eur=10_000 + 100 * i, days=2) for i in range(8)] + [dict(source_id="p3", active=False, days=1)]
-    assert screen(spark, rows)["t"]["comparable_count"] == 7
-
-
-def test_national_fallback_serves_sparse_provinces(spark):
-    rows = [dict(province="roma", price_eur=8_000)] + [dict(source_id=f"p{i}", price_eur=10_000 + 10 * i) for i in range(9)]
-    t = screen(spark, rows)["t"]
-    assert t["scope"] == "national" and t["selected"] and t["route"] == "verification"
+def test_screening_rules(spark):
+    """Every case is its own source, so one screen judges them all."""
+    peers_of = lambda s, n, step=100, **kw: [dict(source=s, source_id=f"p{i}", price_eur=10_000 + step * i, **kw) for i in range(n)]
+    cases = {s: dict(source=s) for s in ("eight", "seven", "wide", "removed")}
+    rows = list(cases.values()) + [dict(source="nation", province="roma", price_eur=8_000)]
+    rows += peers_of("eight", 8) + peers_of("seven", 7) + peers_of("nation", 9, 10)
+    rows += [dict(source="wide", source_id=f"p{i}", price_eur=5_000 if i < 4 else 20_000) for i in range(8)]
+    rows += peers_of("removed", 8, days=2) + [dict(source="removed", source_id="p3", active=False, days=1)]
+    out = market.market_screen(listings(spark, rows), as_of()).filter("source_id = 't'").collect()
+    got = {r["source"]: r for r in out}
+    assert got["eight"]["p50"] == 10_300
+    assert (got["seven"]["benchmark_issue"], got["seven"]["reason"]) == ("too_few_comparables", "insufficient_comparables")
+    assert got["wide"]["benchmark_issue"] == "too_dispersed"
+    assert got["removed"]["comparable_count"] == 7
+    assert got["nation"]["scope"] == "national" and got["nation"]["selected"] and got["nation"]["route"] == "verification"
 
 
 def test_required_margin_tiers(spark):
