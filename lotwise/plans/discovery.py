@@ -10,6 +10,7 @@ from ..functions.damage import with_damage
 from ..functions.terms import amount_usable
 from ..operators import peers, predicates, stats
 from ..operators.temporal import pick_first
+from ..session import cut_lineage
 
 
 def prepare(rows: DataFrame) -> DataFrame:
@@ -50,9 +51,9 @@ def discovery_leads(rows: DataFrame, as_of: Column) -> DataFrame:
     a peer; severe damage is neither target nor peer.
     """
     p = prepare(rows)
-    usable = p.filter(
+    usable = cut_lineage(p.filter(
         predicates.identity_present() & amount_usable(F.col("price_eur"), F.col("price_kind"), F.col("body")) & (F.col("damage_group") != "severe")
-    )
+    ), "usable")
     screened = screen_cells(peers.advert_cells(usable)).filter(F.col("price_eur").between(1000, 20_000) & F.col("apparent_opportunity"))
     facts = screened.select(
         "cell", "comparable_count", "asking_typical_eur", "asking_low_eur", "gross_headroom_eur", "close_count", "lowest_comparable_asking_eur",

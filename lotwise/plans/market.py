@@ -11,6 +11,7 @@ from ..functions.text import staged
 from ..operators import peers, stats, temporal
 from ..operators.predicates import listing_issue
 from ..schema import COHORT
+from ..session import cut_lineage
 
 PEER_FIELDS = ("source", "source_id", "observed_at", "price_eur", "year", "mileage_km", "province", "condition")
 
@@ -30,7 +31,8 @@ def asking_benchmarks(
     keys = ("source", *cohort)
     local_pairs = peers.strict_comparables(targets, pool, keys=(*keys, "province"))
     options = dict(window_days=window_days, max_dispersion=max_dispersion)
-    local = stats.asking_benchmark(targets, local_pairs, as_of, **options)
+    # Used twice, for the served and for the rest: computed once into the shared folder.
+    local = cut_lineage(stats.asking_benchmark(targets, local_pairs, as_of, **options), "benchmark")
     served = local.filter("benchmark_status = 'benchmark_available'").withColumn("scope", F.lit("province"))
     rest = targets.join(served.select("source", "source_id"), ["source", "source_id"], "left_anti")
     national = stats.asking_benchmark(rest, peers.strict_comparables(rest, pool, keys=keys), as_of, **options)
@@ -58,7 +60,8 @@ def market_screen(
     ties: Sequence[str] = (), validate: bool = True,
 ) -> DataFrame:
     """Latest versions, strict peers, weighted quartiles and the screening decision."""
-    targets = usable_latest(events, as_of, window_days, ties, validate)
+    # Every later step starts from these rows; writing them once saves repeated scans of the events.
+    targets = cut_lineage(usable_latest(events, as_of, window_days, ties, validate), "latest")
     pool = targets.filter((F.col("price_kind") == "total") & (F.col("condition") == "undamaged")).select(
         *dict.fromkeys(("source", "source_id", "observed_at", "price_eur", "year", "mileage_km", "province", *cohort))
     )

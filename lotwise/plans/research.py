@@ -10,6 +10,7 @@ from ..functions.damage import risky, with_damage
 from ..operators import peers, predicates, selection, stats
 from ..operators.temporal import pick_first
 from ..schema import PROFILES
+from ..session import cut_lineage
 
 MATCH = ("make", "model", "fuel_key", "gear_key", "seller_key")
 TECHNICAL = tuple(f for f in peers.SAME_VARIANT_FIELDS)
@@ -53,7 +54,7 @@ def research_pairs(prepared: DataFrame, profile: str) -> DataFrame:
 def research_leads(rows: DataFrame, profile: str = "strict") -> DataFrame:
     """Targets with enough analogies whose stressed reference leaves the required headroom."""
     p = PROFILES[profile]
-    prepared = prepare(rows, profile)
+    prepared = cut_lineage(prepare(rows, profile), "prepared")
     g = ["source", "source_id"]
     pairs = research_pairs(prepared, profile)
     # Distinct near offers: version or trim tells offers apart here.
@@ -62,6 +63,7 @@ def research_leads(rows: DataFrame, profile: str = "strict") -> DataFrame:
     first = Window.partitionBy(*g, "p_year", "p_mileage_km", label, "p_price_eur", "p_city").orderBy(F.col("near").desc(), "p_source", "p_source_id")
     d = d.withColumn("_one", F.when((F.row_number().over(first) == 1) & F.col("near"), 1))
     d = d.withColumn("comparable_count", F.count("_one").over(Window.partitionBy(*g))).filter(F.col("comparable_count") >= p["min_peers"]).drop("_one")
+    d = cut_lineage(d, "pairs")
     counts = d.groupBy(*g).agg(F.first("comparable_count").alias("comparable_count"))
     context = stats.price_context(d.drop("comparable_count"), F.col("near"))
     leads = prepared.join(context, g).join(counts, g)
