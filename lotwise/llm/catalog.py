@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, packing, simhash, token_counts, toxicity
+from . import chat, decontamination, licences, packing, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,29 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def _licence_sql() -> str:
+    """The oracle, with the built-in lists written out."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in licences.KNOWN)
+    plain = r"trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g'))"
+    for a, b in licences.SPELLINGS:
+        plain = f"regexp_replace({plain}, '\\b{a}(s?)\\b', '{b}\\1', 'g')"
+    canonical = rf"case when regexp_matches(lower(line), '^[^\p{{L}}\p{{N}}©]*(copyright\b|\(c\)|©|all rights reserved)') then '' else {plain} end"
+    return f"""
+    with known as (select * from (values {known}) t(licence, text)),
+    k_lines as (select rid, licence, n, {canonical} as c from (select rid, licence, generate_subscripts(ls, 1) as n, unnest(ls) as line from (select row_number() over () as rid, licence, string_split(text, chr(10)) as ls from known))),
+    k as (select c, min(licence) as licence from (select rid, min(licence) as licence, string_agg(c, ' ' order by n) as c from k_lines where c <> '' group by rid) group by c),
+    d as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+    d_lines as (select rid, n, {canonical} as c from (select rid, generate_subscripts(ls, 1) as n, unnest(ls) as line from d)),
+    whole as (select rid, string_agg(c, ' ' order by n) as c from d_lines where c <> '' group by rid),
+    notices as (select rid, count(*) as n_notices, string_agg(distinct licence, ',' order by licence) as licences from d_lines join k using (c) group by rid)
+    select doc_id, k.licence as whole_licence, coalesce(n_notices, 0)::bigint as n_notices, coalesce(licences, '') as licences, sha256(coalesce(whole.c, '')) as canonical_sha256
+    from d left join whole using (rid) left join k on whole.c = k.c left join notices using (rid)
+    """
+
+
+@_query("op9_licence_scans", _licence_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"), licences.known_licences(spark))
