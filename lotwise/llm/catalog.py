@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licences, packing, simhash, token_counts, toxicity
+from . import chat, decontamination, licences, line_dedup, packing, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,38 @@ def _licence_sql() -> str:
 @_query("op9_licence_scans", _licence_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+@_query(
+    "op6_line_dedup",
+    """
+    with l as (
+        select rid, doc_id, n, line from (select rid, doc_id, generate_subscripts(ls, 1) as n, unnest(ls) as line from (select row_number() over () as rid, doc_id, string_split(text, chr(10)) as ls from documents where text is not null))
+    ), f as (
+        select line, rid, n, length(line) as size, row_number() over (order by doc_id nulls first, n) as place
+        from (select *, row_number() over (partition by line order by doc_id nulls first, n) as k from l where line <> '') where k = 1
+    ), short_keys as (
+        select place, line, size as m, unnest([1, 2, 3]) as kind, unnest([substr(line, 1, size // 3), right(line, size // 3), substr(line, size // 3 + 1, size // 3)]) as part from f where size >= 20
+    ), long_keys as (
+        select place, line, m, unnest([1, 2, 3, 3, 3]) as kind,
+            unnest([substr(line, 1, m // 3), right(line, m // 3), substr(line, m // 3, m // 3), substr(line, m // 3 + 1, m // 3), substr(line, m // 3 + 2, m // 3)]) as part
+        from (select place, line, size, unnest([size, size - 1, size - 2]) as m from f where size >= 20) where m >= 20
+    ), pairs as (
+        select distinct a.place as p, b.place as q, a.line as x, b.line as y from short_keys a join long_keys b using (m, kind, part) where a.place <> b.place
+    ), gone as (
+        select distinct greatest(p, q) as place from pairs where levenshtein(x, y) <= 2
+    ), judged as (
+        select l.rid, l.n, l.line, f.place is not null as is_first, gone.place is not null as is_near
+        from l left join f on l.rid = f.rid and l.n = f.n left join gone on f.place = gone.place
+    ), done as (
+        select rid, count(*) filter (line <> '') as n_lines, count(*) filter (line <> '' and not is_first) as n_repeated, count(*) filter (is_near) as n_near,
+            sha256(coalesce(string_agg(line, chr(10) order by n) filter (line = '' or (is_first and not is_near)), '')) as kept_sha256
+        from judged group by rid
+    )
+    select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_repeated, 0)::bigint as n_repeated, coalesce(n_near, 0)::bigint as n_near, kept_sha256
+    from (select row_number() over () as rid, doc_id from documents where text is not null union all select null, doc_id from documents where text is null) left join done using (rid)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_repeated", "n_near", F.sha2("text", 256).alias("kept_sha256"))
