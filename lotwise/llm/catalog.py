@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licences, line_dedup, packing, simhash, token_counts, toxicity
+from . import chat, decontamination, licences, line_dedup, neighbours, packing, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_repeated", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
