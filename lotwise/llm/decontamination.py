@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.session import cut_lineage
+
 #: Index rows up to which the benchmark is sent to every executor (about 200 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 _POSITION_BITS = 30
@@ -127,10 +129,11 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """Documents that share no window with the benchmark, with all their columns.
 
-    Only the distinct texts of contaminated documents travel back: rows are matched on the SHA-256 of
-    the text, so rows of equal text share one decision whatever their ids are.
+    Rows are matched on the SHA-256 of the text, so rows of equal text share one decision whatever
+    their ids are; null texts stay. Only digests of contaminated texts travel.
     """
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    keyed = docs.select(digest.alias("doc_id"), "text")
-    bad = find_contamination(keyed, benchmark, window, k).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("__text_digest")).distinct()
-    return docs.withColumn("__digest", digest).join(bad, F.col("__digest") == F.col("__text_digest"), "left_anti").drop("__digest")
+    found = find_contamination(docs.select(digest.alias("doc_id"), "text"), benchmark, window, k)
+    bad = cut_lineage(found.where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    few = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.withColumn("__digest", digest).join(F.broadcast(bad) if few else bad, F.col("__digest") == F.col("__bad"), "left_anti").drop("__digest")

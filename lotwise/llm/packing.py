@@ -97,14 +97,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
                     piece = whole[at : at + width]
                     row = (doc_id, key, at // 4, len(piece) // 4, zlib.crc32(piece), len(whole) // 4)
                     rows.append((*row, np.frombuffer(piece, "<u4").astype("i8")) if keep_ids else row)
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = pd.array([r[0] for r in rows], dtype=batch["doc_id"].dtype) if rows else out["doc_id"]
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, doc_key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<bigint>" * keep_ids
+    schema = "doc_id string, doc_key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<bigint>" * keep_ids
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).alias("doc_key"), "text")
-    return keyed.mapInPandas(pieces, schema)
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).alias("doc_key"), "text")
+    return keyed.mapInPandas(pieces, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:

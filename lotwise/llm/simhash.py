@@ -52,13 +52,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, text_key (a hash of the text) and fingerprint (bigint of the same bits) of every row."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "fingerprint": bits})
+    @F.pandas_udf("bigint")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), "text")
-    return keyed.mapInPandas(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, fingerprint bigint")
+    return docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), hashed("text").alias("fingerprint"))
 
 
 def gray_rank(bits: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words whose counts a worker remembers before it starts anew.
@@ -117,11 +118,10 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     no rows; extra columns are not read. Nothing is shuffled; a lost task is simply run again.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("bigint")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = _counter(vocabulary_path)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_chars": [len(t) for t in texts], "n_tokens": [counter.text(t) for t in texts]})
+        for texts in batches:
+            yield pd.Series([counter.text(t or "") for t in texts], dtype="int64")
 
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(counted, f"doc_id {doc_id}, n_chars bigint, n_tokens bigint")
+    return docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"), counted("text").alias("n_tokens"))
