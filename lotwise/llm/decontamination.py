@@ -56,9 +56,12 @@ def _entries(h: Column, window: int, k: int, short: tuple[int, ...]) -> Column:
     least = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(n - (window - 1), F.lit(0))), lambda x, i: F.least(x, *(F.get(c, i + j) for j in range(1, window - k + 1))))
     kept = F.array_distinct(_bound(coded, least))
     entries = [F.transform(kept, lambda c: entry(F.lit(window), F.shiftright(c, _POSITION_BITS), c.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int"), back, reach))]
-    for length in short:
+
+    def grams(length: int) -> Column:
         first = F.slice(h, F.lit(1), F.greatest(n - (length - 1), F.lit(0)))
-        entries.append(F.transform(first, lambda x, i, length=length: entry(F.lit(length), gram(i, x, length, F.lit(length)), i, 0, length)))
+        return F.transform(first, lambda x, i: entry(F.lit(length), gram(i, x, length, F.lit(length)), i, 0, length))
+
+    entries += map(grams, short)
     return reduce(F.concat, entries)
 
 
