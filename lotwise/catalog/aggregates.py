@@ -70,7 +70,7 @@ def broad_signal(spark, d):
 
     rows = _broad(spark, d).filter("price_eur > 0")
     signal = stats.broad_signal(peers.broad_peer_cells(peers.advert_cells(rows)))
-    keyed = rows.withColumn("cell", F.xxhash64(*peers.BROAD_CELL)).select("source", "source_id", "cell")
+    keyed = rows.withColumn("cell", peers.cell_key(peers.BROAD_CELL)).select("source", "source_id", "cell")
     return keyed.join(signal, "cell").select(
         "source", "source_id", "comparable_count", "asking_typical_eur", "asking_low_eur", "apparent_opportunity", "close_count"
     )

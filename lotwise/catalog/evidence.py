@@ -189,11 +189,11 @@ def stress_scenarios(spark, d):
 
 @query("holding_cost", """select o_orderkey as k, case when not (days between case when sev then 90 else 45 end and 730) then 'holding days out of range' when n is null or n <> 3 or nd <> 3 then 'holding categories incomplete' when not ok then 'holding rate not usable' end as issue,
  case when days between case when sev then 90 else 45 end and 730 and n = 3 and nd = 3 and ok then day * days end as holding_high_cents from (select o_orderkey, 30 + o_custkey % 120 as days, o_orderstatus = 'F' as sev from orders)
- left join (select l_orderkey, count(*) n, count(distinct l_linenumber) nd, bool_and(l_tax < 0.075) ok, cast(sum(cast(l_quantity as bigint)) as bigint) as day from lineitem where l_linenumber <= 3 group by 1) on l_orderkey = o_orderkey""")
+ left join (select l_orderkey, count(*) n, count(distinct l_linenumber % 3) nd, bool_and(l_tax < 0.075) ok, cast(sum(cast(l_quantity as bigint)) as bigint) as day from lineitem group by 1) on l_orderkey = o_orderkey""")
 def holding_cost(spark, d):
     plans = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 120 + 30).alias("planned_days"), (F.col("o_orderstatus") == "F").alias("severe"))
     names = F.array(*[F.lit(n) for n in S.HOLDING_COSTS])
-    rates = _cost_lines(spark, d).filter("l_linenumber <= 3").withColumn("name", F.element_at(names, F.col("l_linenumber"))).withColumns({
+    rates = _cost_lines(spark, d).withColumn("name", F.element_at(names, (F.col("l_linenumber") % 3 + 1).cast("int"))).withColumns({
         "high_cents": F.col("low_cents"), "unit": F.lit("day"), "zero_basis": F.lit(None).cast("string"), "quoted_at": F.lit("2000-01-01").cast("timestamp"),
     })
     return economics.holding_cost(plans, rates, ["k"], at())
@@ -282,10 +282,10 @@ def repair_quote_totals(spark, d):
     return economics.repair_quotes_total(required, quotes, ["k"], at())
 
 
-@query("cost_scenario", b.with_asks("""select source, source_id, mileage_km // 2 + mileage_km // 4 as total_cost_low_cents, mileage_km + mileage_km // 2 as total_cost_high_cents, cents - price_eur * 100 - (mileage_km + mileage_km // 2) as scenario_low_cents from fresh where cents % 100 = 0"""))
+@query("cost_scenario", b.with_asks("""select source, source_id, mileage_km // 2 + mileage_km // 4 as total_cost_low_cents, mileage_km + mileage_km // 2 as total_cost_high_cents, cents // 100 * 100 - price_eur * 100 - (mileage_km + mileage_km // 2) as scenario_low_cents  from fresh"""))
 def cost_scenario(spark, d):
     half, quarter = F.floor(F.col("mileage_km") / 2).cast("bigint"), F.floor(F.col("mileage_km") / 4).cast("bigint")
-    f = b.fresh(spark, d).filter("cents % 100 = 0").withColumns({
+    f = b.fresh(spark, d).withColumns({
         "operations_low_cents": quarter, "operations_high_cents": half, "repairs_low_cents": half, "repairs_high_cents": F.col("mileage_km"),
         "p25_eur": F.floor(F.col("cents") / 100).cast("bigint"), "p75_eur": F.floor(F.col("cents") / 50).cast("bigint"),
     })
@@ -329,8 +329,9 @@ def repaired_history_ceiling(spark, d):
 
 def _plan_offers(spark, d):
     li = b.table(spark, d, "lineitem")
-    parts_t = li.filter("l_linenumber <= 3").select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("string").alias("part_id"), F.col("l_linenumber").cast("string").alias("repair_id"), F.lit("x").alias("part_number"), F.lit(1).alias("quantity"),
+    part = (F.col("l_linenumber") % 3 + 1).cast("string")
+    parts_t = li.select(
+        F.col("l_orderkey").alias("k"), part.alias("part_id"), part.alias("repair_id"), F.lit("x").alias("part_number"), F.lit(1).alias("quantity"),
     ).distinct()
     offers = _checked(li.select(
         F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 3 + 1).cast("string").alias("part_id"), F.lit(True).alias("fitment_confirmed"), (F.col("l_returnflag") != "R").alias("available"), F.lit("x").alias("offer_part_number"),
@@ -341,7 +342,7 @@ def _plan_offers(spark, d):
     return parts_t, offers
 
 
-_PLAN = """pp as (select distinct l_orderkey k, cast(l_linenumber as string) part_id from lineitem where l_linenumber <= 3), oo as (select l_orderkey k, cast(l_linenumber % 3 + 1 as string) part_id, l_returnflag <> 'R' ok, cast(round(l_extendedprice * 100) as bigint) c, cast(l_suppkey as string) s from lineitem),
+_PLAN = """pp as (select distinct l_orderkey k, cast(l_linenumber % 3 + 1 as string) part_id from lineitem), oo as (select l_orderkey k, cast(l_linenumber % 3 + 1 as string) part_id, l_returnflag <> 'R' ok, cast(round(l_extendedprice * 100) as bigint) c, cast(l_suppkey as string) s from lineitem),
  pl as (select k, part_id, count(*) filter (ok) as accepted_offers, count(*) filter (not ok) as rejected_offers, min(c) filter (ok) as cheapest_all_in_cents from pp join oo using (k, part_id) group by 1, 2)"""
 
 

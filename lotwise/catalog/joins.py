@@ -78,7 +78,7 @@ def broad_peers(spark, d):
     offers = peers.broad_peer_cells(cells).groupBy("cell").agg(
         F.count(F.lit(1)).alias("comparable_count"), F.min("p_price_eur").alias("asking_low_eur")
     )
-    return rows.withColumn("cell", F.xxhash64(*peers.BROAD_CELL)).join(offers, "cell").select("source", "source_id", "comparable_count", "asking_low_eur")
+    return rows.withColumn("cell", peers.cell_key(peers.BROAD_CELL)).join(offers, "cell").select("source", "source_id", "comparable_count", "asking_low_eur")
 
 
 _VARIANT_ON = """(t.version_text is not null or p.version_text is not null) and t.version_text = p.version_text

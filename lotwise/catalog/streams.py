@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import peers, temporal
@@ -26,11 +27,11 @@ def stream_latest_state(spark, d):
 
 @query("stream_projection", "select event_type as source, cast(user_id as string) as source_id, ts as observed_at, cast(floor(value * 100) as bigint) as price_eur from (select *, row_number() over (partition by event_type, user_id, ts order by event_id) rn from events) where rn = 1")
 def stream_projection(spark, d):
-    events = _event_stream(spark, d).select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("ts").alias("observed_at"), F.floor(F.col("value") * 100).cast("bigint").alias("price_eur"))
+    events = _event_stream(spark, d).select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("ts").alias("observed_at"), "event_id", F.floor(F.col("value") * 100).cast("bigint").alias("price_eur"))
     path, checkpoint = shared_folder(spark, "projection"), shared_folder(spark, "projection-log")
     write = state.projection_writer(path, lambda df: df, ("source", "source_id", "observed_at"))
     state.run_to_end(events, write, checkpoint, mode="append")
-    return spark.read.parquet(path + "/*").drop("batch")
+    return spark.read.parquet(path + "/*").drop("batch", "event_id")
 
 
 def _pages(spark, d):
@@ -43,9 +44,11 @@ def _pages(spark, d):
         F.concat(F.lit('{"country":"'), F.when(k % 29 == 0, "FR").otherwise("IT"), F.lit('","price_eur":'), F.when(k % 31 == 0, '"7"').otherwise("7"), F.lit("}")).alias("payload"),
     )
     page = F.floor(k / 50)
-    return e.select(F.col("event_type").alias("source"), page.cast("string").alias("page_id"), record.alias("r")).groupBy("source", "page_id").agg(F.collect_list("r").alias("records")).select(
-        "source", F.lit("run").alias("run_id"), "page_id", F.lit("initial").alias("mode"), F.lit('{"country":"IT"}').alias("scope"), F.lit(None).cast("string").alias("input_cursor"),
-        F.concat(F.lit("c"), "page_id").alias("next_cursor"), F.lit(False).alias("complete"), "records",
+    pages = e.select(F.col("event_type").alias("source"), page.alias("page"), record.alias("r")).groupBy("source", "page").agg(F.collect_list("r").alias("records"))
+    cursor = F.concat(F.lit("c"), F.col("page").cast("string"))
+    return pages.select(
+        "source", F.lit("run").alias("run_id"), F.col("page").cast("string").alias("page_id"), F.lit("initial").alias("mode"), F.lit('{"country":"IT"}').alias("scope"),
+        F.lag(cursor).over(Window.partitionBy("source").orderBy("page")).alias("input_cursor"), cursor.alias("next_cursor"), F.lit(False).alias("complete"), "records",
     )
 
 
@@ -78,15 +81,14 @@ def page_ingestion_twice(spark, d):
     return pages.join(good, "source").join(bad, "source")
 
 
-@query("resume_state", "select event_type as source, 'run' as run_id, 'continue' as action from events group by 1")
+@query("resume_state", "select event_type as source, 'run' as run_id, 'c' || cast(max(event_id // 50) as string) as next_cursor, 'continue' as action from events group by 1")
 def resume_state(spark, d):
-    pages = _pages(spark, d).withColumn("batch", F.col("page_id").cast("bigint"))
-    return ingest.resume_state(pages).select("source", "run_id", "action")
+    return ingest.resume_state(_pages(spark, d)).select("source", "run_id", "next_cursor", "action")
 
 
-@query("quarantine_replay", """select event_type as source, count(*) filter (event_id % 31 = 0 and event_id % 2 = 0) as appended from events group by 1""")
+@query("quarantine_replay", """select event_type as source, count(*) filter (event_id % 2 = 0) as appended from events group by 1""")
 def quarantine_replay(spark, d):
-    e = b.table(spark, d, "events").filter("event_id % 31 = 0")
+    e = b.table(spark, d, "events")
     rejected = e.select(F.col("event_type").alias("source"), F.concat(F.lit("u"), "event_id").alias("source_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("ordinal"), F.lit('{"price_eur":"7"}').alias("payload"))
 
     def newer_rules(df):

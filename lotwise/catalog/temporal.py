@@ -126,7 +126,7 @@ def holdout_split(spark, d):
 
 
 @query("ranked_within_band", b.with_asks("""select price_band, source, source_id, rn as band_rank from (select *, row_number() over (partition by price_band order by price_eur desc, source, source_id) rn
-  from (select *, least(3, price_eur // 5000) as price_band from fresh)) where rn <= 100"""))
+  from (select *, least(3, price_eur // 5000) as price_band from fresh))"""))
 def ranked_within_band(spark, d):
     from pyspark.sql import Window
 
@@ -134,7 +134,7 @@ def ranked_within_band(spark, d):
 
     f = b.fresh(spark, d).withColumn("price_band", price_band("price_eur").cast("bigint"))
     w = Window.partitionBy("price_band").orderBy(F.col("price_eur").desc(), "source", "source_id")
-    return f.withColumn("band_rank", F.row_number().over(w)).filter("band_rank <= 100").select(
+    return f.withColumn("band_rank", F.row_number().over(w)).select(
         "price_band", "source", "source_id", F.col("band_rank").cast("bigint").alias("band_rank")
     )
 

@@ -93,14 +93,12 @@ def mileage_claims(spark, d):
     return b.adverts(spark, d).select("doc_id", F.array_join(F.transform(ident.mileage_claims("description"), lambda v: v.cast("string")), ",").alias("km"))
 
 
-@query("fuel_claims", b.with_adverts("""select doc_id, array_to_string(list_sort(list_distinct(list_filter([case fuel when 'benzina' then 'petrol' when 'gasolio' then 'diesel' end, case when phrases like '%diesel%' then 'diesel' end,
- case when phrases like '%benzina e gpl%' then 'petrol_lpg' end, case when phrases like '%elettrica%' then 'electric' end], lambda x: x is not null))), ',') as fuels from adverts
- where not (phrases like '%benzina e gpl%' and (phrases like '%diesel%' or phrases like '%elettrica%'))"""))
+@query("fuel_claims", b.with_adverts("""select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_append(case when said = ['petrol', 'lpg'] then ['petrol_lpg'] else said end,
+ case fuel when 'benzina' then 'petrol' when 'gasolio' then 'diesel' end), lambda x: x is not null))), ',') as fuels from (select doc_id, fuel, list_filter([case when phrases like '%benzina e gpl%' then 'petrol' end,
+ case when phrases like '%benzina e gpl%' then 'lpg' end, case when phrases like '%diesel%' then 'diesel' end, case when phrases like '%elettrica%' then 'electric' end], lambda x: x is not null) as said from adverts)"""))
 def fuel_claims(spark, d):
-    a = b.adverts(spark, d)
-    mixed = F.col("phrases").contains("benzina e gpl") & (F.col("phrases").contains("diesel") | F.col("phrases").contains("elettrica"))
     fuels = ident.fuel_claims(tx.full_text("title", "description"), F.col("fuel"))
-    return a.filter(~mixed).select("doc_id", F.array_join(fuels, ",").alias("fuels"))
+    return b.adverts(spark, d).select("doc_id", F.array_join(fuels, ",").alias("fuels"))
 
 
 @query("title_identity", b.with_adverts("""select doc_id, case doc_id % 12 when 0 then 'Fiat' when 1 then 'Fiat' when 2 then 'BMW' when 3 then 'Mercedes-Benz' when 4 then 'Volkswagen' when 5 then 'Citroen' when 6 then 'Ford' when 7 then 'Audi' when 8 then 'Toyota' when 9 then 'Renault' when 11 then 'Fiat' end as make,

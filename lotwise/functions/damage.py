@@ -33,6 +33,7 @@ GOOD_CONDITION = (
     r"(?:\b(?:auto|vettura|macchina).{0,35}(?:in\s+)?(?:buone|ottime|perfette)\s+condizioni|"
     r"\b(?:ottime|perfette)\s+condizioni\s+(?:generali|meccaniche\s+e\s+di\s+carrozzeria))"
 )
+SEVERE_INDICATORS = ("structural", "airbags", "fire", "flood", "high_voltage_battery")
 NOT_NOW = r"\b(?:non|prima|era|erano)\b"
 INNER_NEGATION = r"\b(?:non|mai)\s+(?:esplos|scoppi|apert|attivat)"
 RISK = (
@@ -106,7 +107,9 @@ def with_damage(df: DataFrame) -> DataFrame:
         lambda m: ~F.exists(F.col("_scan.minimal"), lambda n: F.lower(n).contains(F.lower(m))),
     )
     severity = text_of("damage_severity")
-    indicators = F.coalesce(_column(df, "damage_indicators", "array<string>"), F.array().cast("array<string>"))
+    known = F.array(*(F.lit(i) for i in SEVERE_INDICATORS))
+    given = F.coalesce(_column(df, "damage_indicators", "array<string>"), F.array().cast("array<string>"))
+    indicators = F.filter(given, lambda i: F.array_contains(known, i))
     condition = text_of("condition")
     search_now = _column(df, "claimed_damaged", "boolean")
     detail_now = _column(df, "claimed_damaged_now", "boolean")

@@ -141,9 +141,7 @@ KM_FORMS = (
     (rf"\b(?:km|chilometri|kilometri)\s*[:=]?\s*({_NUMBER})(?!\d|[.,]\d)", 1),
     (r"(?<!\d)(\d{1,3})\s*(?:mila|k)\s*(?:km|chilometri)\b", 1000),
 )
-_SERVICE = (
-    r"(?<!(?:distribuzion|sostituit|cambiat)\w{0,12}.{0,45})(?<!(?:cinghia|tagliando|motore rifatto|batteria).{0,45})"
-)
+_SERVICE = (70, r"(?:distribuzion\w*|cinghia|tagliando|sostituit\w*|cambiat\w*|motore rifatto|batteria).{0,45}$")
 
 
 def _kilometres(factor: int):
@@ -154,11 +152,7 @@ def mileage_claims(text: Column | str) -> Column:
     """Distinct kilometre values claimed by a text, as an ascending array of bigint."""
     found = []
     for pattern, factor in KM_FORMS:
-        voided = pattern.replace("(" + _NUMBER + ")", _NUMBER).replace(r"(\d{1,3})", r"\d{1,3}")
-        hits = F.regexp_extract_all(
-            tx.col(text), F.lit(f"(?iuU)(?={voided})(?:{_SERVICE}{pattern}|{voided})"), F.lit(1)
-        )
-        found.append(F.transform(F.filter(hits, lambda v: v != ""), _kilometres(factor)))
+        found.append(F.transform(tx.unpreceded(tx.col(text), pattern, _SERVICE, 1), _kilometres(factor)))
     every = F.concat(*found)
     return F.array_sort(F.array_distinct(F.filter(every, lambda v: (v >= 0) & (v <= 1_000_000))))
 

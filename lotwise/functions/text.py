@@ -72,34 +72,40 @@ def full_text(*columns: Column | str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in columns])
 
 
-# Words that negate a following phrase and the auxiliaries allowed in between.
-NEGATIONS = r"\b(?:non|no|nessun[oa]?|senza|mai)"
-AUXILIARIES = r"(?:e|è|stata|stato|sono|ha|avuto)"
-SHORT_AUXILIARIES = r"(?:è|stata|stato)"
+# How many characters before a phrase are looked at, and the negations they may end with.
+NEGATIONS = r"\b(?:non|no|nessun[oa]?|senza|mai)\s+"
+WIDE_NEGATION = (40, NEGATIONS + r"(?:(?:e|è|stata|stato|sono|ha|avuto)\s+)*$")
+NARROW_NEGATION = (24, NEGATIONS + r"(?:(?:è|stata|stato)\s+)?$")
+TRAILING_NEGATION = (20, r"\b(?:non|no|senza)\s*$")
 
 
-def _lookbehind(auxiliaries: str, depth: int) -> str:
-    """Every bounded spelling 'negation (auxiliary){0..depth}' as one look-behind.
+def unpreceded(text: Column, pattern: str, before: tuple[int, str], group: int = 0) -> Column:
+    """What ``group`` holds in each match of ``pattern`` whose preceding text doesn't end with ``before``.
 
-    Java needs a bounded length, so the repetition is unrolled instead of starred.
+    ``before`` is a number of characters and a pattern that ends with ``$``; it is tried on just that many
+    characters before the match. Matches are found from left to right, whatever precedes them. Texts
+    without a match are scanned once.
     """
-    head = NEGATIONS + r"\s{1,16}"
-    step = auxiliaries + r"\s{1,8}"
-    return "(?<=" + "|".join(head + step * n for n in range(depth + 1)) + ")"
-
-
-WIDE_NEGATION = _lookbehind(AUXILIARIES, 5)
-NARROW_NEGATION = _lookbehind(SHORT_AUXILIARIES, 1)
-TRAILING_NEGATION = r"(?<=\b(?:non|no|senza)\s{0,16})"
-
+    window, ending = before
+    full = F.lit("(?iuU)" + pattern)
+    whole, wanted = F.regexp_extract_all(text, full, F.lit(0)), F.regexp_extract_all(text, full, F.lit(group))
+    # The piece before a match and what came before that piece: enough to know the last characters.
+    steps = F.arrays_zip(F.slice(F.split(text, "(?iuU)" + pattern, -1), 1, F.size(whole)).alias("piece"), whole.alias("whole"), wanted.alias("wanted"))
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, m: Column) -> Column:
+        tail = F.right(F.concat(state["tail"], m["piece"]), F.lit(window))
+        kept = F.when(F.rlike(tail, F.lit("(?iuU)" + ending)), state["kept"]).otherwise(F.array_append(state["kept"], m["wanted"]))
+        return F.struct(F.right(F.concat(tail, m["whole"]), F.lit(window)).alias("tail"), kept.alias("kept"))
+
+    return F.when(F.rlike(text, full), F.aggregate(steps, start, step, lambda s: s["kept"])).otherwise(
+        F.when(text.isNotNull(), F.array().cast("array<string>"))
+    )
 
-def declared(text: Column, pattern: str, negation: str = WIDE_NEGATION) -> Column:
-    """Matches of ``pattern`` that no negation precedes, as an array of excerpts.
 
-    A negated match is consumed without being captured, so scanning resumes after it.
-    """
-    expression = f"(?iuU)(?={pattern})(?:{negation}(?:{pattern})|({pattern}))"
-    return F.filter(F.regexp_extract_all(text, F.lit(expression), F.lit(1)), lambda m: m != "")
+def declared(text: Column, pattern: str, negation: tuple[int, str] = WIDE_NEGATION) -> Column:
+    """Matches of ``pattern`` that no negation precedes, as an array of excerpts."""
+    return unpreceded(text, pattern, negation)
 
 
 def says(text: Column, pattern: str) -> Column:

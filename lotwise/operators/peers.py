@@ -116,14 +116,20 @@ def advert_cells(rows: DataFrame, attributes: Sequence[str] = BROAD_CELL, carry:
     return rows.groupBy(*attributes).agg(F.count(F.lit(1)).alias("copies"), F.min(lead).alias("first"))
 
 
+def cell_key(columns: Sequence[str]) -> Column:
+    """128-bit key of the values in their columns; NULL is a value of its own, so values can't change columns."""
+    parts = [F.coalesce(F.concat(F.char_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.md5(F.concat(*parts))
+
+
 def broad_peer_cells(cells: DataFrame, targets: DataFrame | None = None, years: int = 3, km: int = 60_000) -> DataFrame:
     """Distinct (year, mileage, price, city) offers near each target cell.
 
     A target never counts itself, so its own cell counts only when it holds another copy.
     Offers that differ only in compatible details are one offer, represented by the first.
     """
-    cells = cells.withColumn("cell", F.xxhash64(*BROAD_CELL))
-    left = (cells if targets is None else targets.withColumn("cell", F.xxhash64(*BROAD_CELL))).drop("first", "copies")
+    cells = cells.withColumn("cell", cell_key(BROAD_CELL))
+    left = (cells if targets is None else targets.withColumn("cell", cell_key(BROAD_CELL))).drop("first", "copies")
     other = (F.col("cell") != F.col("p_cell")) | (F.col("p_copies") > 1)
     pairs = band_join(
         left, cells, ["make", "model", "damage_group"], {"year": years, "mileage_km": km}, broad_compatible() & other

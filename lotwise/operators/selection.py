@@ -1,24 +1,31 @@
 """Balanced top-k selection over price bands, families and damage categories.
 
-The greedy passes are sequential, but their output is at most ``limit`` rows. Window ranks on
-the full table keep every row a greedy pass could still reach; only those survivors, at most a
-small multiple of ``limit``, enter the one sequential group.
+A choice depends on the choices before it, but there are at most ``limit`` of them. Window ranks on
+the full table keep every row that can still be chosen, a small multiple of ``limit``; those are one
+ordered array, and the choices are a fold over a list of turns. Each operator states which rows a
+turn may take; the turn takes the first of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import DAMAGE_MIX
 
 BANDS = 4
 FAMILY = ("make", "model")
+#: Largest selection: it bounds the one array that a selection is made from.
+MOST_SELECTED = 500
+
+
+def _checked(limit: int) -> int:
+    if not 1 <= limit <= MOST_SELECTED:
+        raise ValueError(f"limit must be 1 to {MOST_SELECTED}")
+    return limit
 
 
 def _ranks(df: DataFrame, ranks: dict[str, tuple[Sequence[str], Sequence[Column]]]) -> DataFrame:
@@ -27,150 +34,136 @@ def _ranks(df: DataFrame, ranks: dict[str, tuple[Sequence[str], Sequence[Column]
     return df
 
 
-def _sequential(rows: DataFrame, pick: Callable[[pd.DataFrame], pd.DataFrame], extra: str = "selection_rank int") -> DataFrame:
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [extra])
-    # The survivors are bounded by the limit, so one group is small by construction.
-    return rows.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda key, pdf: pick(pdf), schema)
+def _uses(chosen: Column, field: str, value: Column) -> Column:
+    """How many of the chosen have this value."""
+    return F.size(F.filter(chosen, lambda c: c[field].eqNullSafe(value)))
+
+
+def _fold(rows: DataFrame, order: Sequence[Column], marks: dict[str, Column], turns: list[tuple[int, dict]], take: Callable[[Column, Column, Column], Column], by_turn: bool = True) -> DataFrame:
+    """The rows chosen turn by turn, with selection_rank in order of the turns or else of ``order``.
+
+    A turn is a group and its values. ``take(free, turn, chosen)`` gives the mark a turn takes, or NULL:
+    then its group has nothing left, and later turns of the group are passed over. ``free`` holds the
+    marks of rows not chosen yet, in order; ``chosen`` the marks of those that are.
+    """
+    # The rows are bounded by the limit, so one ordered group is small by construction.
+    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
+    pool = ranked.agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("i"), *(c.alias(n) for n, c in marks.items())))).alias("pool"))
+    none = F.filter("pool", lambda r: F.lit(False))
+    steps = F.array(*(F.struct(F.lit(group).alias("group"), *(F.lit(v).alias(k) for k, v in values.items())) for group, values in turns))
+
+    def step(state: Column, turn: Column) -> Column:
+        best = F.when(~F.array_contains(state["done"], turn["group"]), take(state["free"], turn, state["chosen"]))
+        picked = F.get(F.transform(F.array(best), lambda x: F.struct(x.alias("x"))), F.lit(0))["x"]
+        left = F.filter(state["free"], lambda r: r["i"] != picked["i"])
+        return F.when(picked.isNull(), F.struct(state["free"].alias("free"), state["chosen"].alias("chosen"), F.array_append(state["done"], turn["group"]).alias("done"))).otherwise(
+            F.struct(left.alias("free"), F.array_append(state["chosen"], picked).alias("chosen"), state["done"].alias("done"))
+        )
+
+    start = F.struct(F.col("pool").alias("free"), none.alias("chosen"), F.array().cast("array<int>").alias("done"))
+    chosen = pool.select(F.posexplode(F.aggregate(steps, start, step, lambda s: s["chosen"])).alias("_k", "mark")).select("_k", F.col("mark.i").alias("_i"))
+    place = F.row_number().over(Window.orderBy("_k" if by_turn else "_i"))
+    return ranked.join(F.broadcast(chosen), "_i").withColumn("selection_rank", place).drop("_i", "_k")
 
 
 def round_robin_bands(leads: DataFrame, score: str, limit: int, family_cap: int = 2) -> DataFrame:
     """Equal turns over the price bands; a family fills at most ``family_cap`` places."""
+    _checked(limit)
     order = [F.col(score).desc(), F.col("comparable_count").desc(), F.col("source"), F.col("source_id")]
     kept = _ranks(leads, {"_f": (["price_band", *FAMILY], order)}).filter(F.col("_f") <= family_cap)
-    # A band pops at most `limit` chosen rows and `limit` rows of families filled elsewhere.
+    # Within a band, at most `limit` rows are chosen and `limit` belong to families that other bands filled.
     kept = _ranks(kept, {"_r": (["price_band"], order)}).filter(F.col("_r") <= 2 * limit).drop("_f", "_r")
+    # A round over the bands chooses at least one row until none is left.
+    turns = [(band, {}) for _ in range(limit) for band in range(BANDS)]
+
+    def take(free: Column, turn: Column, chosen: Column) -> Column:
+        open_rows = F.filter(free, lambda r: (r["band"] == turn["group"]) & (_uses(chosen, "family", r["family"]) < family_cap))
+        return F.when(F.size(chosen) < limit, F.get(open_rows, F.lit(0)))
+
+    return _fold(kept, order, {"band": F.col("price_band"), "family": F.struct(*FAMILY)}, turns, take)
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, "comparable_count", "source", "source_id"], ascending=[False, False, True, True], kind="stable")
-        queues = {b: list(g.index) for b, g in pdf.groupby("price_band")}
-        family = dict(zip(pdf.index, zip(pdf["make"], pdf["model"])))
-        taken, used = [], Counter()
-        while len(taken) < limit:
-            before = len(taken)
-            for band in range(BANDS):
-                queue = queues.get(band, [])
-                while queue and used[family[queue[0]]] >= family_cap:
-                    queue.pop(0)
-                if queue and len(taken) < limit:
-                    index = queue.pop(0)
-                    used[family[index]] += 1
-                    taken.append(index)
-            if len(taken) == before:
-                break
-        return pdf.loc[taken].assign(selection_rank=range(1, len(taken) + 1))
-
-    return _sequential(kept, pick)
-
-
-def mix_targets(limit: int) -> dict[str, int]:
-    """Largest-remainder share of ``limit`` per damage category."""
-    shares = {k: limit * v for k, v in DAMAGE_MIX.items()}
-    out = {k: v // 100 for k, v in shares.items()}
-    order = sorted(shares, key=lambda k: shares[k] % 100, reverse=True)
-    for k in order[: limit - sum(out.values())]:
-        out[k] += 1
-    return out
+
+def mix_targets(spark: SparkSession, limit: int) -> DataFrame:
+    """Places per damage category: its place in the mix, category and seats."""
+    mix = spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(DAMAGE_MIX.items())], "place int, category string, percent int")
+    return apportion(mix, "percent", limit, ["place"]).select("place", "category", F.col("seats").cast("int").alias("seats"))
 
 
 TARGET_IDENTITY = ("make", "model", "year", "mileage_km", "price_eur", "version_text", "city")
 
 
 def damage_mix_selection(leads: DataFrame, limit: int = 20) -> DataFrame:
-    """Quotas per damage category, turns over bands, preferring families seen fewer than twice."""
+    """Places per damage category, turns over bands, preferring families chosen fewer than twice; equal offers once."""
+    _checked(limit)
     order = [F.col("priority_score").desc(), F.col("comparable_count").desc(), F.col("source"), F.col("source_id")]
     pools = ["damage_category", "price_band"]
     one = _ranks(leads, {"_t": ([*pools, *TARGET_IDENTITY], order)}).filter("_t = 1").drop("_t")
     ranked = _ranks(one, {"_f": ([*pools, *FAMILY], order), "_r": (pools, order)})
     cut = _ranks(ranked.filter(F.col("_f") <= 2), {"_c": (pools, order)}).filter(F.col("_c") <= 2 * limit).drop("_c")
     kept = cut.unionByName(ranked.filter((F.col("_f") > 2) & (F.col("_r") <= 2 * limit))).drop("_f", "_r")
-    targets = mix_targets(limit)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority_score", "comparable_count", "source", "source_id"], ascending=[False, False, True, True], kind="stable")
-        identity = {i: tuple(None if pd.isna(v) else v for v in row) for i, row in zip(pdf.index, pdf[list(TARGET_IDENTITY)].itertuples(index=False))}
-        family = {i: t[:2] for i, t in identity.items()}
-        merit = dict(zip(pdf.index, zip(-pdf["priority_score"], -pdf["comparable_count"])))
-        pool = {key: list(g.index) for key, g in pdf.groupby(["damage_category", "price_band"])}
-        taken, used, seen = [], Counter(), set()
-        for category, wanted in targets.items():
-            count, moved = 0, True
-            while count < wanted and moved:
-                moved = False
-                for band in range(BANDS):
-                    queue = [i for i in pool.get((category, band), []) if identity[i] not in seen]
-                    # Stable: families picked fewer than twice first, each side in score order.
-                    queue.sort(key=lambda i: (used[family[i]] >= 2, *merit[i]))
-                    if queue and count < wanted:
-                        index = queue.pop(0)
-                        taken.append(index)
-                        seen.add(identity[index])
-                        used[family[index]] += 1
-                        count, moved = count + 1, True
-                    pool[(category, band)] = queue
-        return pdf.loc[taken].assign(selection_rank=range(1, len(taken) + 1))
-
-    return _sequential(kept, pick)
+    seats = mix_targets(leads.sparkSession, limit).orderBy("place").collect()  # a row per category of the mix
+    turns = [(BANDS * s["place"] + band, {"category": s["category"], "seats": s["seats"], "band": band}) for s in seats for _ in range(s["seats"]) for band in range(BANDS)]
+
+    def take(free: Column, turn: Column, chosen: Column) -> Column:
+        here = F.filter(free, lambda r: (r["category"] == turn["category"]) & (r["band"] == turn["band"]) & (_uses(chosen, "offer", r["offer"]) == 0))
+        fresh = F.filter(here, lambda r: _uses(chosen, "family", r["family"]) < 2)
+        return F.when(_uses(chosen, "category", turn["category"]) < turn["seats"], F.coalesce(F.get(fresh, F.lit(0)), F.get(here, F.lit(0))))
+
+    marks = {"category": F.col("damage_category"), "band": F.col("price_band"), "family": F.struct(*FAMILY), "offer": F.struct(*TARGET_IDENTITY)}
+    return _fold(kept, order, marks, turns, take)
+
+
+def _soft_cap(limit: int) -> int:
+    return max(1, math.ceil(limit * 0.1))
+
+
+def _quota(limit: int, band: int) -> int:
+    return limit // BANDS + (band < limit % BANDS)
+
+
+def _family_names() -> list[Column]:
+    return [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in FAMILY]
+
+
+#: Who may be chosen, pass after pass: only price priorities, only bands below their share, only families below the cap.
+PASSES = ((True, False, False), (False, True, True), (False, True, False), (False, False, True), (False, False, False))
 
 
 def evidence_balanced_select(leads: DataFrame, limit: int) -> DataFrame:
-    """All price priorities first, then band quotas with a soft family cap, then fill the rest.
+    """All price priorities first, then equal shares of the bands with a soft family cap, then the rest.
 
     Needs price_priority_passed, score, comparable_count and price_band.
     """
-    if limit < 1:
-        raise ValueError("limit must be positive")
-    cap = max(1, math.ceil(limit * 0.1))
-    quota = [limit // BANDS + (b < limit % BANDS) for b in range(BANDS)]
-    order = [
-        F.col("price_priority_passed").desc(), F.col("score").desc(), F.col("comparable_count").desc(), F.col("source"), F.col("source_id"),
-    ]
-    family = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in FAMILY]
-    leads = leads.withColumn("_fm", family[0]).withColumn("_fo", family[1])
-    in_family = _ranks(leads, {"_bf": (["price_band", "_fm", "_fo"], order)})
-    near_top = in_family.filter(F.col("_bf") <= max(cap, limit))
-    r = _ranks(near_top, {"_b": (["price_band"], order)})
-    uncapped = r.filter(F.col("_b") <= limit).drop("_b")
+    cap = _soft_cap(_checked(limit))
+    order = [F.col("price_priority_passed").desc(), F.col("score").desc(), F.col("comparable_count").desc(), F.col("source"), F.col("source_id")]
+    leads = leads.withColumn("_family", F.struct(*_family_names()))
+    near_top = _ranks(leads, {"_bf": (["price_band", "_family"], order)}).filter(F.col("_bf") <= max(cap, limit))
+    uncapped = _ranks(near_top, {"_b": (["price_band"], order)}).filter(F.col("_b") <= limit).drop("_b")
     capped = _ranks(near_top.filter(F.col("_bf") <= cap), {"_b": (["price_band"], order)}).filter(F.col("_b") <= 2 * limit).drop("_b")
     kept = uncapped.unionByName(capped).dropDuplicates(["source", "source_id"]).drop("_bf")
+    turns = [(n, dict(zip(("priority", "share", "cap"), rule, strict=True))) for n, rule in enumerate(PASSES) for _ in range(limit)]
+    quota = F.array(*(F.lit(_quota(limit, b)) for b in range(BANDS)))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(
-            ["price_priority_passed", "score", "comparable_count", "source", "source_id"],
-            ascending=[False, False, False, True, True], kind="stable",
-        )
-        family_of = dict(zip(pdf.index, zip(pdf["_fm"], pdf["_fo"])))
-        band_of, passed = pdf["price_band"].to_dict(), pdf["price_priority_passed"].to_dict()
-        goal, taken, chosen = min(limit, len(pdf)), [], set()
-        families, bands = Counter(), Counter()
-
-        def add(i: int, capped: bool) -> None:
-            if i in chosen or len(taken) >= goal or (capped and families[family_of[i]] >= cap):
-                return
-            chosen.add(i)
-            taken.append(i)
-            families[family_of[i]] += 1
-            bands[band_of[i]] += 1
-
-        for i in pdf.index:
-            if passed[i]:
-                add(i, False)
-        for capped in (True, False):
-            for i in pdf.index:
-                if bands[band_of[i]] < quota[band_of[i]]:
-                    add(i, capped)
-        for capped in (True, False):
-            for i in pdf.index:
-                add(i, capped)
-        out = pdf.loc[[i for i in pdf.index if i in chosen]]
-        return out.assign(selection_rank=range(1, len(out) + 1))
-
-    return _sequential(kept, pick).drop("_fm", "_fo")
+    def take(free: Column, turn: Column, chosen: Column) -> Column:
+        def open_to(r: Column) -> Column:
+            below_share = _uses(chosen, "band", r["band"]) < F.get(quota, r["band"])
+            return (~turn["priority"] | r["priority"]) & (~turn["share"] | below_share) & (~turn["cap"] | (_uses(chosen, "family", r["family"]) < cap))
+
+        return F.when(F.size(chosen) < limit, F.get(F.filter(free, open_to), F.lit(0)))
+
+    marks = {"band": F.col("price_band"), "family": F.col("_family"), "priority": F.coalesce("price_priority_passed", F.lit(False))}
+    return _fold(kept, order, marks, turns, take, by_turn=False).drop("_family")
 
 
 def selection_summary(leads: DataFrame, selected: DataFrame, limit: int) -> DataFrame:
-    """Per price band: available, target, selected and shortage."""
+    """Per price band: available, target, selected, shortage before places went to other bands, and places gained.
+
+    ``family_cap_relaxed`` tells, on every row, whether a family has more places than the soft cap.
+    """
     spark = leads.sparkSession
-    quota = [(b, limit // BANDS + (b < limit % BANDS)) for b in range(BANDS)]
+    quota = [(b, _quota(limit, b)) for b in range(BANDS)]
+    families = selected.groupBy(*(c.alias(n) for n, c in zip(FAMILY, _family_names()))).agg(F.count(F.lit(1)).alias("_n"))
+    relaxed = families.agg(F.coalesce(F.max("_n") > _soft_cap(limit), F.lit(False)).alias("family_cap_relaxed"))
     bands = spark.createDataFrame(quota, "price_band int, target int")
     have = leads.groupBy("price_band").agg(F.count(F.lit(1)).alias("available"))
     got = selected.groupBy("price_band").agg(F.count(F.lit(1)).alias("selected"))
@@ -178,6 +171,7 @@ def selection_summary(leads: DataFrame, selected: DataFrame, limit: int) -> Data
         bands.join(have, "price_band", "left").join(got, "price_band", "left").fillna(0, ["available", "selected"])
         .withColumn("shortage", F.greatest(F.lit(0), F.col("target") - F.col("selected")))
         .withColumn("redistributed", F.greatest(F.lit(0), F.col("selected") - F.col("target")))
+        .withColumn("_one", F.lit(1)).join(F.broadcast(relaxed.withColumn("_one", F.lit(1))), "_one").drop("_one")
     )
 
 

@@ -32,7 +32,7 @@ def prepare(rows: DataFrame) -> DataFrame:
 def screen_cells(cells: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Signal and conservative screen of every offer cell."""
     signal = stats.broad_signal(peers.broad_peer_cells(cells, targets))
-    left = (cells if targets is None else targets).withColumn("cell", F.xxhash64(*peers.BROAD_CELL))
+    left = (cells if targets is None else targets).withColumn("cell", peers.cell_key(peers.BROAD_CELL))
     d = left.join(signal.drop("price_eur"), "cell")
     close = F.col("close_count")
     screen = stats.conservative_screen(
@@ -59,7 +59,7 @@ def discovery_leads(rows: DataFrame, as_of: Column) -> DataFrame:
         "cell", "comparable_count", "asking_typical_eur", "asking_low_eur", "gross_headroom_eur", "close_count", "lowest_comparable_asking_eur",
         "headroom_after_sale_stress_and_reserve_eur", "minimum_required_net_margin_eur", "blocking_reasons", "price_priority_passed",
     )
-    targets = usable.filter(F.col("price_eur").between(1000, 20_000)).withColumn("cell", F.xxhash64(*peers.BROAD_CELL))
+    targets = usable.filter(F.col("price_eur").between(1000, 20_000)).withColumn("cell", peers.cell_key(peers.BROAD_CELL))
     leads = targets.join(facts, "cell").drop("cell")
     leads = pick_first(leads, ["make", "model", "year", "mileage_km", "price_eur", "city"], [F.col("source"), F.col("source_id")])
     category = F.col("damage_category")
@@ -108,7 +108,7 @@ def collection_screen(new_rows: DataFrame, memory: DataFrame) -> DataFrame:
     open_rows = new.filter(F.col("gate").isNull())
     cells = peers.advert_cells(others)
     targets = open_rows.select(*peers.BROAD_CELL).distinct()
-    cell = F.xxhash64(*peers.BROAD_CELL)
+    cell = peers.cell_key(peers.BROAD_CELL)
     pairs = peers.band_join(
         targets.withColumn("cell", cell), cells.withColumn("cell", cell), ["make", "model", "damage_group"],
         {"year": 3, "mileage_km": 60_000}, peers.broad_compatible(),

@@ -29,7 +29,7 @@ def published_location(rows: DataFrame, registry: DataFrame, city: str = "city",
     head = F.get(parts, F.lit(0))
     code = F.regexp_extract(head, r"^(.+?)\s*\(([a-z]{2})\)$", 2)
     name = _alias(F.when(code != "", F.regexp_extract(head, r"^(.+?)\s*\(([a-z]{2})\)$", 1)).otherwise(head), CITY_ALIASES)
-    labels = F.concat(F.slice(parts, 2, 1000), F.when(code != "", F.array(code)).otherwise(F.array().cast("array<string>")))
+    labels = F.concat(F.slice(parts, F.lit(2), F.size(parts)), F.when(code != "", F.array(code)).otherwise(F.array().cast("array<string>")))
     d = rows.withColumn("_city", name).withColumn("_labels", F.transform(labels, lambda x: _alias(_alias(x, PROVINCE_ALIASES), REGION_ALIASES)))
 
     r = registry.select(

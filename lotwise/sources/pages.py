@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
 
-# The character references that HTML text escapes.
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&euro;": "€", "&amp;": "&"}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 _SCRIPT = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 _NEXT_DATA = r"(?is)<script\b(?=[^>]*\bid\s*=\s*[\"']?__NEXT_DATA__[\"'\s>])[^>]*>(.*?)</script\s*>"
 
 
+def _character(reference: Column) -> Column:
+    """Character of one reference, by number or by its standard name; an unknown name stays as it is."""
+    names = F.create_map(*(F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))), F.lit("apos"), F.lit("'"))
+    body = F.substring(reference, F.lit(2), F.char_length(reference) - 2)
+    digits = F.regexp_extract(body, r"^#[xX]?([0-9a-fA-F]+)$", 1)
+    point = F.when(F.rlike(body, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    usable = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    numbered = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    return F.when(body.startswith("#"), numbered).otherwise(F.coalesce(F.try_element_at(names, body), reference))
+
+
 def unescape(text: Column) -> Column:
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references decoded once: what a decoded ampersand begins stays text."""
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))), lambda r: F.struct((_character(r) == "&").alias("last"), r.alias("from"), _character(r).alias("to")))
+    decoded = F.aggregate(F.array_sort(found), text, lambda out, r: F.replace(out, r["from"], r["to"]))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def plain_text(html: Column | str) -> Column:

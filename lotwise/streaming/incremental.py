@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.documents import signature
+from ..operators.peers import cell_key
 from ..operators.temporal import KEY, pick_first
 
 STABLE = (
@@ -27,7 +28,7 @@ def basis_signatures(targets: DataFrame, pairs: DataFrame, peer_fields: Sequence
     Count, sum and xor of 64-bit peer hashes: computed with partial aggregation, no peer list is
     ever gathered.
     """
-    h = F.xxhash64(*["p_" + f for f in peer_fields])
+    h = F.xxhash64(cell_key(["p_" + f for f in peer_fields]))
     basis = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(20,0)")).alias("_s"), F.bit_xor(h).alias("_x")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -97,7 +97,9 @@ def ingest_batch(store: PageStore, pages: DataFrame, batch: int, as_of: Column)
     known = store.manifest().filter(F.col("batch") != batch).groupBy("source", "run_id", "page_id").agg(F.min("checksum").alias("_known"))
     sent = pages.withColumn("checksum", F.sha2(F.to_json(F.struct(*sorted(pages.columns))), 256))
     sent = sent.dropDuplicates(["source", "run_id", "page_id", "checksum"]).join(known, ["source", "run_id", "page_id"], "left")
-    judged = sent.withColumn("page_issue", page_issue(F.col("_known")))
+    # Of two contents for one page in a batch, that of the least checksum holds; the other is refused like one that comes later.
+    first = F.min("checksum").over(Window.partitionBy("source", "run_id", "page_id"))
+    judged = sent.withColumn("page_issue", page_issue(F.coalesce("_known", first)))
     fresh = judged.filter(F.col("page_issue").isNull() & F.col("_known").isNull())
     records = explode_records(fresh, as_of)
     stored = store.events().filter(F.col("batch") != batch)
@@ -129,14 +131,20 @@ def ingest_stream(spark: SparkSession, pages_path: str, store: PageStore, checkp
 
 
 def resume_state(manifest: DataFrame) -> DataFrame:
-    """Per run: where collection continues, or that it is complete."""
-    last = manifest.groupBy("source", "run_id").agg(
-        F.max_by(F.struct("mode", "scope", "next_cursor", "complete"), F.struct("batch", "page_id")).alias("s"),
-        F.min("mode").alias("_m0"), F.max("mode").alias("_m1"), F.min("scope").alias("_s0"), F.max("scope").alias("_s1"),
+    """Per run: where collection continues, or that it is complete.
+
+    The last page is the one whose next cursor no page of the run has started from, so neither the
+    names of pages nor the batches they came in matter; of several, a complete one, then the least cursor.
+    """
+    run = ["source", "run_id"]
+    started = manifest.filter(F.col("input_cursor").isNotNull()).select(*run, F.col("input_cursor").alias("next_cursor")).distinct()
+    ends = manifest.join(started, [*run, "next_cursor"], "left_anti").groupBy(*run).agg(
+        F.min_by(F.struct("mode", "next_cursor", "complete"), F.struct(~F.coalesce("complete", F.lit(False)), "next_cursor")).alias("s")
     )
+    whole = manifest.groupBy(*run).agg(F.min("mode").alias("_m0"), F.max("mode").alias("_m1"), F.min("scope").alias("_s0"), F.max("scope").alias("_s1"))
     changed = (F.col("_m0") != F.col("_m1")) | (F.col("_s0") != F.col("_s1"))
-    action = F.when(changed, "refuse_changed_configuration").when(F.col("s.complete"), "nothing_to_do").otherwise("continue")
-    return last.select("source", "run_id", "s.mode", "s.next_cursor", "s.complete", action.alias("action"))
+    action = F.when(changed, "refuse_changed_configuration").when(F.col("s").isNull(), "refuse_circular_cursors").when(F.col("s.complete"), "nothing_to_do").otherwise("continue")
+    return whole.join(ends, run, "left").select(*run, "s.mode", "s.next_cursor", "s.complete", action.alias("action"))
 
 
 def replay_quarantine(quarantined: DataFrame, mapper, stored: DataFrame, content: str = "content") -> DataFrame:

@@ -51,7 +51,8 @@ def projection_writer(path: str, project: Callable[[DataFrame], DataFrame], keys
     def write(df: DataFrame, batch: int) -> None:
         from pyspark.errors import AnalysisException
 
-        events = df.dropDuplicates(list(keys))
+        # Of several events of a key in a batch, the least in all columns: the same one on every run.
+        events = pick_first(df, keys, [F.col(c).asc_nulls_last() for c in df.columns if c not in keys])
         try:
             done = df.sparkSession.read.parquet(os.path.join(path, "*")).filter(F.col("batch") != batch)
             events = not_yet_projected(events, done, keys)

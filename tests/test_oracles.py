@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "latest_as_of", "price_changes", "page_chain_check", "comparables_strict", "broad_peers", "asking_benchmark", "broad_signal", "market_screen", "damage_category",
     "text_claims", "external_claim_fusion", "maximum_offer", "parts_estimate", "holdout_evaluation", "event_sink_outcomes", "change_driven_rescoring", "stream_latest_state",
-    "page_ingestion_twice", "published_location", "candidate_cards",
+    "page_ingestion_twice", "published_location", "candidate_cards", "round_robin_bands", "damage_mix_selection", "evidence_balanced_select", "selection_summary", "resume_state",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables absent")

@@ -62,3 +62,22 @@ def test_page_rules(spark):
     assert one(spark, page, pages.page_title("t")) == "Fiat Panda"
     assert one(spark, "<p>uno<br>due</p>", pages.plain_text("t")) == "uno\ndue"
     assert one(spark, "<h1>a</h1><h1>b</h1>", pages.page_title("t")) is None
+
+
+def test_negation_looks_at_a_window_of_characters(spark):
+    from lotwise.functions import damage, text
+
+    cases = [
+        ("non e e e e e e incendiata", []), ("non" + " " * 20 + "incendiata", []), ("non" + " " * 45 + "incendiata", ["incendiata"]),
+        ("mai incendiata ma alluvionata, senza motore rotto", ["alluvionata"]), ("Incendiata. Non è stata incendiata.", ["Incendiata"]), ("nulla", []), (None, None),
+    ]
+    got = spark.createDataFrame([(t,) for t, _ in cases], "t string").select(text.declared(F.col("t"), damage.SEVERE).alias("d")).collect()
+    assert [r["d"] for r in got] == [d for _, d in cases]
+
+
+def test_character_references(spark):
+    from lotwise.sources.pages import unescape
+
+    cases = [("perch&egrave; &#232; &#xE8; &euro;5", "perchè è è €5"), ("&amp;lt; &#38;lt; &lt;", "&lt; &lt; <"), ("&nosuch; & &#0; &#x1F600;", "&nosuch; & \ufffd 😀"), (None, None)]
+    got = spark.createDataFrame([(t,) for t, _ in cases], "t string").select(unescape(F.col("t")).alias("u")).collect()
+    assert [r["u"] for r in got] == [u for _, u in cases]
