@@ -18,7 +18,7 @@ def at():
 
 
 def _identity(spark, d):
-    a = b.adverts(spark, d).select("doc_id", "title", "version_text", "fuel", "transmission", "power_hp", "power_kw", "displacement_cc", F.col("phrases").alias("description"))
+    a = b.adverts(spark, d).select("doc_id", "title", "version_text", "fuel", "transmission", "power_hp", "power_kw", "displacement_cc", "description")
     original = F.when(
         F.col("doc_id") % 4 < 2,
         F.concat(F.lit('{"fuelCategory":{"formatted":"Benzina"},"rawPowerInHp":'), F.when(F.col("doc_id") % 8 < 4, "69").otherwise("75"), F.lit(',"transmissionType":"Cambio manuale"}')),

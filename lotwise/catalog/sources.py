@@ -95,7 +95,7 @@ def _provider(spark, d):
     """One provider row per advert text."""
     k = F.col("doc_id")
     return b.adverts(spark, d).select(
-        "doc_id", F.concat(F.lit("https://m.example.com/item/"), k, F.lit("/?ref=x")).alias("url"), F.when(k % 13 == 0, F.lit("0")).otherwise(k.cast("string")).alias("product_id"), "title", F.col("phrases").alias("description"),
+        "doc_id", F.concat(F.lit("https://m.example.com/item/"), k, F.lit("/?ref=x")).alias("url"), F.when(k % 13 == 0, F.lit("0")).otherwise(k.cast("string")).alias("product_id"), "title", "description",
         F.lit(None).cast("double").alias("initial_price"), (k * 37 % 21_000 + F.when(k % 17 == 0, 0.5).otherwise(0)).cast("double").alias("final_price"), F.when(k % 19 == 0, "CHF").otherwise("EUR").alias("currency"), F.lit("IT").alias("country_code"),
         F.when(k % 2 == 0, F.array(F.lit("Auto"))).otherwise(F.array().cast("array<string>")).alias("breadcrumbs"), F.array(F.lit("https://p.example.com/1.jpg")).alias("images"), F.when(k % 23 != 0, k % 29 == 0).alias("is_sold"),
         F.when(k % 24 == 10, 85_000.0).otherwise(120_000.0).alias("car_miles"), F.when(k % 3 != 0, "MANUAL").alias("transmission"), F.lit("USED").alias("condition"), F.lit(None).cast("string").alias("location_issue"),
@@ -116,7 +116,7 @@ def provider_row_mapper(spark, d):
  case doc_id % 12 when 0 then 'Fiat' when 1 then 'Fiat' when 2 then 'BMW' when 3 then 'Mercedes-Benz' when 4 then 'Volkswagen' when 5 then 'Citroen' when 6 then 'Ford' when 7 then 'Audi' when 8 then 'Toyota' when 9 then 'Renault' when 11 then 'Fiat' end m from adverts)"""))
 def seller_evidence_recovery(spark, d):
     none = F.lit(None)
-    a = b.adverts(spark, d).select("doc_id", "title", F.col("phrases").alias("description"), F.when(F.col("doc_id") % 2 == 0, "Lancia").alias("make"), none.cast("string").alias("model"), none.cast("bigint").alias("year"), none.cast("bigint").alias("mileage_km"), "fuel")
+    a = b.adverts(spark, d).select("doc_id", "title", "description", F.when(F.col("doc_id") % 2 == 0, "Lancia").alias("make"), none.cast("string").alias("model"), none.cast("bigint").alias("year"), none.cast("bigint").alias("mileage_km"), "fuel")
     out = mappers.recover_seller_evidence(a)
     return out.select("doc_id", "make", F.array_contains("seller_conflicts", "make").alias("make_conflict"))
 
