@@ -17,7 +17,7 @@ from .decontamination import _bound
 
 #: Rows up to which ids of lines are sent to every executor (about 24 bytes each); more are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Lines under one segment of one length up to which its pairs are written out.
+#: Lines under one segment of one length up to which ids meet in pairs.
 SMALL_GROUP = 24
 #: Lines of a larger group that are compared in one task.
 LINES_PER_SALT = 2_000
@@ -120,46 +120,45 @@ def _within(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(ids) if few else ids, ["row", "line_no"], "left_semi")
 
 
-def near_pairs(lines: DataFrame, threshold: int = 2, min_chars: int = 20) -> DataFrame:
-    """Pairs of lines within ``threshold`` edits: (row, line_no, order) of both, the first ordered before the second.
+def near_later(lines: DataFrame, threshold: int = 2, min_chars: int = 20) -> DataFrame:
+    """(row, line_no) of the lines within ``threshold`` edits of a line that is ordered before them.
 
-    ``lines`` is a written table of row, line_no, order (a comparable struct; equal orders are never a
-    pair) and line. Lines of fewer than ``min_chars`` code points take no part. A segment that many lines
-    of a length share isn't written out as pairs: its lines travel in blocks with their texts, and
-    only what is near leaves the join.
+    ``lines`` is a written table of row, line_no, order (a comparable struct) and line. Lines of fewer
+    than ``min_chars`` code points take no part. Few lines under one segment meet as pairs of ids, and
+    texts are fetched for what met. A segment that many lines of a length share is never written out as
+    pairs: its lines travel in blocks with their texts, and a line leaves the join once, at the first
+    earlier one that is near.
     """
     long_enough = lines.where(F.char_length("line") >= min_chars).withColumn("size", F.char_length("line"))
-    index = long_enough.select("row", "line_no", F.explode(_indexed(F.col("line"), F.col("size"), threshold)).alias("key"))
+    index = long_enough.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.explode(_indexed(F.col("line"), F.col("size"), threshold)).alias("key"))
     probe = long_enough.select("row", "line_no", F.explode(_probed(F.col("line"), F.col("size"), threshold)).alias("key"))
-    large = index.groupBy("key").count().where(F.col("count") > SMALL_GROUP)
-    large = cut_lineage(large, "large-groups")
-
-    renamed = index.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), "key")
+    large = cut_lineage(index.groupBy("key").count().where(F.col("count") > SMALL_GROUP), "large-groups")
     some_large = large.limit(1).count() > 0
-    small = renamed.join(large, "key", "left_anti") if some_large else renamed
+
+    small = index.join(large, "key", "left_anti") if some_large else index
     differ = (F.col("row") != F.col("i_row")) | (F.col("line_no") != F.col("i_line"))
-    met = probe.join(small, "key").where(differ).select("row", "line_no", "i_row", "i_line").distinct()
-    met = cut_lineage(met, "met-lines")
-    ids = met.select("row", "line_no").union(met.select("i_row", "i_line")).distinct()
-    texts = cut_lineage(_within(lines, ids), "met-texts")
-    other = texts.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.col("order").alias("i_order"), F.col("line").alias("i_line_text"))
-    verified = met.join(texts, ["row", "line_no"]).join(other, ["i_row", "i_line"]).where(banded_distance(F.col("i_line_text"), F.col("line"), threshold) <= threshold)
+    met = cut_lineage(probe.join(small, "key").where(differ).select("row", "line_no", "i_row", "i_line").distinct(), "met-lines")
+    texts = cut_lineage(_within(lines, met.select("row", "line_no").union(met.select("i_row", "i_line")).distinct()), "met-texts")
+    near = banded_distance(F.col("i_text"), F.col("line"), threshold) <= threshold
+    pairs = met.join(texts, ["row", "line_no"]).join(_as_index(texts), ["i_row", "i_line"]).where((F.col("order") != F.col("i_order")) & near)
+    later = pairs.select(F.when(F.col("i_order") < F.col("order"), F.struct("row", "line_no")).otherwise(F.struct(F.col("i_row").alias("row"), F.col("i_line").alias("line_no"))).alias("l")).select("l.*")
     if some_large:
         blocks = F.ceil(F.col("count") / LINES_PER_SALT).cast("int")
-        i_side = renamed.join(large, "key").withColumn("salt", F.pmod(F.xxhash64("i_row", "i_line"), blocks).cast("int"))
+        i_side = index.join(large, "key").withColumn("salt", F.pmod(F.xxhash64("i_row", "i_line"), blocks).cast("int")).drop("count")
         p_side = probe.join(large, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("count")
-        hot = cut_lineage(p_side.select("row", "line_no").union(i_side.select("i_row", "i_line")).distinct(), "large-ids")
-        hot_texts = cut_lineage(_within(lines, hot), "large-texts")
-        hot_other = hot_texts.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.col("order").alias("i_order"), F.col("line").alias("i_line_text"))
-        p_side, i_side = p_side.join(hot_texts, ["row", "line_no"]), i_side.join(hot_other, ["i_row", "i_line"])
-        # The built-in stops early, so it thins the pairs inside the join; the bit-parallel distance then decides.
-        close = (p_side["key"] == i_side["key"]) & (p_side["salt"] == i_side["salt"]) & (F.col("order") != F.col("i_order")) & (F.levenshtein("i_line_text", "line", threshold) >= 0)
-        columns = ["row", "line_no", "order", "line", "i_row", "i_line", "i_order", "i_line_text"]
-        thinned = p_side.join(i_side, close).select(*columns).where(banded_distance(F.col("i_line_text"), F.col("line"), threshold) <= threshold)
-        verified = verified.select(*columns).union(thinned)
-    one, two = F.struct("order", "row", "line_no"), F.struct(F.col("i_order").alias("order"), F.col("i_row").alias("row"), F.col("i_line").alias("line_no"))
-    pairs = verified.where(F.col("order") != F.col("i_order")).select(F.least(one, two).alias("first"), F.greatest(one, two).alias("second"))
-    return pairs.distinct()
+        ids = cut_lineage(p_side.select("row", "line_no").union(i_side.select("i_row", "i_line")).distinct(), "large-ids")
+        large_texts = cut_lineage(_within(lines, ids), "large-texts")
+        p_side, i_side = p_side.join(large_texts, ["row", "line_no"]), i_side.join(_as_index(large_texts), ["i_row", "i_line"])
+        # The built-in gives up early on lines that are far apart; the bit-parallel distance decides.
+        close = (p_side["key"] == i_side["key"]) & (p_side["salt"] == i_side["salt"]) & (F.levenshtein("i_text", "line", threshold) >= 0) & near
+        late_p = p_side.join(i_side, close & (F.col("i_order") < F.col("order")), "left_semi").select("row", "line_no")
+        late_i = i_side.join(p_side, close & (F.col("order") < F.col("i_order")), "left_semi").select("i_row", "i_line")
+        later = later.union(late_p).union(late_i)
+    return later.distinct()
+
+
+def _as_index(texts: DataFrame) -> DataFrame:
+    return texts.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.col("order").alias("i_order"), F.col("line").alias("i_text"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) -> DataFrame:
@@ -187,7 +186,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) -> Dat
     own = _bound(split, lambda lines: F.transform("__first", lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
     opened = whole.select(F.col("__row").alias("row"), F.struct("doc_id", "__hash").alias("of"), F.explode(own).alias("l"))
     lines = opened.select("row", "l.line_no", F.struct("of.doc_id", "of.__hash", "l.line_no").alias("order"), "l.line")
-    later = near_pairs(lines, threshold, min_chars).select("second.row", "second.line_no").distinct()
+    later = near_later(lines, threshold, min_chars)
     near = cut_lineage(later.groupBy(F.col("row").alias("__near_row")).agg(F.collect_list("line_no").alias("__near")), "near-lines")
     few = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS // 4
     marked = whole.join(F.broadcast(near) if few else near, F.col("__row") == F.col("__near_row"), "left")
