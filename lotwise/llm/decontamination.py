@@ -97,7 +97,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     # One pass over the documents: every row also sends an entry of its own, which matches nothing and carries the counts.
     own = F.struct(F.lit(-1).alias("span"), F.col("row").alias("fp"), F.lit(0).alias("pos"), F.lit(0).alias("first"), F.array().cast("array<bigint>").alias("context"))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _bound(_hashes(F.col("text")), lambda h: F.struct(F.size(h).cast("bigint").alias("n"), _entries(h, window, k, short).alias("entries"))).alias("f"))
-    entries = rows.select("doc_id", "row", F.col("f.n").alias("n_words"), F.explode(F.concat(F.array(own), F.col("f.entries"))).alias("e")).select("doc_id", "row", "n_words", "e.*")
+    entries = rows.select("doc_id", "row", F.col("f.n").alias("n_words"), F.explode_outer(F.concat(F.array(own), F.col("f.entries"))).alias("e")).select("doc_id", "row", "n_words", "e.*")
     met = entries.join(index, (F.col("span") == F.col("i_span")) & (F.col("fp") == F.col("i_fp")), "left").where((F.col("span") == -1) | F.col("i_fp").isNotNull())
 
     at, i_at = F.col("pos") - F.col("first"), F.col("i_at")

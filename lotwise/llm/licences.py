@@ -101,7 +101,7 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
         return F.concat(F.array(own), notices)
 
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _bound(_canonical_lines(F.col("text")), looked_up).alias("texts"))
-    rows = numbered.select("doc_id", "row", F.explode("texts").alias("e")).select("doc_id", "row", "e.*")
+    rows = numbered.select("doc_id", "row", F.explode_outer("texts").alias("e")).select("doc_id", "row", "e.*")
     met = rows.join(digests.select(F.col("digest").alias("k_digest"), "licence"), F.col("digest") == F.col("k_digest"), "left").where(F.col("whole") | F.col("licence").isNotNull())
     notice = F.when(~F.col("whole"), F.col("licence"))
     return met.groupBy("row").agg(

@@ -8,7 +8,7 @@ bit-parallel edit distance. All of it are DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.session import cut_lineage
@@ -92,15 +92,12 @@ def _key(length: Column, i: int, part: Column) -> Column:
     return F.xxhash64(length, F.lit(i), part)
 
 
-def _indexed(line: Column, length: Column, threshold: int) -> Column:
-    return F.array(*(_key(length, i, F.substring(line, start, size)) for i, (start, size) in enumerate(_segments(length, threshold + 1))))
+def _keys(line: Column, length: Column, threshold: int) -> Column:
+    """Struct array (key, own): keys of the substrings that may be a segment of a line shorter by 0 to ``threshold``.
 
-
-def _probed(line: Column, length: Column, threshold: int) -> Column:
-    """Keys of the substrings that may be a segment of a line shorter by 0 to ``threshold``.
-
-    Segment i (from 0) can have moved by at most i places, counted from the left, and by the edits
-    that are left for what follows, counted from the right.
+    Segment i (from 0) can have moved by at most i places, counted from the left, and by the edits that
+    are left for what follows, counted from the right. ``own`` marks the line's own segments, which are
+    the index. Keys of substrings that don't exist are null.
     """
     keys = []
     for shorter in range(threshold + 1):
@@ -110,8 +107,20 @@ def _probed(line: Column, length: Column, threshold: int) -> Column:
             for move in moves:
                 at = start + move
                 inside = (at >= 1) & (at + size - 1 <= length) & (size >= 1)
-                keys.append(F.when(inside, _key(other, i, F.substring(line, at, size))))
-    return F.array_compact(F.array(*keys))
+                keys.append(F.struct(F.when(inside, _key(other, i, F.substring(line, at, size))).alias("key"), F.lit(shorter == 0 and move == 0).alias("own")))
+    return F.array(*keys)
+
+
+def _letters(text: Column) -> Column:
+    """Counts of some letters: an edit changes their sum of differences by at most two."""
+    return F.array(*((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))).cast("int") for c in "aeionrst"))
+
+
+def _letters_apart(a: Column, b: Column) -> Column:
+    out = F.lit(0)
+    for i in range(8):
+        out = out + F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i)))
+    return out
 
 
 def _within(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -129,38 +138,43 @@ def near_later(lines: DataFrame, threshold: int = 2, min_chars: int = 20) -> Dat
     pairs: its lines travel in blocks with their texts, and a line leaves the join once, at the first
     earlier one that is near.
     """
-    long_enough = lines.where(F.char_length("line") >= min_chars).withColumn("size", F.char_length("line"))
-    index = long_enough.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.explode(_indexed(F.col("line"), F.col("size"), threshold)).alias("key"))
-    probe = long_enough.select("row", "line_no", F.explode(_probed(F.col("line"), F.col("size"), threshold)).alias("key"))
-    large = cut_lineage(index.groupBy("key").count().where(F.col("count") > SMALL_GROUP), "large-groups")
-    some_large = large.limit(1).count() > 0
-
-    small = index.join(large, "key", "left_anti") if some_large else index
+    sized = lines.where(F.char_length("line") >= min_chars).withColumn("size", F.char_length("line"))
+    # One shuffle serves both sides of the join. The outer form keeps the array from being worked out again in a filter.
+    keys = sized.select("row", "line_no", F.explode_outer(_keys(F.col("line"), F.col("size"), threshold)).alias("k")).select("row", "line_no", "k.key", "k.own").where("key is not null")
+    group = Window.partitionBy("key").orderBy(F.desc("own"), "row", "line_no")
+    all_rows = Window.partitionBy("key").orderBy(F.desc("own"), "row", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    index = keys.withColumn("n", F.sum(F.col("own").cast("int")).over(all_rows)).withColumn("nth", F.row_number().over(group)).where("own and (n <= %d or nth = 1)" % SMALL_GROUP)
+    index = index.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.col("key").alias("i_key"), "n")
+    # Of a large group only the first line of the index is met, so that each of its lines comes once.
+    order = F.struct("row", "line_no") > F.struct(F.col("i_row").alias("row"), F.col("i_line").alias("line_no"))
     differ = (F.col("row") != F.col("i_row")) | (F.col("line_no") != F.col("i_line"))
-    met = cut_lineage(probe.join(small, "key").where(differ).select("row", "line_no", "i_row", "i_line").distinct(), "met-lines")
-    texts = cut_lineage(_within(lines, met.select("row", "line_no").union(met.select("i_row", "i_line")).distinct()), "met-texts")
-    near = banded_distance(F.col("i_text"), F.col("line"), threshold) <= threshold
-    pairs = met.join(texts, ["row", "line_no"]).join(_as_index(texts), ["i_row", "i_line"]).where((F.col("order") != F.col("i_order")) & near)
-    later = pairs.select(F.when(F.col("i_order") < F.col("order"), F.struct("row", "line_no")).otherwise(F.struct(F.col("i_row").alias("row"), F.col("i_line").alias("line_no"))).alias("l")).select("l.*")
-    if some_large:
-        blocks = F.ceil(F.col("count") / LINES_PER_SALT).cast("int")
-        i_side = index.join(large, "key").withColumn("salt", F.pmod(F.xxhash64("i_row", "i_line"), blocks).cast("int")).drop("count")
-        p_side = probe.join(large, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("count")
-        ids = cut_lineage(p_side.select("row", "line_no").union(i_side.select("i_row", "i_line")).distinct(), "large-ids")
-        large_texts = cut_lineage(_within(lines, ids), "large-texts")
-        p_side, i_side = p_side.join(large_texts, ["row", "line_no"]), i_side.join(_as_index(large_texts), ["i_row", "i_line"])
-        # The built-in gives up early on lines that are far apart; the bit-parallel distance decides.
-        close = (p_side["key"] == i_side["key"]) & (p_side["salt"] == i_side["salt"]) & (F.levenshtein("i_text", "line", threshold) >= 0) & near
+    found = keys.join(index, (F.col("key") == F.col("i_key")) & ((F.col("n") > SMALL_GROUP) | (differ & (~F.col("own") | order))))
+    met = found.select("row", "line_no", "i_row", "i_line", F.when(F.col("n") > SMALL_GROUP, F.col("key")).alias("key"), F.col("own"), "n")
+    met = cut_lineage(met, "met-lines")
+
+    small = met.where("key is null").select("row", "line_no", "i_row", "i_line").distinct()
+    large = met.where("key is not null").select("key", "n", "row", "line_no", "own")
+    ids = met.select("row", "line_no").union(small.select("i_row", "i_line")).distinct()
+    texts = _within(lines, ids).withColumn("letters", _letters(F.col("line")))
+    texts = cut_lineage(texts, "met-texts")
+    other = texts.select(*(F.col(c).alias(f"i_{c}") for c in ("row", "line_no", "order", "line", "letters")))
+    maybe = (_letters_apart(F.col("letters"), F.col("i_letters")) <= 2 * threshold) & (F.levenshtein("i_line", "line", threshold) >= 0)
+    # Letters and the built-in distance, which gives up early, thin what meets; the bit-parallel distance decides.
+    near = maybe & (banded_distance(F.col("i_line"), F.col("line"), threshold) <= threshold)
+    pairs = small.withColumnRenamed("i_line", "i_line_no").join(texts, ["row", "line_no"]).join(other, ["i_row", "i_line_no"]).where((F.col("order") != F.col("i_order")) & near)
+    later = pairs.select(F.when(F.col("i_order") < F.col("order"), F.struct("row", "line_no")).otherwise(F.struct(F.col("i_row").alias("row"), F.col("i_line_no").alias("line_no"))).alias("l")).select("l.*")
+    if large.limit(1).count():
+        blocks = F.ceil(F.col("n") / LINES_PER_SALT).cast("int")
+        i_side = large.where("own").withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), blocks).cast("int")).select(F.col("key").alias("i_key"), F.col("salt").alias("i_salt"), F.col("row").alias("i_row"), F.col("line_no").alias("i_line_no"))
+        p_side = large.withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "salt", "row", "line_no")
+        p_side, i_side = p_side.join(texts, ["row", "line_no"]), i_side.join(other, ["i_row", "i_line_no"])
+        close = (F.col("key") == F.col("i_key")) & (F.col("salt") == F.col("i_salt")) & near
         late_p = p_side.join(i_side, close & (F.col("i_order") < F.col("order")), "left_semi").select("row", "line_no")
-        late_i = i_side.join(p_side, close & (F.col("order") < F.col("i_order")), "left_semi").select("i_row", "i_line")
+        late_i = i_side.join(p_side, close & (F.col("order") < F.col("i_order")), "left_semi").select("i_row", "i_line_no")
         later = later.union(late_p).union(late_i)
     return later.distinct()
 
 
-def _as_index(texts: DataFrame) -> DataFrame:
-    return texts.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.col("order").alias("i_order"), F.col("line").alias("i_text"))
-
-
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) -> DataFrame:
     """Documents with repeated lines taken out; adds n_lines, n_repeated and n_near (bigint).
 
@@ -173,7 +187,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) -> Dat
     stay, and reserved names start with two underscores.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    at_lines = docs.select("doc_id", key.alias("__hash"), F.posexplode(F.split("text", "\n")).alias("__line_no", "line")).where("line <> ''")
+    at_lines = docs.select("doc_id", key.alias("__hash"), F.posexplode_outer(F.split("text", "\n")).alias("__line_no", "line")).where("line <> ''")
     # Lines are told apart by 128 bits, so texts aren't shuffled to find equal ones.
     found = at_lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.struct("doc_id", "__hash", "__line_no").alias("at"))
     first = found.groupBy("a", "b").agg(F.min("at").alias("at")).select("at.*")
@@ -184,7 +198,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 20) -> Dat
 
     split = F.split("text", "\n")
     own = _bound(split, lambda lines: F.transform("__first", lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
-    opened = whole.select(F.col("__row").alias("row"), F.struct("doc_id", "__hash").alias("of"), F.explode(own).alias("l"))
+    opened = whole.select(F.col("__row").alias("row"), F.struct("doc_id", "__hash").alias("of"), F.explode_outer(own).alias("l")).where("l is not null")
     lines = opened.select("row", "l.line_no", F.struct("of.doc_id", "of.__hash", "l.line_no").alias("order"), "l.line")
     later = near_later(lines, threshold, min_chars)
     near = cut_lineage(later.groupBy(F.col("row").alias("__near_row")).agg(F.collect_list("line_no").alias("__near")), "near-lines")
