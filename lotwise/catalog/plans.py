@@ -15,18 +15,19 @@ COHORT = ("make", "seller_type")
 
 
 def _screen_sql() -> str:
-    local = benchmark_ctes("lo", f"t.source = p.source and t.make = p.make and t.seller_type = p.seller_type and t.province = p.province and {near_sql(1, 20000)}", "2.0", "fresh", "hp")
+    local = benchmark_ctes("lo", f"t.source = p.source and t.make = p.make and t.seller_type = p.seller_type and t.province = p.province and {near_sql(1, 20000)}", "2.0", "valid", "hp")
     nation = benchmark_ctes("na", f"t.source = p.source and t.make = p.make and t.seller_type = p.seller_type and {near_sql(1, 20000)}", "2.0", "rest", "hp")
     return b.with_asks(
         """select source, source_id, scope, reason, comparable_count, case when reason in ('below_asking_market', 'discount_too_small') then cast(floor((p25 - price_eur) / p25 * 10000 + 0.5) as bigint) end as discount_bp,
  case when reason = 'below_asking_market' then 'verification' when reason in ('insufficient_comparables', 'condition_unresolved') then 'enrichment' else 'screened_out' end as route from (select *, case when price_kind <> 'total' or price_eur not between 1000 and 50000 then 'outside_purchase_scope'
  when condition = 'unknown' then 'condition_unresolved' when benchmark_issue is not null then 'insufficient_comparables' when (p25 - price_eur) * 10 >= p25 then 'below_asking_market' else 'discount_too_small' end as reason from (select *, 'province' as scope from lo where benchmark_issue is null union all select *, 'national' from na))""",
-        "hp as (select * from fresh where price_kind = 'total' and condition = 'undamaged')", local, "rest as (select * from fresh f where not exists (select 1 from lo where lo.source = f.source and lo.source_id = f.source_id and lo.benchmark_issue is null))", nation,
+        "valid as (select * from fresh where generation is not null and fuel is not null and price_eur between 1 and 10000000)",
+        "hp as (select * from valid where price_kind = 'total' and condition = 'undamaged')", local, "rest as (select * from valid f where not exists (select 1 from lo where lo.source = f.source and lo.source_id = f.source_id and lo.benchmark_issue is null))", nation,
     )
 
 
 def _market(spark, d):
-    return market.market_screen(b.asks(spark, d), b.as_of(), cohort=COHORT, window_days=b.WINDOW_DAYS, max_dispersion=2.0, ties=b.TIES, validate=False)
+    return market.market_screen(b.asks(spark, d), b.as_of(), cohort=COHORT, window_days=b.WINDOW_DAYS, max_dispersion=2.0, ties=b.TIES)
 
 
 @query("market_screen", _screen_sql())
