@@ -31,7 +31,7 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
 )
 _PEERS = {term: tuple(t for t in group if t != term) for group in IDENTITY_TERMS for term in group}
-_WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"(?<=[.!?\n])\s*")
+_WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"(?<=[.!?\n])")
 #: Raw tokens whose features a worker remembers before it starts anew.
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 100
