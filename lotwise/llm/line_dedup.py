@@ -78,9 +78,19 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return _bound(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), over)
 
 
-def _segments(length: Column, count: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment of a line; the last ones are the longer by one."""
-    base, longer = F.floor(length / count).cast("int"), (length % count).cast("int")
+def _with_segments(lines: DataFrame, threshold: int) -> DataFrame:
+    """Adds ``size`` and, for lengths shorter by 0 to ``threshold``, the plain size of a segment and how many are longer by one."""
+    count = threshold + 1
+    sized = lines.withColumn("size", F.char_length("line"))
+    for shorter in range(count):
+        other = F.greatest(F.col("size") - shorter, F.lit(0))
+        sized = sized.withColumn(f"base{shorter}", F.floor(other / count).cast("int")).withColumn(f"longer{shorter}", (other % count).cast("int"))
+    return sized
+
+
+def _segments(shorter: int, count: int) -> list[tuple[Column, Column]]:
+    """Start (from 1) and length of each segment; the last ones are the longer by one."""
+    base, longer = F.col(f"base{shorter}"), F.col(f"longer{shorter}")
     out = []
     for i in range(count):
         extra = F.greatest(longer - (count - i), F.lit(0))  # longer segments before this one
@@ -102,12 +112,12 @@ def _keys(line: Column, length: Column, threshold: int) -> Column:
     keys = []
     for shorter in range(threshold + 1):
         other = (length - shorter).cast("int")
-        for i, (start, size) in enumerate(_segments(other, threshold + 1)):
+        for i, (start, size) in enumerate(_segments(shorter, threshold + 1)):
             moves = range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
             for move in moves:
                 at = start + move
                 inside = (at >= 1) & (at + size - 1 <= length) & (size >= 1)
-                keys.append(F.struct(F.when(inside, _key(other, i, F.substring(line, at, size))).alias("key"), F.lit(shorter == 0 and move == 0).alias("own")))
+                keys.append(F.struct(F.when(inside, _key(other, i, F.substring(line, at, size))).alias("key"), F.lit(int(shorter == 0 and move == 0)).alias("own")))
     return F.array(*keys)
 
 
@@ -138,17 +148,17 @@ def near_later(lines: DataFrame, threshold: int = 2, min_chars: int = 20) -> Dat
     pairs: its lines travel in blocks with their texts, and a line leaves the join once, at the first
     earlier one that is near.
     """
-    sized = lines.where(F.char_length("line") >= min_chars).withColumn("size", F.char_length("line"))
+    sized = _with_segments(lines.where(F.char_length("line") >= min_chars), threshold)
     # One shuffle serves both sides of the join. The outer form keeps the array from being worked out again in a filter.
     keys = sized.select("row", "line_no", F.explode_outer(_keys(F.col("line"), F.col("size"), threshold)).alias("k")).select("row", "line_no", "k.key", "k.own").where("key is not null")
     group = Window.partitionBy("key").orderBy(F.desc("own"), "row", "line_no")
     all_rows = Window.partitionBy("key").orderBy(F.desc("own"), "row", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    index = keys.withColumn("n", F.sum(F.col("own").cast("int")).over(all_rows)).withColumn("nth", F.row_number().over(group)).where("own and (n <= %d or nth = 1)" % SMALL_GROUP)
+    index = keys.withColumn("n", F.sum("own").over(all_rows)).withColumn("nth", F.row_number().over(group)).where("own = 1 and (n <= %d or nth = 1)" % SMALL_GROUP)
     index = index.select(F.col("row").alias("i_row"), F.col("line_no").alias("i_line"), F.col("key").alias("i_key"), "n")
     # Of a large group only the first line of the index is met, so that each of its lines comes once.
     order = F.struct("row", "line_no") > F.struct(F.col("i_row").alias("row"), F.col("i_line").alias("line_no"))
     differ = (F.col("row") != F.col("i_row")) | (F.col("line_no") != F.col("i_line"))
-    found = keys.join(index, (F.col("key") == F.col("i_key")) & ((F.col("n") > SMALL_GROUP) | (differ & (~F.col("own") | order))))
+    found = keys.join(index, (F.col("key") == F.col("i_key")) & ((F.col("n") > SMALL_GROUP) | (differ & ((F.col("own") == 0) | order))))
     met = found.select("row", "line_no", "i_row", "i_line", F.when(F.col("n") > SMALL_GROUP, F.col("key")).alias("key"), F.col("own"), "n")
     met = cut_lineage(met, "met-lines")
 
@@ -165,7 +175,7 @@ def near_later(lines: DataFrame, threshold: int = 2, min_chars: int = 20) -> Dat
     later = pairs.select(F.when(F.col("i_order") < F.col("order"), F.struct("row", "line_no")).otherwise(F.struct(F.col("i_row").alias("row"), F.col("i_line_no").alias("line_no"))).alias("l")).select("l.*")
     if large.limit(1).count():
         blocks = F.ceil(F.col("n") / LINES_PER_SALT).cast("int")
-        i_side = large.where("own").withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), blocks).cast("int")).select(F.col("key").alias("i_key"), F.col("salt").alias("i_salt"), F.col("row").alias("i_row"), F.col("line_no").alias("i_line_no"))
+        i_side = large.where("own = 1").withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), blocks).cast("int")).select(F.col("key").alias("i_key"), F.col("salt").alias("i_salt"), F.col("row").alias("i_row"), F.col("line_no").alias("i_line_no"))
         p_side = large.withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "salt", "row", "line_no")
         p_side, i_side = p_side.join(texts, ["row", "line_no"]), i_side.join(other, ["i_row", "i_line_no"])
         close = (F.col("key") == F.col("i_key")) & (F.col("salt") == F.col("i_salt")) & near
