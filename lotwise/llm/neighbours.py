@@ -179,7 +179,8 @@ def build_index(vectors: DataFrame, settings: GraphSettings = GraphSettings()) -
         })
 
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(built, "shard int, node int, vector array<double>, edges array<int>, is_entry boolean, ids array<bigint>"), shards
+    # A shard is little data and much work, so each has a task of its own.
+    return sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(built, "shard int, node int, vector array<double>, edges array<int>, is_entry boolean, ids array<bigint>"), shards
 
 
 def search_shard(nodes: pd.DataFrame, queries: pd.DataFrame, top: int, settings: GraphSettings) -> pd.DataFrame:
@@ -228,6 +229,8 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, settings: GraphSettings
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return search_shard(nodes, asked, top, settings)
 
+    tasks = shards * blocks
+    copied, dealt = copied.repartition(tasks, "shard", "block"), dealt.repartition(tasks, "shard", "block")
     found = copied.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(searched, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
