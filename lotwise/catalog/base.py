@@ -128,7 +128,8 @@ FRESH_SQL = f"select * from latest where active and observed_at >= {AS_OF_SQL} -
 
 def with_asks(body: str, *ctes: str) -> str:
     """Oracle text over the asks, latest and fresh views."""
-    views = [f"asks as ({ASKS_SQL})", f"latest as ({LATEST_SQL})", f"fresh as ({FRESH_SQL})", *ctes]
+    # Materialised: steps over them mention them several times.
+    views = [f"asks as materialized ({ASKS_SQL})", f"latest as materialized ({LATEST_SQL})", f"fresh as materialized ({FRESH_SQL})", *(c.replace(" as (", " as materialized (", 1) for c in ctes)]
     return "with " + ", ".join(views) + " " + body
 
 

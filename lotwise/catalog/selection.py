@@ -48,7 +48,7 @@ def top_k_with_counts(spark, d):
 
 
 def _recursive(body: str, *ctes: str) -> str:
-    return b.with_asks(body, *ctes).replace("with ", "with recursive ", 1)
+    return b.with_asks(body, *ctes).replace("with ", "with recursive ", 1).replace("run as materialized (", "run as (", 1)
 
 
 # The whole leads in order, as one list; a step of the recursion takes the first that may be chosen.
