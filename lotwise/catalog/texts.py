@@ -151,7 +151,14 @@ def page_title_text(spark, d):
     return b.table(spark, d, "pages").select("page_id", pg.page_title("html").alias("page_title"))
 
 
-@query("page_visible_text")
+_BARE = "html"
+for _pattern, _new in ((r"(?is)<script\b[^>]*>.*?</script\s*>", ""), (r"(?is)<style\b[^>]*>.*?</style\s*>", ""), ("(?s)<!--.*?-->", ""), (r"(?i)<(?:br|p|li)\b[^>]*>", "\n"), ("(?s)</?[a-zA-Z][^>]*>", "")):
+    _BARE = f"regexp_replace({_BARE}, '{_pattern}', '{_new}', 'g')"
+for _name, _char in (("nbsp", "\xa0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"), ("euro", "€"), ("#39", "''"), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_char}')"
+
+
+@query("page_visible_text", rf"select page_id, length(t) as chars, sha256(t) as digest from (select page_id, regexp_replace({_BARE}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g') as t from pages)")
 def page_visible_text(spark, d):
     text = pg.visible_text("html")
     return b.table(spark, d, "pages").withColumn("t", text).select("page_id", F.length("t").cast("bigint").alias("chars"), F.sha2("t", 256).alias("digest"))
