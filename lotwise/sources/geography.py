@@ -18,7 +18,7 @@ def _alias(column, table: dict[str, str]):
     return F.coalesce(F.try_element_at(F.create_map(*pairs), column), column)
 
 
-def published_location(rows: DataFrame, registry: DataFrame, city: str = "city", small: int = 50_000) -> DataFrame:
+def published_location(rows: DataFrame, registry: DataFrame, city: str = "city") -> DataFrame:
     """Add location_city, location_province and location_issue.
 
     ``registry``: city, province, province_name, region, ambiguous. Text like 'City (PR), Region'
@@ -44,9 +44,7 @@ def published_location(rows: DataFrame, registry: DataFrame, city: str = "city",
         F.collect_set(F.struct("_code", "_pname")).alias("_provinces"), F.collect_set("_region").alias("_regions")
     ).withColumn("_one", F.lit(1))
     d = d.withColumn("_one", F.lit(1)).join(F.broadcast(vocabulary), "_one").drop("_one")
-    # A registry beyond the checked size joins by shuffle instead.
-    fits = registry.limit(small + 1).count() <= small
-    d = d.join(F.broadcast(by_city) if fits else by_city, "_city", "left")
+    d = d.join(by_city, "_city", "left")
 
     hits = F.filter("_provinces", lambda p: F.array_contains(F.col("_labels"), p["_code"]) | F.array_contains(F.col("_labels"), p["_pname"]))
     d = d.withColumn("_hints", F.array_distinct(F.transform(hits, lambda p: p["_code"])))
