@@ -45,5 +45,5 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate result once and read it back, so a lost executor costs one task."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
