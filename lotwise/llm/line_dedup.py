@@ -78,47 +78,37 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return _bound(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), over)
 
 
-def _with_segments(lines: DataFrame, threshold: int) -> DataFrame:
-    """Adds ``size`` and, for lengths shorter by 0 to ``threshold``, the plain size of a segment and how many are longer by one."""
-    count = threshold + 1
-    sized = lines.withColumn("size", F.char_length("line"))
-    for shorter in range(count):
-        other = F.greatest(F.col("size") - shorter, F.lit(0))
-        sized = sized.withColumn(f"base{shorter}", F.floor(other / count).cast("int")).withColumn(f"longer{shorter}", (other % count).cast("int"))
-    return sized
-
-
-def _segments(shorter: int, count: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment; the last ones are the longer by one."""
-    base, longer = F.col(f"base{shorter}"), F.col(f"longer{shorter}")
-    out = []
-    for i in range(count):
-        extra = F.greatest(longer - (count - i), F.lit(0))  # longer segments before this one
-        out.append((F.lit(1) + base * i + extra, base + F.when(F.lit(count - i) <= longer, 1).otherwise(0)))
-    return out
+def _looked_up(threshold: int) -> list[tuple[int, int, int]]:
+    """(shorter, segment, move): where a line looks for the segments of lines shorter by 0 to ``threshold``.
 
-
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), part)
+    Segment i (from 0) can have moved by at most i places, counted from the left, and by the edits that
+    are left for what follows, counted from the right.
+    """
+    return [
+        (shorter, i, move)
+        for shorter in range(threshold + 1)
+        for i in range(threshold + 1)
+        for move in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
+    ]
 
 
-def _keys(line: Column, length: Column, threshold: int) -> Column:
-    """Struct array (key, own): keys of the substrings that may be a segment of a line shorter by 0 to ``threshold``.
+def _with_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """(row, line_no, key, own) for every segment that a line looks up; ``own`` is 1 for its own segments, the index.
 
-    Segment i (from 0) can have moved by at most i places, counted from the left, and by the edits that
-    are left for what follows, counted from the right. ``own`` marks the line's own segments, which are
-    the index. Keys of substrings that don't exist are null.
+    A line of n is cut into ``threshold + 1`` segments of equal length, the last ones longer by one. One
+    place is worked out at a time, so the generated code stays small enough to be compiled.
     """
-    keys = []
-    for shorter in range(threshold + 1):
-        other = (length - shorter).cast("int")
-        for i, (start, size) in enumerate(_segments(shorter, threshold + 1)):
-            moves = range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)
-            for move in moves:
-                at = start + move
-                inside = (at >= 1) & (at + size - 1 <= length) & (size >= 1)
-                keys.append(F.struct(F.when(inside, _key(other, i, F.substring(line, at, size))).alias("key"), F.lit(int(shorter == 0 and move == 0)).alias("own")))
-    return F.array(*keys)
+    count = threshold + 1
+    places = F.array(*(F.struct(F.lit(s).alias("shorter"), F.lit(i).alias("i"), F.lit(m).alias("move")) for s, i, m in _looked_up(threshold)))
+    at = lines.select("row", "line_no", "line", F.char_length("line").alias("size"), F.explode(places).alias("p")).select("row", "line_no", "line", "size", "p.*")
+    at = at.withColumn("other", F.greatest(F.col("size") - F.col("shorter"), F.lit(0)))
+    at = at.withColumn("base", F.floor(F.col("other") / count).cast("int")).withColumn("longer", F.col("other") % count)
+    extra = F.greatest(F.col("longer") - (count - F.col("i")), F.lit(0))  # longer segments before this one
+    at = at.withColumn("start", F.lit(1) + F.col("base") * F.col("i") + extra + F.col("move")).withColumn("width", F.col("base") + F.when(count - F.col("i") <= F.col("longer"), 1).otherwise(0))
+    inside = (F.col("start") >= 1) & (F.col("start") + F.col("width") - 1 <= F.col("size")) & (F.col("width") >= 1)
+    key = F.xxhash64("other", "i", F.substring(F.col("line"), F.col("start"), F.col("width")))
+    own = ((F.col("shorter") == 0) & (F.col("move") == 0)).cast("int")
+    return at.where(inside).select("row", "line_no", key.alias("key"), own.alias("own"))
 
 
 def _letters(text: Column) -> Column:
@@ -148,9 +138,8 @@ def near_later(lines: DataFrame, threshold: int = 2, min_chars: int = 20) -> Dat
     pairs: its lines travel in blocks with their texts, and a line leaves the join once, at the first
     earlier one that is near.
     """
-    sized = _with_segments(lines.where(F.char_length("line") >= min_chars), threshold)
-    # One shuffle serves both sides of the join. The outer form keeps the array from being worked out again in a filter.
-    keys = sized.select("row", "line_no", F.explode_outer(_keys(F.col("line"), F.col("size"), threshold)).alias("k")).select("row", "line_no", "k.key", "k.own").where("key is not null")
+    # One shuffle of the keys serves both sides of the join.
+    keys = _with_keys(lines.where(F.char_length("line") >= min_chars), threshold)
     group = Window.partitionBy("key").orderBy(F.desc("own"), "row", "line_no")
     all_rows = Window.partitionBy("key").orderBy(F.desc("own"), "row", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     index = keys.withColumn("n", F.sum("own").over(all_rows)).withColumn("nth", F.row_number().over(group)).where("own = 1 and (n <= %d or nth = 1)" % SMALL_GROUP)
