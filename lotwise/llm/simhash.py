@@ -222,6 +222,16 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3) ->
     return prints.join(named, "fingerprint").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, keys: DataFrame, root_of: DataFrame, node: str) -> DataFrame:
+    """One document of each root: ``keys`` has doc_id, text_key and node of every row, ``root_of`` the root of every node."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first")
+    by_node = keys.groupBy(node).agg(first)
+    kept = by_node.join(root_of, node).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__kept"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__kept"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", "__key"]).drop("__key")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """One document of each component, with all its columns: the least doc_id, null last, then the least hash of the text.
 
@@ -229,9 +239,4 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
     """
     prints = cut_lineage(fingerprints(docs, shingle), "fingerprints")
     root_of = cut_lineage(components(prints, distance), "roots")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first")
-    by_print = prints.groupBy("fingerprint").agg(first)
-    kept = by_print.join(root_of, "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__kept"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__kept"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return first_of_each(docs, prints, root_of, "fingerprint")
