@@ -11,6 +11,8 @@ Which strings can be equal is decided by content, so that equal ones meet in one
   it takes some 50 symbols for its 400 bytes and more. A shard's members make one text; its suffix
   array is built by induced sorting and its common prefixes by the permuted array. A string is repeated
   if its suffix shares as many symbols as the string has with a neighbour in the array.
+* An anchor with more than ``MANY`` different segments isn't brought together: digests of its strings are
+  counted, which combines before the shuffle and spreads over tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lotwise.session import cut_lineage
 
@@ -33,6 +36,8 @@ _SEPARATOR, _BYTE, _DIGIT = 1, 2, 258
 _ALPHABET = _DIGIT + DIGITS
 #: Symbols that one suffix array takes, about.
 SHARD_SYMBOLS = 400_000
+#: Different segments of an anchor that one task takes.
+MANY = 1000
 
 
 def suffix_array(s: list[int], alphabet: int) -> list[int]:
@@ -257,6 +262,33 @@ def _repeats(length: int):
     return repeats
 
 
+def _strings(length: int):
+    """Digest and place of every string of each segment."""
+    names = ["d1", "d2", "anchor", "digest", "at", "copies"]
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _cut(batches):
+            for anchor, digest, copies, n, _, raw in batch.itertuples(index=False):
+                pairs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]), "<i8").reshape(-1, 2)
+                yield pd.DataFrame(dict(zip(names, (pairs[:, 0], pairs[:, 1], np.full(n, anchor), np.full(n, digest), np.arange(n, dtype=np.int32), np.full(n, copies)), strict=True)))
+
+    return strings
+
+
+def _counted(holders: DataFrame, length: int) -> DataFrame:
+    """anchor, digest and runs of the segments that ``holders`` want, by counts of string digests."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def runs(places: pd.Series) -> pd.Series:
+        flags = (np.bincount(np.asarray(p)) > 0 for p in places)
+        return pd.Series([_runs(f) for f in flags])
+
+    strings = holders.mapInPandas(_strings(length), "d1 bigint, d2 bigint, anchor bigint, digest bigint, at int, copies bigint")
+    again = strings.groupBy("d1", "d2").agg(F.sum("copies").alias("all_copies")).where("all_copies > 1").select("d1", "d2")
+    repeated = strings.select("d1", "d2", "anchor", "digest", "at").join(again, ["d1", "d2"], "left_semi")
+    return repeated.groupBy("anchor", "digest").agg(F.collect_list("at").alias("places")).select("anchor", "digest", runs("places").alias("runs"))
+
+
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -299,16 +331,21 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     classes = places.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.max("strings").alias("strings"), F.max("place").alias("place"), F.min(F.struct("k1", "k2", "start")).alias("at"))
     met = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("copies").alias("all_copies"))
-    met = met.where("all_copies > 1").select("anchor", (F.col("n") > 1).alias("mixed"))
+    met = met.where("all_copies > 1").select("anchor", (F.col("n") > 1).alias("mixed"), (F.col("n") > MANY).alias("many"))
     classes = cut_lineage(classes.join(met, "anchor"), "segment-classes")
 
     end = F.col("at.start") + F.col("strings") + (length - 1)
     wanted = F.struct("anchor", "digest", "copies", "strings", "place", F.col("at.start").alias("start"), end.alias("end"))
-    by_doc = classes.where("mixed").groupBy(F.col("at.k1").alias("w1"), F.col("at.k2").alias("w2")).agg(F.collect_list(wanted).alias("wanted"))
-    # Both joins read these columns of the texts, so they share one shuffle.
-    holders = keyed.join(by_doc, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("name", "text", "wanted")
-    cut = holders.mapInPandas(_cut, "anchor bigint, digest bigint, copies bigint, strings bigint, place bigint, bytes binary")
+
+    def holders(chosen: str) -> DataFrame:
+        by_doc = classes.where(chosen).groupBy(F.col("at.k1").alias("w1"), F.col("at.k2").alias("w2")).agg(F.collect_list(wanted).alias("wanted"))
+        # All joins read these columns of the texts, so they share one shuffle.
+        return keyed.join(by_doc, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("name", "text", "wanted")
+
+    cut = holders("mixed and not many").mapInPandas(_cut, "anchor bigint, digest bigint, copies bigint, strings bigint, place bigint, bytes binary")
     mixed = cut.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_repeats(length), "anchor bigint, digest bigint, runs array<int>")
+    if not classes.where("many").isEmpty():
+        mixed = mixed.union(_counted(holders("many"), length))
     # A segment that is alone with its anchor, but in several places, is repeated as a whole.
     alone = classes.where("not mixed").select("anchor", "digest", F.array(F.lit(0), F.col("strings").cast("int")).alias("runs"))
 
