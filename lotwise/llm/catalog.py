@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licences, line_dedup, neighbours, packing, simhash, suffix_dedup, token_counts, toxicity
+from . import chat, decontamination, embedding_dedup, licences, line_dedup, neighbours, packing, periodic_runs, simhash, suffix_dedup, token_counts, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +182,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.run_digests(periodic_runs.find_runs(periodic_runs.with_periods(docs)))
+
+
+@_query("op12_embedding_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@_query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    # The exact number is a decimal; a long holds it up to some 10^8 distinct vectors.
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("bigint"))
