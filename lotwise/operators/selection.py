@@ -1,9 +1,9 @@
 """Balanced top-k selection over price bands, families and damage categories.
 
 A choice depends on the choices before it, but there are at most ``limit`` of them. Window ranks on
-the full table keep every row that can still be chosen, a small multiple of ``limit``; those are one
-ordered array, and the choices are a fold over a list of turns. Each operator states which rows a
-turn may take; the turn takes the first of them.
+the full table keep every row that can still be chosen, a small multiple of ``limit``; those become one
+row of arrays, and the choice is one fold in which a step looks at one row. Counters of families, offers
+and places are part of the fold's state, so a step costs the same whatever was chosen before.
 """
 
 from __future__ import annotations
@@ -34,36 +34,90 @@ def _ranks(df: DataFrame, ranks: dict[str, tuple[Sequence[str], Sequence[Column]
     return df
 
 
-def _uses(chosen: Column, field: str, value: Column) -> Column:
-    """How many of the chosen have this value."""
-    return F.size(F.filter(chosen, lambda c: c[field].eqNullSafe(value)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold(rows: DataFrame, order: Sequence[Column], marks: dict[str, Column], turns: list[tuple[int, dict]], take: Callable[[Column, Column, Column], Column], by_turn: bool = True) -> DataFrame:
-    """The rows chosen turn by turn, with selection_rank in order of the turns or else of ``order``.
+def _bump(counts: Column, at: Column, when: Column | None = None) -> Column:
+    """Counters with the one at a place raised, if ``when`` holds."""
+    raised = _let(at, lambda a: F.transform(counts, lambda n, i: F.when(i == a, n + 1).otherwise(n)))
+    return raised if when is None else F.when(when, raised).otherwise(counts)
 
-    A turn is a group and its values. ``take(free, turn, chosen)`` gives the mark a turn takes, or NULL:
-    then its group has nothing left, and later turns of the group are passed over. ``free`` holds the
-    marks of rows not chosen yet, in order; ``chosen`` the marks of those that are.
+
+def _zeros(n: Column) -> Column:
+    return F.array_repeat(F.lit(0), n)
+
+
+def _numbered(rows: DataFrame, order: Sequence[Column], marks: dict[str, Column]) -> DataFrame:
+    """Rows with their place in ``order`` and a whole number for each distinct value of a mark, all from 0."""
+    # The rows are bounded by the limit, so windows over all of them are small by construction.
+    rows = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
+    for name, value in marks.items():
+        rows = rows.withColumn(name, F.dense_rank().over(Window.orderBy(value)) - 1)
+    return rows
+
+
+def _ranked(rows: DataFrame, chosen: DataFrame, by: str) -> DataFrame:
+    place = F.row_number().over(Window.orderBy(by))
+    return rows.join(F.broadcast(chosen), "_i").withColumn("selection_rank", place).drop("_i", "_k")
+
+
+def _take_turns(rows: DataFrame, order: Sequence[Column], pool: Column, seats: list[int], family_cap: int, fall_back: bool, offer: Column | None = None) -> DataFrame:
+    """The rows chosen turn by turn, with selection_rank in order of the turns.
+
+    Groups follow one another, each with its seats and a pool of rows per price band; the bands take
+    turns, a round for each seat. A turn takes the first row of its pool of which the offer isn't taken and
+    the family is below its cap; with ``fall_back``, else the first of which the offer isn't taken; none
+    once the group has its seats. A row passed over is never open again, neither for its family nor for its
+    offer, so each pool has one reading place for either search, and they only move on.
     """
-    # The rows are bounded by the limit, so one ordered group is small by construction.
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)))
-    pool = ranked.agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("i"), *(c.alias(n) for n, c in marks.items())))).alias("pool"))
-    none = F.filter("pool", lambda r: F.lit(False))
-    steps = F.array(*(F.struct(F.lit(group).alias("group"), *(F.lit(v).alias(k) for k, v in values.items())) for group, values in turns))
-
-    def step(state: Column, turn: Column) -> Column:
-        best = F.when(~F.array_contains(state["done"], turn["group"]), take(state["free"], turn, state["chosen"]))
-        picked = F.get(F.transform(F.array(best), lambda x: F.struct(x.alias("x"))), F.lit(0))["x"]
-        left = F.filter(state["free"], lambda r: r["i"] != picked["i"])
-        return F.when(picked.isNull(), F.struct(state["free"].alias("free"), state["chosen"].alias("chosen"), F.array_append(state["done"], turn["group"]).alias("done"))).otherwise(
-            F.struct(left.alias("free"), F.array_append(state["chosen"], picked).alias("chosen"), state["done"].alias("done"))
-        )
-
-    start = F.struct(F.col("pool").alias("free"), none.alias("chosen"), F.array().cast("array<int>").alias("done"))
-    chosen = pool.select(F.posexplode(F.aggregate(steps, start, step, lambda s: s["chosen"])).alias("_k", "mark")).select("_k", F.col("mark.i").alias("_i"))
-    place = F.row_number().over(Window.orderBy("_k" if by_turn else "_i"))
-    return ranked.join(F.broadcast(chosen), "_i").withColumn("selection_rank", place).drop("_i", "_k")
+    pools = BANDS * len(seats)
+    numbered = _numbered(rows, order, {"_family": F.struct(*FAMILY), "_offer": F.col("_i") if offer is None else offer}).withColumn("_pool", pool)
+    bounds = numbered.agg(F.coalesce(F.max("_family"), F.lit(-1)).alias("f"), F.coalesce(F.max("_offer"), F.lit(-1)).alias("o"), F.count(F.lit(1)).alias("n"),
+                          *(F.sort_array(F.collect_list(F.when(F.col("_pool") == p, F.struct(F.col("_i").alias("i"), F.col("_family").alias("family"), F.col("_offer").alias("offer"))))).alias(f"p{p}") for p in range(pools)))
+    places = F.array(*(F.struct(F.lit(g).alias("group"), F.lit(n).alias("seats")) for g, n in enumerate(seats) if n))
+    turn = lambda p, k: F.struct((BANDS * p["group"] + k % BANDS).alias("pool"), p["group"].alias("group"), p["seats"].alias("seats"))
+    queue = F.flatten(F.transform(places, lambda p: F.transform(F.sequence(F.lit(0), BANDS * p["seats"] - 1), lambda k: turn(p, k))))
+    one = bounds.select("f", "o", "n", F.array(*(f"p{p}" for p in range(pools))).alias("pools"), queue.alias("queue"))
+    # What every step reads goes along in the state: the optimizer would build it anew inside the fold.
+    start = F.struct(
+        F.col("pools"), F.col("queue"), F.lit(0).alias("turn"), _zeros(F.lit(pools)).alias("fresh"), _zeros(F.lit(pools)).alias("spare"), _zeros(F.col("f") + 1).alias("families"), _zeros(F.col("o") + 1).alias("offers"),
+        _zeros(F.lit(len(seats))).alias("filled"), F.array().cast("array<int>").alias("chosen"),
+    )
+
+    def look(s: Column) -> Column:
+        """What a step sees: a row that is passed over (is_fresh tells in which search) or taken, or else the end of a turn."""
+
+        def judge(turn: Column, seen: Column) -> Column:
+            is_fresh = seen["fresh"].isNotNull()
+            row = F.coalesce(seen["fresh"], seen["spare"]) if fall_back else seen["fresh"]
+            open_ = (F.get(s["offers"], row["offer"]) == 0) & (~is_fresh | (F.get(s["families"], row["family"]) < family_cap))
+            ends = row.isNull() | (F.get(s["filled"], turn["group"]) >= turn["seats"])
+            return F.struct(ends.alias("ends"), (~ends & open_).alias("takes"), is_fresh.alias("is_fresh"), turn["pool"].alias("pool"), turn["group"].alias("group"), row["i"].alias("i"), row["family"].alias("family"), row["offer"].alias("offer"))
+
+        def turned(turn: Column) -> Column:
+            here = F.get(s["pools"], turn["pool"])
+            seen = F.struct(F.get(here, F.get(s["fresh"], turn["pool"])).alias("fresh"), F.get(here, F.get(s["spare"], turn["pool"])).alias("spare"))
+            return _let(seen, lambda found: judge(turn, found))
+
+        return _let(F.get(s["queue"], s["turn"]), turned)
+
+    def step(s: Column, _: Column) -> Column:
+        # Worked out anew for each counter, which is cheap; a value kept by a lambda would be copied with all it holds.
+        saw = look(s)
+        takes, moves = F.coalesce(saw["takes"], F.lit(False)), ~saw["ends"]
+        return F.when(F.get(s["queue"], s["turn"]).isNull(), s).otherwise(F.struct(
+            s["pools"].alias("pools"), s["queue"].alias("queue"), (s["turn"] + (saw["ends"] | takes).cast("int")).alias("turn"),
+            _bump(s["fresh"], saw["pool"], moves & saw["is_fresh"]).alias("fresh"), _bump(s["spare"], saw["pool"], moves & ~saw["is_fresh"]).alias("spare"),
+            _bump(s["families"], saw["family"], takes).alias("families"), _bump(s["offers"], saw["offer"], takes).alias("offers"), _bump(s["filled"], saw["group"], takes).alias("filled"),
+            F.when(takes, F.array_append(s["chosen"], saw["i"])).otherwise(s["chosen"]).alias("chosen"),
+        ))
+
+    # A step moves a reading place or ends a turn.
+    steps = F.sequence(F.lit(1), (2 * F.col("n")).cast("int") + BANDS * sum(seats))
+    chosen = one.select(F.posexplode(F.aggregate(steps, start, step, lambda s: s["chosen"])).alias("_k", "_i"))
+    return _ranked(numbered, chosen, "_k").drop("_family", "_offer", "_pool")
 
 
 def round_robin_bands(leads: DataFrame, score: str, limit: int, family_cap: int = 2) -> DataFrame:
@@ -73,14 +127,7 @@ def round_robin_bands(leads: DataFrame, score: str, limit: int, family_cap: int
     kept = _ranks(leads, {"_f": (["price_band", *FAMILY], order)}).filter(F.col("_f") <= family_cap)
     # Within a band, at most `limit` rows are chosen and `limit` belong to families that other bands filled.
     kept = _ranks(kept, {"_r": (["price_band"], order)}).filter(F.col("_r") <= 2 * limit).drop("_f", "_r")
-    # A round over the bands chooses at least one row until none is left.
-    turns = [(band, {}) for _ in range(limit) for band in range(BANDS)]
-
-    def take(free: Column, turn: Column, chosen: Column) -> Column:
-        open_rows = F.filter(free, lambda r: (r["band"] == turn["group"]) & (_uses(chosen, "family", r["family"]) < family_cap))
-        return F.when(F.size(chosen) < limit, F.get(open_rows, F.lit(0)))
-
-    return _fold(kept, order, {"band": F.col("price_band"), "family": F.struct(*FAMILY)}, turns, take)
+    return _take_turns(kept, order, F.col("price_band"), [limit], family_cap, fall_back=False)
 
 
 def mix_targets(spark: SparkSession, limit: int) -> DataFrame:
@@ -102,15 +149,9 @@ def damage_mix_selection(leads: DataFrame, limit: int = 20) -> DataFrame:
     cut = _ranks(ranked.filter(F.col("_f") <= 2), {"_c": (pools, order)}).filter(F.col("_c") <= 2 * limit).drop("_c")
     kept = cut.unionByName(ranked.filter((F.col("_f") > 2) & (F.col("_r") <= 2 * limit))).drop("_f", "_r")
     seats = mix_targets(leads.sparkSession, limit).orderBy("place").collect()  # a row per category of the mix
-    turns = [(BANDS * s["place"] + band, {"category": s["category"], "seats": s["seats"], "band": band}) for s in seats for _ in range(s["seats"]) for band in range(BANDS)]
-
-    def take(free: Column, turn: Column, chosen: Column) -> Column:
-        here = F.filter(free, lambda r: (r["category"] == turn["category"]) & (r["band"] == turn["band"]) & (_uses(chosen, "offer", r["offer"]) == 0))
-        fresh = F.filter(here, lambda r: _uses(chosen, "family", r["family"]) < 2)
-        return F.when(_uses(chosen, "category", turn["category"]) < turn["seats"], F.coalesce(F.get(fresh, F.lit(0)), F.get(here, F.lit(0))))
-
-    marks = {"category": F.col("damage_category"), "band": F.col("price_band"), "family": F.struct(*FAMILY), "offer": F.struct(*TARGET_IDENTITY)}
-    return _fold(kept, order, marks, turns, take)
+    place = F.create_map(*(F.lit(x) for s in seats for x in (s["category"], s["place"])))
+    pool = F.lit(BANDS) * F.get(F.array(F.element_at(place, F.col("damage_category"))), F.lit(0)) + F.col("price_band")
+    return _take_turns(kept, order, pool, [s["seats"] for s in seats], 2, fall_back=True, offer=F.struct(*TARGET_IDENTITY))
 
 
 def _soft_cap(limit: int) -> int:
@@ -141,18 +182,25 @@ def evidence_balanced_select(leads: DataFrame, limit: int) -> DataFrame:
     uncapped = _ranks(near_top, {"_b": (["price_band"], order)}).filter(F.col("_b") <= limit).drop("_b")
     capped = _ranks(near_top.filter(F.col("_bf") <= cap), {"_b": (["price_band"], order)}).filter(F.col("_b") <= 2 * limit).drop("_b")
     kept = uncapped.unionByName(capped).dropDuplicates(["source", "source_id"]).drop("_bf")
-    turns = [(n, dict(zip(("priority", "share", "cap"), rule, strict=True))) for n, rule in enumerate(PASSES) for _ in range(limit)]
+    marks = {"_f": F.col("_family")}
+    numbered = _numbered(kept, order, marks)
+    row = F.struct(F.col("_i").alias("i"), F.col("_f").alias("family"), F.col("price_band").alias("band"), F.coalesce("price_priority_passed", F.lit(False)).alias("priority"))
+    one = numbered.agg(F.coalesce(F.max("_f"), F.lit(-1)).alias("f"), F.sort_array(F.collect_list(row)).alias("rows"))
     quota = F.array(*(F.lit(_quota(limit, b)) for b in range(BANDS)))
-
-    def take(free: Column, turn: Column, chosen: Column) -> Column:
-        def open_to(r: Column) -> Column:
-            below_share = _uses(chosen, "band", r["band"]) < F.get(quota, r["band"])
-            return (~turn["priority"] | r["priority"]) & (~turn["share"] | below_share) & (~turn["cap"] | (_uses(chosen, "family", r["family"]) < cap))
-
-        return F.when(F.size(chosen) < limit, F.get(F.filter(free, open_to), F.lit(0)))
-
-    marks = {"band": F.col("price_band"), "family": F.col("_family"), "priority": F.coalesce("price_priority_passed", F.lit(False))}
-    return _fold(kept, order, marks, turns, take, by_turn=False).drop("_family")
+    passes = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("priority", "share", "cap"), rule, strict=True))) for rule in PASSES))
+    # Within a pass, a row that isn't open stays so: counters only rise. One look at each row is enough.
+    looks = F.flatten(F.transform(passes, lambda p: F.transform("rows", lambda r: F.struct(p.alias("rule"), r.alias("row")))))
+    start = F.struct(_zeros(F.lit(BANDS)).alias("bands"), _zeros(F.col("f") + 1).alias("families"), _zeros(F.size("rows")).alias("taken"), F.array().cast("array<int>").alias("chosen"))
+
+    def step(s: Column, look: Column) -> Column:
+        rule, r = look["rule"], look["row"]
+        open_ = (F.size(s["chosen"]) < limit) & (F.get(s["taken"], r["i"]) == 0) & (~rule["priority"] | r["priority"])
+        open_ &= (~rule["share"] | (F.get(s["bands"], r["band"]) < F.get(quota, r["band"]))) & (~rule["cap"] | (F.get(s["families"], r["family"]) < cap))
+        took = F.struct(_bump(s["bands"], r["band"]).alias("bands"), _bump(s["families"], r["family"]).alias("families"), _bump(s["taken"], r["i"]).alias("taken"), F.array_append(s["chosen"], r["i"]).alias("chosen"))
+        return F.when(open_, took).otherwise(s)
+
+    chosen = one.select(F.explode(F.aggregate(looks, start, step, lambda s: s["chosen"])).alias("_i"))
+    return _ranked(numbered, chosen, "_i").drop("_family", "_f")
 
 
 def selection_summary(leads: DataFrame, selected: DataFrame, limit: int) -> DataFrame:

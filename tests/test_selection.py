@@ -50,3 +50,92 @@ def test_seats_and_limits(spark, leads):
     for limit in (0, 501):
         with pytest.raises(ValueError):
             sel.evidence_balanced_select(leads, limit)
+
+
+def _first(rows, chosen, allowed):
+    """The least row, in order, that isn't chosen and is allowed given those that are."""
+    return next((i for i, r in enumerate(rows) if i not in chosen and allowed(r, [rows[c] for c in chosen])), None)
+
+
+def _by_turns(rows, limit, groups, family_cap, fall_back, offer):
+    """Every turn searches all rows: groups of (filter, seats), a round of bands for each seat."""
+    chosen = []
+    for mine, seats in groups:
+        taken = 0
+        for turn in range(4 * seats):
+            def open_(r, before, band=turn % 4, mine=mine):
+                return mine(r) and r["price_band"] == band and offer(r) not in {offer(b) for b in before}
+
+            def fresh(r, before, open_=open_):
+                return open_(r, before) and sum((b["make"], b["model"]) == (r["make"], r["model"]) for b in before) < family_cap
+
+            if taken < seats and len(chosen) < limit:
+                pick = _first(rows, chosen, fresh)
+                pick = _first(rows, chosen, open_) if pick is None and fall_back else pick
+                if pick is not None:
+                    chosen.append(pick)
+                    taken += 1
+    return [rows[c]["source_id"] for c in chosen]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    rng = random.Random(11)
+    rows = [
+        ("s", f"{i:04d}", rng.choice(["a", "b", "C", "c", None]) if i % 3 else f"m{rng.randrange(30)}", rng.choice("xyz"), 2000 + rng.randrange(2), rng.randrange(4), rng.randrange(4), rng.choice([None, "v"]), "c", rng.choice([0, 0, 0, 0, 1, 2, 3]), rng.randrange(3), float(rng.randrange(9)), float(rng.randrange(9)), rng.random() < 0.03, rng.choice(["clean", "clean", "minimal", "non_severe"]))
+        for i in range(600)
+    ]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def _ordered(df, *columns):
+    rows = [r.asDict() for r in df.collect()]
+    return sorted(rows, key=lambda r: (*(-float(r[c]) for c in columns), -r["comparable_count"], r["source"], r["source_id"]))
+
+
+def _ids(df):
+    return [r["source_id"] for r in df.orderBy("selection_rank").collect()]
+
+
+@pytest.mark.parametrize("limit", [3, 40, 300])
+def test_turns_against_a_search_for_each(many, limit):
+    rows = _ordered(many, "score")
+    assert _ids(sel.round_robin_bands(many, "score", limit)) == _by_turns(rows, limit, [(lambda r: True, limit)], 2, False, lambda r: r["source_id"])
+
+
+@pytest.mark.parametrize("limit", [3, 40, 300])
+def test_damage_mix_against_a_search_for_each(spark, many, limit):
+    seats = [(lambda r, c=s["category"]: r["damage_category"] == c, s["seats"]) for s in sel.mix_targets(spark, limit).orderBy("place").collect()]
+    expected = _by_turns(_ordered(many, "priority_score"), limit, seats, 2, True, lambda r: tuple(r[c] for c in sel.TARGET_IDENTITY))
+    assert _ids(sel.damage_mix_selection(many, limit)) == expected
+
+
+@pytest.mark.parametrize("limit", [3, 40, 300])
+def test_balanced_against_a_search_for_each(many, limit):
+    rows = _ordered(many, "price_priority_passed", "score")
+    family = lambda r: tuple((r[c] or "").lower() for c in ("make", "model"))
+    chosen, cap = [], max(1, -(-limit // 10))
+    for priority, share, capped in ((1, 0, 0), (0, 1, 1), (0, 1, 0), (0, 0, 1), (0, 0, 0)):
+        def open_(r, before, priority=priority, share=share, capped=capped):
+            quota = limit // 4 + (r["price_band"] < limit % 4)
+            return (
+                (not priority or r["price_priority_passed"])
+                and (not share or sum(b["price_band"] == r["price_band"] for b in before) < quota)
+                and (not capped or sum(family(b) == family(r) for b in before) < cap)
+            )
+
+        while len(chosen) < limit and (pick := _first(rows, chosen, open_)) is not None:
+            chosen.append(pick)
+    assert _ids(sel.evidence_balanced_select(many, limit)) == [rows[c]["source_id"] for c in sorted(chosen)]
+
+
+def test_nothing_to_choose_from(many):
+    for chosen in (sel.round_robin_bands(many.limit(0), "score", 5), sel.damage_mix_selection(many.limit(0), 5), sel.evidence_balanced_select(many.limit(0), 5)):
+        assert chosen.count() == 0
+
+
+
+def test_largest_limit(many):
+    """As many as the largest limit, each once."""
+    chosen = sel.evidence_balanced_select(many, 500)
+    assert chosen.select("source_id").distinct().count() == 500 and [r["selection_rank"] for r in chosen.orderBy("selection_rank").collect()] == list(range(1, 501))
