@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import economics, evaluation, parts, peers, quality, stats
+from ..operators import economics, evaluation, nearby, parts, peers, quality, stats
 from . import base as b
 from .base import query
 from .joins import NOT_SELF, POOL, _NARROW, b_pool, near_sql
@@ -40,9 +40,7 @@ def benchmark_ctes(name: str, on: str, dispersion: str, targets: str = "fresh",
   benchmark_ctes("bm", f"t.make = p.make and t.seller_type = p.seller_type and {near_sql(1, 20000)} and p.price_kind = 'total'", "2.0")))
 def asking_benchmark(spark, d):
     f = b.fresh(spark, d)
-    pool = f.filter(b_pool()).select(*_NARROW, "observed_at")
-    pairs = peers.strict_comparables(f, pool, keys=("make", "seller_type"))
-    out = stats.asking_benchmark(f, pairs, b.as_of(), max_dispersion=2.0, window_days=b.WINDOW_DAYS)
+    out = stats.near_benchmark(f, f.filter(b_pool()), b.as_of(), keys=("make", "seller_type"), in_pool=b_pool(), max_dispersion=2.0, window_days=b.WINDOW_DAYS)
     return out.select(
         "source", "source_id", "comparable_count", "benchmark_issue", "p25", "p50", "p75", F.floor(F.col("effective_sample_size") * 100).cast("bigint").alias("ess_centi")
     )
@@ -52,8 +50,7 @@ def asking_benchmark(spark, d):
   min(p.price_eur) - t.price_eur as potential_low_eur, max(p.price_eur) - t.price_eur as potential_high_eur from fresh t join fresh p on t.make = p.make and t.model = p.model and {near_sql(1, 20000)} and {NOT_SELF} where p.{POOL} group by t.source, t.source_id, t.price_eur"""))
 def family_envelope(spark, d):
     f = b.fresh(spark, d)
-    pairs = peers.strict_comparables(f.select(*_NARROW), f.filter(b_pool()).select(*_NARROW), keys=("make", "model"))
-    return stats.family_envelope(pairs, ["source", "source_id"]).drop("price_eur")
+    return stats.near_envelope(f, f.filter(b_pool()), keys=("make", "model"), in_pool=b_pool()).drop("price_eur")
 
 
 _OFFERS = f"""offers as (select t.source, t.source_id, t.price_eur, t.year ty, t.mileage_km tk, p.year py, p.mileage_km pk, p.price_eur pp, p.city pc from broad t join broad p on t.make = p.make and t.model = p.model and {near_sql(3, 60000)} and {NOT_SELF}
@@ -82,10 +79,11 @@ def broad_signal(spark, d):
   from fresh t join fresh p on t.make = p.make and t.model = p.model and {near_sql(1, 20000)} and {NOT_SELF} where p.{POOL} and t.price_eur > 0 group by 1, 2, 3, 4, 5)"""))
 def conservative_screen(spark, d):
     f = b.fresh(spark, d)
-    pairs = peers.strict_comparables(f.filter("price_eur > 0").select(*_NARROW), f.filter(b_pool()).select(*_NARROW), keys=("make", "model"))
-    g = pairs.groupBy("source", "source_id", "price_eur", "fuel", "transmission").agg(
-        F.min("p_price_eur").alias("low"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_fuel").isNull()).alias("nf"), F.count_if(F.col("p_transmission").isNull()).alias("ng")
+    near = nearby.near_statistics(
+        f.filter("price_eur > 0"), f.filter(b_pool()), keys=("make", "model"), own=F.when(b_pool(), 1), needs=lambda total: {"low": F.lit(1)},
+        flags={"nf": F.col("fuel").isNull(), "ng": F.col("transmission").isNull()},
     )
+    g = f.select("source", "source_id", "price_eur", "fuel", "transmission").join(near.withColumnRenamed("comparable_count", "n"), ["source", "source_id"])
     cols = stats.conservative_screen(
         F.col("price_eur"), F.col("low"), F.col("n"), fuel_known=F.col("fuel").isNotNull() & (F.col("nf") == 0),
         gearbox_known=F.col("transmission").isNotNull() & (F.col("ng") == 0), conflicts=F.lit(False), clean=F.lit(True),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity as ident, text as tx
-from ..operators import dedup, peers
+from ..operators import dedup, nearby, peers
 from . import base as b
 from .base import query
 
@@ -30,15 +30,19 @@ def _summary(pairs, *keys):
     )
 
 
+def _near_summary(targets, pool, in_pool, keys, tolerant=()):
+    out = nearby.near_statistics(targets, pool, keys=keys, tolerant=tolerant, own=F.when(in_pool, 1), needs=lambda total: {"low_eur": F.lit(1)})
+    return out.select("source", "source_id", F.col("comparable_count").alias("peer_count"), "low_eur", F.col("total_price").alias("sum_eur"))
+
+
 _NARROW = ("source", "source_id", "make", "model", "transmission", "seller_type", "generation", "province", "fuel", "year", "mileage_km", "price_eur")
 
 
 @query("comparables_strict", b.with_asks(f"""select t.source, t.source_id, {SUMMARY} from fresh t join fresh p on t.source = p.source and t.make = p.make and t.model = p.model
   and t.transmission = p.transmission and t.seller_type = p.seller_type and {near_sql(1, 20000)} and {NOT_SELF} where p.{POOL} group by 1, 2"""))
 def comparables_strict(spark, d):
-    f = b.fresh(spark, d).select(*_NARROW, "price_kind")
-    pairs = peers.strict_comparables(f, f.filter(b_pool()), keys=("source", "make", "model", "transmission", "seller_type"))
-    return _summary(pairs)
+    f = b.fresh(spark, d)
+    return _near_summary(f, f.filter(b_pool()), b_pool(), ("source", "make", "model", "transmission", "seller_type"))
 
 
 def b_pool():
@@ -56,8 +60,8 @@ def comparable_pairs(spark, d):
   and {near_sql(1, 20000)} and {NOT_SELF} and {tolerant_sql('fuel')} where p.{POOL} and p.condition = 'undamaged' group by 1, 2"""))
 def benchmark_pool(spark, d):
     f = b.fresh(spark, d)
-    pool = f.filter(b_pool() & (F.col("condition") == "undamaged")).select(*_NARROW)
-    return _summary(peers.benchmark_pairs(f.select(*_NARROW), pool, match=("make", "province", "seller_type"), tolerant=("fuel",)))
+    serves = b_pool() & (F.col("condition") == "undamaged")
+    return _near_summary(f, f.filter(serves), serves, ("make", "province", "seller_type"), ("fuel",))
 
 
 _BROAD = """broad as (select make, model, 'clean' as damage_group, year, mileage_km, price_eur, city, fuel, transmission, generation, body_type, displacement_cc, power_hp, source, source_id from fresh where price_kind = 'total')"""

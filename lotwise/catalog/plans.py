@@ -49,9 +49,6 @@ def mileage_band_anchors(spark, d):
     return t.join(n, ["make", "band"]).select("make", "band", "anchor_km", "n")
 
 
-_PLAIN = [c for c in ("source", "source_id", "observed_at", "price_eur", "year", "mileage_km", "province", "make", "seller_type", "condition")]
-
-
 @query("mileage_band_benchmarks", b.with_asks("select source, source_id, band, comparable_count, benchmark_issue from bm", """banded as (select *, case when mileage_km < 60000 then 'low' when mileage_km < 150000 then 'medium' else 'high' end as band from fresh)""",
  "anc as (select make, band, list_sort(list(mileage_km))[count(*) // 2 + 1] as a from banded group by 1, 2)",
  "anch as (select f.* replace (coalesce(a, f.mileage_km) as mileage_km, concat(f.source, '/', z.band) as source), z.band, f.source as osource from fresh f cross join (values ('low'), ('medium'), ('high')) z(band) left join anc on anc.make = f.make and anc.band = z.band)",
@@ -59,11 +56,7 @@ _PLAIN = [c for c in ("source", "source_id", "observed_at", "price_eur", "year",
  "bm as (select osource as source, source_id, band, comparable_count, benchmark_issue from bx)"))
 def mileage_band_benchmarks(spark, d):
     f = b.fresh(spark, d)
-    pool = f.filter("price_kind = 'total' and condition = 'undamaged'").select(*_PLAIN)
-    anchored = market.mileage_band_targets(f, f, ["make"]).withColumn("mileage_km", F.col("anchor_km"))
-    band = F.when(F.col("mileage_km") < 60_000, "low").when(F.col("mileage_km") < 150_000, "medium").otherwise("high")
-    pairs = peers.strict_comparables(anchored, pool.withColumn("band", band), keys=("make", "seller_type", "band"))
-    out = stats.asking_benchmark(anchored, pairs, b.as_of(), group=("source", "source_id", "band"), max_dispersion=2.0, window_days=b.WINDOW_DAYS)
+    out = market.mileage_band_benchmarks(f, f, b.as_of(), ["make"], ("make", "seller_type"), max_dispersion=2.0, window_days=b.WINDOW_DAYS)
     return out.select("source", "source_id", "band", "comparable_count", "benchmark_issue")
 
 
@@ -72,7 +65,7 @@ def mileage_band_benchmarks(spark, d):
     for name, cond, extra in (("healthy_province", "undamaged", "and t.province = p.province"), ("healthy_national", "undamaged", ""), ("damaged_province", "damaged", "and t.province = p.province")))))
 def market_experts(spark, d):
     f = b.fresh(spark, d)
-    pool = f.filter("price_kind = 'total'").select(*_PLAIN)
+    pool = f.filter("price_kind = 'total'")
     out = market.market_experts(f, pool, b.as_of(), COHORT, max_dispersion=2.0, window_days=b.WINDOW_DAYS)
     return out.select("source", "source_id", "view", "comparable_count", "envelope_low_eur", "envelope_high_eur")
 

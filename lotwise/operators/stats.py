@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import age_days, peer_weight_nano, required_margin, stressed_exit
 from ..functions.text import labels
+from .nearby import envelope_needs, median_needs, near_statistics, share_needs
 
 
 def price_ladder(pairs: DataFrame, group: Sequence[str], price: str, weight: Column) -> DataFrame:
@@ -72,6 +73,33 @@ def asking_benchmark(
     if minimum < 8:
         raise ValueError("a benchmark needs at least 8 peers")
     stats = weighted_quantiles(pairs, group, "p_price_eur", benchmark_weight(as_of))
+    return with_benchmark_status(targets.join(stats, list(group), "left"), as_of, minimum=minimum, max_dispersion=max_dispersion, window_days=window_days)
+
+
+def near_benchmark(
+    targets: DataFrame, pool: DataFrame, as_of: Column, *, keys: Sequence[str], in_pool: Column, group: Sequence[str] = ("source", "source_id"),
+    own: Column | None = None, minimum: int = 8, max_dispersion: float = 0.3, window_days: int = 30, years: int = 1, km: int = 20_000,
+) -> DataFrame:
+    """``asking_benchmark`` over the peers within the band, with their low and high price, without a row for each pair.
+
+    ``in_pool`` tells which targets are themselves in the pool, at their own place; ``own`` is the
+    weight they have there if the target stands elsewhere.
+    """
+    if minimum < 8:
+        raise ValueError("a benchmark needs at least 8 peers")
+    here = peer_weight_nano(F.lit(0), F.lit(0), age_days(as_of, "observed_at")) if own is None else own
+    quartiles = share_needs((0.25, 0.5, 0.75))
+    stats = near_statistics(
+        targets, pool, keys=keys, own=F.when(in_pool, here), needs=lambda total: {**quartiles(total), **envelope_needs(total)}, group=group, years=years, km=km, weight=benchmark_weight(as_of), carry=("observed_at",),
+    )
+    total = F.col("sum_weight").cast("double")
+    stats = stats.withColumn("effective_sample_size", total * total / F.col("sum_square").cast("double")).drop("sum_weight", "sum_square", "total_price")
+    stats = stats.withColumnsRenamed({"low_eur": "envelope_low_eur", "high_eur": "envelope_high_eur"})
+    return with_benchmark_status(targets.join(stats, list(group), "left"), as_of, minimum=minimum, max_dispersion=max_dispersion, window_days=window_days)
+
+
+def with_benchmark_status(joined: DataFrame, as_of: Column, *, minimum: int, max_dispersion: float, window_days: int) -> DataFrame:
+    """Targets with comparable_count, quartiles and effective_sample_size; states whether they make a benchmark."""
     start = as_of - F.expr(f"interval {int(window_days)} days")
     outside = ~F.col("active") | (F.col("observed_at") < start) | (F.col("observed_at") > as_of)
     count = F.coalesce(F.col("comparable_count"), F.lit(0))
@@ -82,8 +110,7 @@ def asking_benchmark(
         F.when(F.col("effective_sample_size") < minimum * 0.75, F.lit("insufficient_effective_sample")),
         F.when(spread > max_dispersion, F.lit("too_dispersed")),
     )
-    joined = targets.join(stats, list(group), "left").withColumn("comparable_count", count.cast("bigint"))
-    out = joined.withColumn("benchmark_issue", reason).withColumn(
+    out = joined.withColumn("comparable_count", count.cast("bigint")).withColumn("benchmark_issue", reason).withColumn(
         "benchmark_status", F.when(reason.isNull(), "benchmark_available").otherwise("insufficient_data")
     )
     ready = F.col("benchmark_issue").isNull()
@@ -92,6 +119,16 @@ def asking_benchmark(
     return out
 
 
+def near_envelope(targets: DataFrame, pool: DataFrame, *, keys: Sequence[str], in_pool: Column, group: Sequence[str] = ("source", "source_id"), years: int = 1, km: int = 20_000) -> DataFrame:
+    """``family_envelope`` of the peers within the band: exact middle prices by running counts."""
+    stats = near_statistics(targets, pool, keys=keys, own=F.when(in_pool, 1), needs=median_needs, group=group, years=years, km=km)
+    middle = F.bround((F.col("middle_low") + F.col("middle_high")) / 2, 0).cast("bigint")
+    out = targets.select(*group, "price_eur").join(stats, list(group)).select(
+        *group, "price_eur", F.col("comparable_count").alias("observation_count"), "low_eur", middle.alias("typical_eur"), "high_eur"
+    )
+    return out.withColumn("potential_low_eur", F.col("low_eur") - F.col("price_eur")).withColumn("potential_high_eur", F.col("high_eur") - F.col("price_eur"))
+
+
 def family_envelope(pairs: DataFrame, group: Sequence[str], price: str = "p_price_eur") -> DataFrame:
     """Low, typical and high matching amounts of each target, and the room above its price."""
     return pairs.groupBy(*group, "price_eur").agg(

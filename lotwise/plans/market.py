@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import age_days, peer_weight_nano
 from ..functions.text import staged
-from ..operators import peers, stats, temporal
+from ..operators import stats, temporal
 from ..operators.predicates import listing_issue
 from ..schema import COHORT
 from ..session import cut_lineage
@@ -27,18 +28,25 @@ def usable_latest(events: DataFrame, as_of: Column, window_days: int = 30, ties:
 def asking_benchmarks(
     targets: DataFrame, pool: DataFrame, as_of: Column, *, cohort: Sequence[str] = COHORT, window_days: int = 30, max_dispersion: float = 0.3,
 ) -> DataFrame:
-    """Provincial benchmark; targets it cannot serve get a national one of the same source."""
+    """Provincial benchmark; targets it cannot serve get a national one of the same source.
+
+    ``pool`` holds those of the targets that are undamaged with a total price.
+    """
     keys = ("source", *cohort)
-    local_pairs = peers.strict_comparables(targets, pool, keys=(*keys, "province"))
-    options = dict(window_days=window_days, max_dispersion=max_dispersion)
+    options = dict(in_pool=_healthy(), window_days=window_days, max_dispersion=max_dispersion)
     # Used twice, for the served and for the rest: computed once into the shared folder.
-    local = cut_lineage(stats.asking_benchmark(targets, local_pairs, as_of, **options), "benchmark")
+    local = cut_lineage(stats.near_benchmark(targets, pool, as_of, keys=(*keys, "province"), **options), "benchmark")
     served = local.filter("benchmark_status = 'benchmark_available'").withColumn("scope", F.lit("province"))
     rest = targets.join(served.select("source", "source_id"), ["source", "source_id"], "left_anti")
-    national = stats.asking_benchmark(rest, peers.strict_comparables(rest, pool, keys=keys), as_of, **options)
+    national = stats.near_benchmark(rest, pool, as_of, keys=keys, **options)
     return served.unionByName(national.withColumn("scope", F.lit("national")))
 
 
+def _healthy() -> Column:
+    """Listings that serve as peers of a benchmark."""
+    return (F.col("price_kind") == "total") & (F.col("condition") == "undamaged")
+
+
 def screening_decision(benchmarks: DataFrame, min_price: int = 1000, max_price: int = 50_000) -> DataFrame:
     """Select targets at least 10 % below the lower quartile, route the rest."""
     ready = F.col("benchmark_status") == "benchmark_available"
@@ -62,7 +70,7 @@ def market_screen(
     """Latest versions, strict peers, weighted quartiles and the screening decision."""
     # Every later step starts from these rows; writing them once saves repeated scans of the events.
     targets = cut_lineage(usable_latest(events, as_of, window_days, ties, validate), "latest")
-    pool = targets.filter((F.col("price_kind") == "total") & (F.col("condition") == "undamaged")).select(
+    pool = targets.filter(_healthy()).select(
         *dict.fromkeys(("source", "source_id", "observed_at", "price_eur", "year", "mileage_km", "province", *cohort))
     )
     return screening_decision(asking_benchmarks(targets, pool, as_of, cohort=cohort, window_days=window_days, max_dispersion=max_dispersion))
@@ -77,10 +85,7 @@ def mileage_band_targets(targets: DataFrame, pool: DataFrame, variant: Sequence[
     The anchor comes from one aggregation per variant and band; bands without a peer keep the
     target's own mileage.
     """
-    band = F.lit(None).cast("string")
-    for name, low, high in MILEAGE_BANDS:
-        band = F.when((F.col("mileage_km") >= low) & (F.col("mileage_km") < high), name).otherwise(band)
-    counted = pool.withColumn("band", band).groupBy(*variant, "band", "mileage_km").agg(F.count(F.lit(1)).alias("_n"))
+    counted = pool.withColumn("band", _band(F.col("mileage_km"))).groupBy(*variant, "band", "mileage_km").agg(F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window
 
     w = Window.partitionBy(*variant, "band").orderBy("mileage_km")
@@ -90,24 +95,38 @@ def mileage_band_targets(targets: DataFrame, pool: DataFrame, variant: Sequence[
     return bands.join(anchors, [*variant, "band"], "left").withColumn("anchor_km", F.coalesce("anchor_km", "mileage_km"))
 
 
-def mileage_band_benchmarks(targets: DataFrame, pool: DataFrame, as_of: Column, variant: Sequence[str], match: Sequence[str], **options) -> DataFrame:
-    """Benchmark of every target at the anchor of each mileage band, within that band's cars."""
+def _band(km: Column) -> Column:
     band = F.lit(None).cast("string")
     for name, low, high in MILEAGE_BANDS:
-        band = F.when((F.col("mileage_km") >= low) & (F.col("mileage_km") < high), name).otherwise(band)
-    anchored = mileage_band_targets(targets, pool, variant).withColumn("mileage_km", F.col("anchor_km"))
-    pairs = peers.strict_comparables(anchored, pool.withColumn("band", band), keys=(*match, "band"))
-    return stats.asking_benchmark(anchored, pairs, as_of, group=("source", "source_id", "band"), **options)
+        band = F.when((km >= low) & (km < high), name).otherwise(band)
+    return band
+
+
+def mileage_band_benchmarks(targets: DataFrame, rows: DataFrame, as_of: Column, variant: Sequence[str], match: Sequence[str], **options) -> DataFrame:
+    """Benchmark of every target at the anchor of each mileage band, within that band's cars.
+
+    Anchors come from all ``rows``, peers are the undamaged ones with a total price, of which the target
+    may be one: near the anchor, in its own band, with the weight of its own distance.
+    """
+    anchored = mileage_band_targets(targets, rows, variant).withColumn("_own_km", F.col("mileage_km")).withColumn("mileage_km", F.col("anchor_km"))
+    away = F.abs(F.col("_own_km") - F.col("anchor_km"))
+    there = _healthy() & (_band(F.col("_own_km")) == F.col("band")) & (away <= 20_000)
+    pool = rows.filter(_healthy()).withColumn("band", _band(F.col("mileage_km")))
+    own = peer_weight_nano(F.lit(0), away, age_days(as_of, "observed_at"))
+    out = stats.near_benchmark(anchored, pool, as_of, keys=(*match, "band"), in_pool=there, own=own, group=("source", "source_id", "band"), **options)
+    return out.drop("_own_km")
 
 
 def market_experts(targets: DataFrame, pool: DataFrame, as_of: Column, variant: Sequence[str], **options) -> DataFrame:
-    """Provincial, national and damaged benchmarks side by side, one row per target and view."""
+    """Provincial, national and damaged benchmarks side by side, one row per target and view.
+
+    ``pool`` holds those of the targets that have a total price.
+    """
     views = [("healthy_province", "undamaged", True), ("healthy_national", "undamaged", False), ("damaged_province", "damaged", True)]
     out = None
     for name, condition, local in views:
         keys = (*variant, "province") if local else tuple(variant)
-        pairs = peers.strict_comparables(targets, pool.filter(F.col("condition") == condition), keys=keys)
-        envelope = pairs.groupBy("source", "source_id").agg(F.min("p_price_eur").alias("envelope_low_eur"), F.max("p_price_eur").alias("envelope_high_eur"))
-        one = stats.asking_benchmark(targets, pairs, as_of, **options).join(envelope, ["source", "source_id"], "left").withColumn("view", F.lit(name))
+        serves = F.col("condition") == condition
+        one = stats.near_benchmark(targets, pool.filter(serves), as_of, keys=keys, in_pool=serves & (F.col("price_kind") == "total"), **options).withColumn("view", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
