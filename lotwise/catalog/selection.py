@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import price_band
-from ..operators import dedup, selection
+from ..operators import dedup, ordered, selection
 from . import base as b
 from .base import query
 
@@ -25,11 +25,9 @@ _LEADS = """leads as (select *, least(3, price_eur // 5000) as price_band, cents
 
 @query("multi_key_sort", b.with_asks("select source, source_id, row_number() over (order by fuel is not null desc, price_eur desc, mileage_km, source, source_id) as position from fresh"))
 def multi_key_sort(spark, d):
-    from pyspark.sql import Window
-
-    f = b.fresh(spark, d).orderBy(F.col("fuel").isNotNull().desc(), F.col("price_eur").desc(), "mileage_km", "source", "source_id")
-    w = Window.orderBy(F.col("fuel").isNotNull().desc(), F.col("price_eur").desc(), "mileage_km", "source", "source_id")
-    return f.select("source", "source_id", F.row_number().over(w).cast("bigint").alias("position"))
+    f = b.fresh(spark, d).select("source", "source_id", F.col("fuel").isNotNull().alias("has_fuel"), "price_eur", "mileage_km")
+    order = [F.col("has_fuel").desc(), F.col("price_eur").desc(), F.col("mileage_km"), F.col("source"), F.col("source_id")]
+    return ordered.ranked(f, [], order, "position").select("source", "source_id", "position")
 
 
 @query("offset_limit_page", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 100 offset 300")

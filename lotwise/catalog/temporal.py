@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, quality, temporal
+from ..operators import dedup, ordered, quality, temporal
 from . import base as b
 from .base import query
 
@@ -128,15 +128,11 @@ def holdout_split(spark, d):
 @query("ranked_within_band", b.with_asks("""select price_band, source, source_id, rn as band_rank from (select *, row_number() over (partition by price_band order by price_eur desc, source, source_id) rn
   from (select *, least(3, price_eur // 5000) as price_band from fresh))"""))
 def ranked_within_band(spark, d):
-    from pyspark.sql import Window
-
     from ..functions.money import price_band
 
     f = b.fresh(spark, d).withColumn("price_band", price_band("price_eur").cast("bigint"))
-    w = Window.partitionBy("price_band").orderBy(F.col("price_eur").desc(), "source", "source_id")
-    return f.withColumn("band_rank", F.row_number().over(w)).select(
-        "price_band", "source", "source_id", F.col("band_rank").cast("bigint").alias("band_rank")
-    )
+    out = ordered.ranked(f.select("price_band", "price_eur", "source", "source_id"), ["price_band"], [F.col("price_eur").desc(), F.col("source"), F.col("source_id")], "band_rank")
+    return out.select("price_band", "source", "source_id", "band_rank")
 
 
 @query("first_per_identity", b.with_asks("""select year, mileage_km, price_eur, city, version_text, source, source_id from (

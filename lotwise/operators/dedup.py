@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
 from .temporal import pick_first
 
 # What makes two adverts the same offer, per use.
@@ -57,20 +58,11 @@ def content_assets(references: DataFrame, content: str, saved_at: str) -> DataFr
 def within_storage_cap(assets: DataFrame, cap_bytes: int) -> DataFrame:
     """Assets saved before the running total of bytes reached the cap, oldest first.
 
-    The running total is a prefix sum in two levels: totals per hour first, then inside each
-    hour, so no task orders all assets.
+    The running total is a prefix sum over ranges of (time, digest), so no task orders all assets of
+    a time, however many were saved at once.
     """
-    hourly = assets.withColumn("_hour", F.date_trunc("hour", "first_saved"))
-    totals = hourly.groupBy("_hour").agg(F.sum("byte_count").alias("_bytes"))
-    ahead = Window.partitionBy(F.lit(1)).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    start = totals.select("_hour", F.coalesce(F.sum("_bytes").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_hour").orderBy("first_saved", "sha").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        hourly.join(start, "_hour")
-        .withColumn("running_bytes", F.col("_before") + F.sum("byte_count").over(inside))
-        .withColumn("stored", F.col("running_bytes") <= cap_bytes)
-        .drop("_hour", "_before")
-    )
+    total = running(assets, [], [F.col("first_saved"), F.col("sha")], "byte_count", "running_bytes")
+    return total.withColumn("stored", F.col("running_bytes") <= cap_bytes)
 
 
 def newest_offer(offers: DataFrame, keys: Sequence[str], observed: str, cost: str, ties: Sequence[str] = ()) -> DataFrame:

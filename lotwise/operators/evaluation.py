@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_failure
 from ..functions.urls import public_https
+from .ordered import middle, order_statistics
 from .temporal import pick_first
 
 CENTS_LIMIT = 1_000_000_000
@@ -45,30 +46,44 @@ def judge_predictions(rows: DataFrame, training: DataFrame, model_version: str,
 
 
 def error_metrics(accepted: DataFrame, segment: str = "segment", minimum: int = 30) -> DataFrame:
-    """Error, bias, coverage and overpricing overall (segment NULL) and per segment, in one pass."""
+    """Error, bias, coverage and overpricing overall (segment NULL) and per segment.
+
+    Means are one pass; medians and ninetieths come from counts per value, dealt by ranges, so that no
+    task holds all errors.
+    """
     d = accepted.select(
         F.col(segment).alias("segment"),
         (F.col("predicted_cents") - F.col("sold_cents")).alias("e"),
         (F.abs(F.col("predicted_cents") - F.col("sold_cents")) / F.col("sold_cents") * 100).alias("pct"),
         F.col("sold_cents").between(F.col("interval_low_cents"), F.col("interval_high_cents")).cast("int").alias("covered"),
     ).withColumn("a", F.abs("e")).withColumn("over", F.greatest(F.lit(0), F.col("e")))
-    rank90 = lambda c: F.expr(f"percentile_disc(0.9) within group (order by {c})")
-    return (
+    # Every row counts for the whole and for its segment, once for each of the three measures.
+    scopes = F.array(F.struct(F.lit(1).alias("_all"), F.lit(None).cast("string").alias("_seg")), F.struct(F.lit(0).alias("_all"), F.col("segment").cast("string").alias("_seg")))
+    measures = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in ("a", "pct", "over")))
+    long = d.withColumn("s", F.explode(scopes)).withColumn("m", F.explode(measures)).select("s._all", "s._seg", "m.measure", "m.value")
+    picked = order_statistics(long, ["_all", "_seg", "measure"], "value", {**middle(F.col("n")), "ninetieth": F.ceil(F.col("n") * 9 / 10)})
+    of = lambda measure, c: F.max(F.when(F.col("measure") == measure, c))
+    ranks = picked.groupBy("_all", "_seg").agg(
+        F.bround(of("pct", (F.col("middle_low") + F.col("middle_high")) / 2), 3).alias("median_ape"),
+        of("a", F.col("ninetieth")).cast("bigint").alias("p90_abs_error_cents"), of("over", F.col("ninetieth")).cast("bigint").alias("p90_overpricing_cents"),
+    ).withColumnRenamed("_all", "_whole")
+    means = (
         d.groupingSets([[], [F.col("segment")]], F.col("segment"))
         .agg(
             F.grouping("segment").cast("int").alias("_all"),
             F.count(F.lit(1)).alias("n"),
             F.bround(F.avg("a"), 0).cast("bigint").alias("mae_cents"),
-            F.bround(F.median("pct"), 3).alias("median_ape"),
-            rank90("a").cast("bigint").alias("p90_abs_error_cents"),
             F.bround(F.avg("e"), 0).cast("bigint").alias("bias_cents"),
             F.bround(F.avg("covered"), 4).alias("interval_coverage"),
             F.bround(F.avg((F.col("e") > 0).cast("int")), 4).alias("overpricing_fraction"),
-            rank90("over").cast("bigint").alias("p90_overpricing_cents"),
         )
+    )
+    joined = means.join(ranks, (F.col("_all") == F.col("_whole")) & F.col("segment").cast("string").eqNullSafe(F.col("_seg")), "left")
+    return (
+        joined
         .withColumn("scope", F.when(F.col("_all") == 1, "overall").otherwise("segment"))
         .withColumn("sufficient_sample", F.col("n") >= minimum)
-        .drop("_all")
+        .drop("_all", "_whole", "_seg")
     )
 
 

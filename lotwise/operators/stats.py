@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.money import age_days, peer_weight_nano, required_margin, stressed_exit
 from ..functions.text import labels
+from ..session import cut_lineage
 from .nearby import envelope_needs, median_needs, near_statistics, share_needs
+from .ordered import middle, order_statistics
 
 
 def price_ladder(pairs: DataFrame, group: Sequence[str], price: str, weight: Column) -> DataFrame:
@@ -317,9 +319,13 @@ def price_context(pairs: DataFrame, near: Column, *, group: Sequence[str] = ("so
 
 def learning_summary(contexts: DataFrame) -> DataFrame:
     """How many price contexts were adjusted and validated, and their median holdout error."""
-    return contexts.agg(
+    # Read for the counts and for the ranks.
+    one = cut_lineage(contexts.select("method", F.col("validation_error_eur").alias("error")), "contexts")
+    counts = one.agg(
         F.count(F.lit(1)).alias("evaluated_targets"),
         F.count(F.when(F.col("method") == "archive_trained_year_mileage", 1)).alias("adjusted_contexts"),
-        F.count("validation_error_eur").alias("validated_contexts"),
-        F.bround(F.median("validation_error_eur"), 0).cast("bigint").alias("median_holdout_error_eur"),
+        F.count("error").alias("validated_contexts"),
     )
+    ranks = order_statistics(one, [], "error", middle(F.col("n")))
+    median = ranks.select(F.bround((F.col("middle_low") + F.col("middle_high")) / 2, 0).cast("bigint").alias("median_holdout_error_eur"))
+    return counts.join(F.broadcast(median), F.lit(True), "left")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 KEY = ("source", "source_id")
 
 
@@ -126,15 +128,13 @@ def run_status(pages: DataFrame) -> DataFrame:
 def holdout_split(cohort: DataFrame, group: Sequence[str], every: int = 5) -> DataFrame:
     """Mark every fifth row in hash order of the listing key as validation."""
     key = F.sha2(F.concat(F.lit("('"), F.col("source"), F.lit("', '"), F.col("source_id"), F.lit("')")), 256)
-    w = Window.partitionBy(*group).orderBy(key)
-    return cohort.withColumn("held_out", ((F.row_number().over(w) - 1) % every) == 0)
+    placed = ranked(cohort.withColumn("_key", key), list(group), [F.col("_key"), F.col("source"), F.col("source_id")], "_place")
+    return placed.withColumn("held_out", (F.col("_place") - 1) % every == 0).drop("_key", "_place")
 
 
 def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: int = 50) -> DataFrame:
     """Rows at evenly spaced ranks plus both ends; groups within ``size`` stay whole."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_i", F.row_number().over(w) - 1).join(counts, list(group))
+    placed = ranked(df, list(group), order, "_i", "_n").withColumn("_i", F.col("_i") - 1)
     last = F.lit(size - 1)
     # Rank i is kept when some step s gives round_half_even(s * (n - 1) / (size - 1)) = i.
     near = F.floor(F.try_divide(F.col("_i") * last, F.col("_n") - 1))
@@ -142,4 +142,4 @@ def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     hit = F.lit(False)
     for s in steps:
         hit = hit | ((s >= 0) & (s <= size - 1) & (F.bround(s * (F.col("_n") - 1) / last) == F.col("_i")))
-    return ranked.filter((F.col("_n") <= size) | hit).withColumn("sample_rank", F.col("_i")).drop("_i", "_n")
+    return placed.filter((F.col("_n") <= size) | hit).withColumn("sample_rank", F.col("_i")).drop("_i", "_n")
