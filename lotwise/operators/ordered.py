@@ -61,7 +61,8 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, needs: Map
     """One row a group with its number of values ``n`` and the values at stated ranks.
 
     ``needs`` maps names to ranks, from 1, as expressions of ``n``. Values are counted first, so however
-    many rows share one, it is a single row; null values don't count. Groups without a value have no row.
+    many rows share one, it is a single row; null values don't count. Groups without a value have no row; the
+    whole table, where it has none, a row of nulls.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_count"))
     run = running(counted, group, [F.col(value)], "_count", "_upto", "n")

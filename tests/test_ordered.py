@@ -52,7 +52,8 @@ def test_order_statistics(rows, group):
 def test_empty_and_single(rows):
     none = rows.limit(0)
     assert ordered.ranked(none, ["g"], [F.col("id")], "place").count() == 0
-    assert ordered.order_statistics(none, [], "v", ordered.middle(F.col("n"))).count() == 0
+    assert ordered.order_statistics(none, ["g"], "v", ordered.middle(F.col("n"))).count() == 0
+    assert [tuple(r) for r in ordered.order_statistics(none, [], "v", ordered.middle(F.col("n"))).collect()] == [(None, None, None)]
     one = ordered.ranked(rows.where("id = 7"), [], [F.col("id")], "place", "n").collect()
     assert [(r["place"], r["n"]) for r in one] == [(1, 1)]
 
