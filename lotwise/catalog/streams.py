@@ -86,18 +86,20 @@ def resume_state(spark, d):
     return ingest.resume_state(_pages(spark, d)).select("source", "run_id", "next_cursor", "action")
 
 
-@query("quarantine_replay", """select event_type as source, count(*) filter (event_id % 2 = 0) as appended from events group by 1""")
+@query("quarantine_replay", """with e as (select event_type as source, user_id, ts, event_id % 29 = 0 as abroad, event_id % 13 = 0 or event_id % 31 = 0 as odd from events), good as (select distinct source, user_id, ts from e where not abroad and not odd)
+ select source, (select count(*) from (select distinct source, user_id, ts from e x where not abroad and odd and x.source = t.source and not exists (select 1 from good g where g.source = x.source and g.user_id = x.user_id and g.ts = x.ts))) as appended from (select distinct source from e) t""")
 def quarantine_replay(spark, d):
-    e = b.table(spark, d, "events")
-    rejected = e.select(F.col("event_type").alias("source"), F.concat(F.lit("u"), "event_id").alias("source_id"), F.col("ts").alias("observed_at"), F.col("event_id").alias("ordinal"), F.lit('{"price_eur":"7"}').alias("payload"))
+    """What ingestion refused, under rules that read a time without zone as UTC and a price sent as text."""
+    store = _ingested(spark, d)
+    as_of = F.lit("2030-01-01").cast("timestamp")
 
-    def newer_rules(df):
-        price = F.get_json_object("payload", "$.price_eur").cast("bigint")
-        issue = F.when(F.col("ordinal") % 2 == 1, "still invalid")
-        return df.withColumn("content", F.concat(F.lit("price="), price)).withColumn("issue", issue)
+    def newer_rules(refused):
+        zoned = F.when(F.col("r.observed_at").rlike("Z$"), F.col("r.observed_at")).otherwise(F.concat("r.observed_at", F.lit("Z")))
+        price = F.regexp_replace("r.payload", r'"price_eur":"(\d+)"', '"price_eur":$1')
+        amended = F.col("r").withField("observed_at", zoned).withField("payload", price)
+        return ingest.judge_records(ingest.read_back(refused).withColumn("r", amended), as_of)
 
-    none_stored = rejected.filter("false").withColumn("content", F.lit(""))
-    out = ingest.replay_quarantine(rejected, newer_rules, none_stored)
+    out = ingest.replay_quarantine(store.quarantine(), newer_rules, store.events())
     types = b.table(spark, d, "events").select(F.col("event_type").alias("source")).distinct()
     done = out.filter("outcome = 'new'").groupBy("source").agg(F.count(F.lit(1)).alias("appended"))
     return types.join(done, "source", "left").fillna(0, ["appended"])

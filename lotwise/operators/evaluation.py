@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_failure
 from ..functions.urls import public_https
+from ..session import cut_lineage
 from .ordered import middle, order_statistics
 from .temporal import pick_first
 
@@ -57,6 +58,7 @@ def error_metrics(accepted: DataFrame, segment: str = "segment", minimum: int =
         (F.abs(F.col("predicted_cents") - F.col("sold_cents")) / F.col("sold_cents") * 100).alias("pct"),
         F.col("sold_cents").between(F.col("interval_low_cents"), F.col("interval_high_cents")).cast("int").alias("covered"),
     ).withColumn("a", F.abs("e")).withColumn("over", F.greatest(F.lit(0), F.col("e")))
+    d = cut_lineage(d, "errors")  # read for the means and for the ranks
     # Every row counts for the whole and for its segment, once for each of the three measures.
     scopes = F.array(F.struct(F.lit(1).alias("_all"), F.lit(None).cast("string").alias("_seg")), F.struct(F.lit(0).alias("_all"), F.col("segment").cast("string").alias("_seg")))
     measures = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in ("a", "pct", "over")))
