@@ -10,6 +10,7 @@ from . import base as b
 from .aggregates import benchmark_ctes
 from .base import query
 from .joins import NOT_SELF, near_sql
+from .predicates import _RISK, _USABLE
 
 COHORT = ("make", "seller_type")
 
@@ -70,28 +71,30 @@ def market_experts(spark, d):
     return out.select("source", "source_id", "view", "comparable_count", "envelope_low_eur", "envelope_high_eur")
 
 
-def _research_rows(spark, d, ids_per_trim=200, trend=True):
-    """Fresh listings regrouped into variants of a size that does not grow with the tables."""
-    trend_price = F.col("price_eur") / 4 + 9000 + 700 * (F.col("year") - 1998) - F.col("mileage_km") / 40
+def _research_rows(spark, d):
+    """Fresh listings as they are, with their whole texts, prices and stated fields.
+
+    A variant here is brand, fuel, gearbox, seller type and generation, so that it grows with the tables;
+    headlines and engine figures, under which these tables have next to no peers, are those of
+    ``strict_variant_peers``.
+    """
     return b.fresh(spark, d).select(
-        "source", "source_id", "observed_at", "active", F.col("model").alias("make"), F.lit("all").alias("model"), F.lit("petrol").alias("fuel"), "transmission", "seller_type", "year", "mileage_km",
-        (trend_price if trend else F.col("price_eur")).cast("bigint").alias("price_eur"), F.lit("total").alias("price_kind"), "city", F.lit("undamaged").alias("condition"), F.lit("").alias("title"), F.lit("").alias("description"),
-        F.lit("g1").alias("generation"), F.floor(F.col("source_id").cast("bigint") / ids_per_trim).cast("string").alias("trim"), F.lit(None).cast("string").alias("version_text"),
-        F.when(F.col("version_key") % 10 == 7, "minor").when(F.col("version_key") % 10 > 7, "moderate").otherwise("unknown").alias("damage_severity"),
+        "source", "source_id", "observed_at", "active", "make", F.lit("all").alias("model"), "fuel", "transmission", "seller_type", "year", "mileage_km", "price_eur", "price_kind", "city",
+        "condition", "title", "description", "generation", F.lit("base").alias("trim"), F.lit(None).cast("string").alias("version_text"), F.lit("unknown").alias("damage_severity"),
     )
 
 
 @query("price_context")
 def price_context(spark, d):
-    pairs = research.research_pairs(research.prepare(_research_rows(spark, d).drop("damage_severity"), "exploratory"), "exploratory")
+    pairs = research.research_pairs(research.prepare(_research_rows(spark, d), "exploratory"), "exploratory")
     return stats.price_context(pairs, F.col("near")).select("source", "source_id", "cohort_count", "context_count", "method", "confidence", "asking_low_eur", "asking_typical_eur", "asking_high_eur", "validation_error_eur")
 
 
-_RR = """rr as (select source, source_id, concat(model, '/', cast(cast(source_id as bigint) // 200 as string)) as make, transmission, seller_type, year, mileage_km, city, cast(trunc(price_eur / 4 + 9000 + 700 * (year - 1998) - mileage_km / 40) as bigint) as price_eur from fresh)"""
+_RR = f"""rr as (select * from fresh where {_USABLE} and condition <> 'damaged' and not {b.declared_sql("concat(title, ' ', description)", _RISK)} and fuel is not null and transmission is not null)"""
 
 
 @query("price_context_counts", b.with_asks("""select t.source, t.source_id, count(distinct (p.year, p.mileage_km, p.price_eur, p.city)) as cohort_count, count(distinct (p.year, p.mileage_km, p.price_eur, p.city)) filter (abs(t.year - p.year) <= 2 and abs(t.mileage_km - p.mileage_km) <= 40000) as context_count
- from rr t join rr p on t.make = p.make and t.transmission = p.transmission and t.seller_type = p.seller_type and (t.source <> p.source or t.source_id <> p.source_id) where t.price_eur between 1000 and 20000 and p.price_eur > 0 group by 1, 2 having context_count > 0""", _RR))
+ from rr t join rr p on t.make = p.make and t.fuel = p.fuel and t.transmission = p.transmission and t.seller_type = p.seller_type and t.generation = p.generation and (t.source <> p.source or t.source_id <> p.source_id) where t.price_eur between 1000 and 20000 group by 1, 2 having context_count > 0""", _RR))
 def price_context_counts(spark, d):
     return price_context(spark, d).select("source", "source_id", "cohort_count", "context_count")
 
@@ -103,18 +106,18 @@ def learning_summary(spark, d):
 
 @query("research_strict")
 def research_strict(spark, d):
-    return research.research_leads(_research_rows(spark, d, 2000, False), "strict").select("source", "source_id", "price_band", "comparable_count", "asking_low_eur", "gross_headroom_eur")
+    return research.research_leads(_research_rows(spark, d), "strict").select("source", "source_id", "price_band", "comparable_count", "asking_low_eur", "gross_headroom_eur")
 
 
 @query("research_exploratory")
 def research_exploratory(spark, d):
-    leads = research.research_leads(_research_rows(spark, d, 400, False), "exploratory")
+    leads = research.research_leads(_research_rows(spark, d), "exploratory")
     return research.research_selection(leads, "exploratory", 20).select("source", "source_id", "price_band", "comparable_count", "gross_headroom_eur", "selection_rank")
 
 
 @query("research_opportunities")
 def research_opportunities(spark, d):
-    leads = research.research_leads(_research_rows(spark, d, 400, False), "opportunities")
+    leads = research.research_leads(_research_rows(spark, d), "opportunities")
     return research.research_selection(leads, "opportunities", 20).select("source", "source_id", "damage_category", "price_band", "priority_score", "selection_rank")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as ident, money, text as tx
@@ -33,39 +33,66 @@ def prepare(rows: DataFrame, profile: str) -> DataFrame:
     })
 
 
-def research_pairs(prepared: DataFrame, profile: str) -> DataFrame:
-    """Targets with every peer of the same variant; ``near`` marks those inside the profile's bands."""
-    p = PROFILES[profile]
+KEEP = ("source", "source_id", "year", "mileage_km", "price_eur", "city", "version", "signature", *MATCH, *TECHNICAL)
+
+
+def _offers(prepared: DataFrame, profile: str) -> DataFrame:
+    """Listings that may be peers. Two stay per offer, since a target never is its own peer."""
     eligible = prepared.filter(F.col("reason").isNull() | (F.col("reason") == "purchase_outside_test_range"))
     pool = eligible if profile != "opportunities" else eligible.filter("damage_category = 'clean'")
-    keep = ["source", "source_id", "year", "mileage_km", "price_eur", "city", "version", "signature", *MATCH, *TECHNICAL]
-    # Reposts collapse before the join. Two stay per offer, since a target never is its own peer.
-    offers = pick_first(
-        pool.select(*keep), [c for c in keep if c not in ("source", "source_id", "signature")], [F.col("source"), F.col("source_id")], keep=2
-    )
-    targets = prepared.filter(F.col("reason").isNull() & F.col("location_issue").isNull() if "location_issue" in prepared.columns else F.col("reason").isNull())
+    return pick_first(pool.select(*KEEP), [c for c in KEEP if c not in ("source", "source_id", "signature")], [F.col("source"), F.col("source_id")], keep=2)
+
+
+def _targets(prepared: DataFrame) -> DataFrame:
+    located = F.col("location_issue").isNull() if "location_issue" in prepared.columns else F.lit(True)
+    return prepared.filter(F.col("reason").isNull() & located).select(*KEEP)
+
+
+def near_offers(prepared: DataFrame, profile: str) -> DataFrame:
+    """Distinct near offers of every target that has one, and the least of their prices.
+
+    Only offers inside the bands meet a target; version or trim tells offers apart here.
+    """
+    p = PROFILES[profile]
+    pairs = peers.band_join(_targets(prepared), _offers(prepared, profile), MATCH, {"year": p["years"], "mileage_km": p["km"]}, peers.not_self() & peers.same_variant())
+    label = F.coalesce(F.col("p_version"), F.col("p_trim")).alias("_label")
+    distinct = pairs.groupBy("source", "source_id", "price_eur", "p_year", "p_mileage_km", label, "p_price_eur", "p_city").agg(F.count(F.lit(1)))
+    return distinct.groupBy("source", "source_id", "price_eur").agg(F.count(F.lit(1)).alias("comparable_count"), F.min("p_price_eur").alias("near_low_eur"))
+
+
+def _wide_enough(low: Column, profile: str) -> Column:
+    """Whether a reference price leaves the required headroom after stress."""
+    p = PROFILES[profile]
+    room = money.whole_div(low * (100 - p["stress_pct"]), 100) - F.col("price_eur")
+    return (room >= p["headroom"]) & (room * 100 >= F.col("price_eur") * p["discount_pct"])
+
+
+def research_pairs(prepared: DataFrame, profile: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Targets (only those ``chosen``, if given) with every peer of the same variant; ``near`` marks those inside the profile's bands."""
+    p = PROFILES[profile]
+    targets = _targets(prepared)
+    if chosen is not None:
+        targets = targets.join(chosen.select("source", "source_id"), ["source", "source_id"], "left_semi")
+    offers = _offers(prepared, profile)
     right = offers.select(*[F.col(c).alias("p_" + c) for c in offers.columns])
     on = [F.col(k) == F.col("p_" + k) for k in MATCH] + [peers.not_self(), peers.same_variant()]
-    pairs = targets.select(*keep).join(right, on)
     near = (F.abs(F.col("p_year") - F.col("year")) <= p["years"]) & (F.abs(F.col("p_mileage_km") - F.col("mileage_km")) <= p["km"])
-    return pairs.withColumn("near", near)
+    return targets.join(right, on).withColumn("near", near)
 
 
 def research_leads(rows: DataFrame, profile: str = "strict") -> DataFrame:
-    """Targets with enough analogies whose stressed reference leaves the required headroom."""
+    """Targets with enough analogies whose stressed reference leaves the required headroom.
+
+    A reference never exceeds the least near price, so targets that even this price doesn't serve leave
+    before the fit: only the others meet their whole variant.
+    """
     p = PROFILES[profile]
     prepared = cut_lineage(prepare(rows, profile), "prepared")
     g = ["source", "source_id"]
-    pairs = research_pairs(prepared, profile)
-    # Distinct near offers: version or trim tells offers apart here.
-    label = F.coalesce(F.col("p_version"), F.col("p_trim"))
-    d = pairs.repartition(*g)
-    first = Window.partitionBy(*g, "p_year", "p_mileage_km", label, "p_price_eur", "p_city").orderBy(F.col("near").desc(), "p_source", "p_source_id")
-    d = d.withColumn("_one", F.when((F.row_number().over(first) == 1) & F.col("near"), 1))
-    d = d.withColumn("comparable_count", F.count("_one").over(Window.partitionBy(*g))).filter(F.col("comparable_count") >= p["min_peers"]).drop("_one")
-    d = cut_lineage(d, "pairs")
-    counts = d.groupBy(*g).agg(F.first("comparable_count").alias("comparable_count"))
-    context = stats.price_context(d.drop("comparable_count"), F.col("near"))
+    counts = near_offers(prepared, profile).filter((F.col("comparable_count") >= p["min_peers"]) & _wide_enough(F.col("near_low_eur"), profile))
+    # Two uses: who meets its variant, and how many offers it is judged by.
+    counts = cut_lineage(counts.select(*g, "comparable_count"), "chosen")
+    context = stats.price_context(research_pairs(prepared, profile, counts), F.col("near"))
     leads = prepared.join(context, g).join(counts, g)
     budget = money.feasibility(F.col("price_eur"), F.col("asking_low_eur"), F.col("confidence"))
     leads = leads.withColumns(budget)
@@ -73,8 +100,7 @@ def research_leads(rows: DataFrame, profile: str = "strict") -> DataFrame:
     leads = leads.withColumn("stressed_reference_eur", stressed).withColumn("gross_headroom_eur", F.col("stressed_reference_eur") - F.col("price_eur"))
     if profile == "opportunities":
         leads = leads.filter("passes_necessary_budget")
-    wide = (F.col("gross_headroom_eur") >= p["headroom"]) & (F.col("gross_headroom_eur") * 100 >= F.col("price_eur") * p["discount_pct"])
-    return leads.filter(wide).withColumn("price_band", money.price_band("price_eur")).withColumn(
+    return leads.filter(_wide_enough(F.col("asking_low_eur"), profile)).withColumn("price_band", money.price_band("price_eur")).withColumn(
         "headroom_ratio", F.col("gross_headroom_eur") / F.col("price_eur")
     )
 
