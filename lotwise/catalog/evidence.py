@@ -292,30 +292,43 @@ def cost_scenario(spark, d):
     return economics.cost_scenario(f).select("source", "source_id", "total_cost_low_cents", "total_cost_high_cents", "scenario_low_cents")
 
 
-_PAIR = """pairs as (select t.source, t.source_id, p.source p_source, p.source_id p_source_id, p.price_eur, p.observed_at from fresh t join fresh p on t.make = p.make and t.seller_type = p.seller_type and abs(t.year - p.year) <= 1 and abs(t.mileage_km - p.mileage_km) <= 20000
- and (t.source <> p.source or t.source_id <> p.source_id) where p.price_kind = 'total'),
- revd as (select * from (select *, row_number() over (partition by source, source_id, cast(p_source_id as bigint) % 500 order by p_source, p_source_id) rn from pairs where observed_at >= timestamp '2001-06-16' and cast(p_source_id as bigint) % 5 <> 0) where rn = 1)"""
-
-
-def _reviewed_pairs(spark, d):
+_RECENT = f"timestamp '{AT}' - interval {S.COMPARABLE_MAX_AGE_DAYS} day"
+_WEIGHT = f"cast(floor(1.0 / (1.0 + abs(ty - py) + abs(tk - pk) / 20000.0 + (epoch_us(timestamp '{AT}') - epoch_us(observed_at)) / 86400000000.0 / 30.0) * 1e9 + 0.5) as bigint)"
+_PAIR = f"""pairs as (select t.source, t.source_id, t.year ty, t.mileage_km tk, p.source p_source, p.source_id p_source_id, p.price_eur, p.observed_at, p.year py, p.mileage_km pk, cast(p.source_id as bigint) as pk_id from fresh t join fresh p on t.seller_type = p.seller_type and abs(t.year - p.year) <= 1 and abs(t.mileage_km - p.mileage_km) <= 20000
+ and (t.source <> p.source or t.source_id <> p.source_id) where p.price_kind = 'total' and p.observed_at >= {_RECENT}),
+ proven as (select *, cast(pk_id % 500 as varchar) as vehicle from pairs where pk_id % 5 <> 0 union all select *, concat('x', pk_id % 500) from pairs where pk_id % 5 <> 0 and pk_id % 97 = 0),
+ revd as (select *, {_WEIGHT} as w from (select *, row_number() over (partition by source, source_id, vehicle order by p_source, p_source_id) rn from proven) where rn = 1),
+ rungs as (select source, source_id, price_eur, sum(w) as w, sum(cast(w as decimal(19,0)) * cast(w as decimal(19,0))) as w2, count(*) as n from revd group by 1, 2, 3),
+ cum as (select *, sum(w) over (partition by source, source_id order by price_eur rows unbounded preceding) as c, sum(w) over (partition by source, source_id) as tot from rungs),
+ st as (select source, source_id, cast(sum(n) as bigint) as n, min(price_eur) filter (cast(c as double) >= cast(tot as double) * 0.25) p25, min(price_eur) filter (cast(c as double) >= cast(tot as double) * 0.5) p50, min(price_eur) filter (cast(c as double) >= cast(tot as double) * 0.75) p75,
+ cast(sum(w) as double) * cast(sum(w) as double) / cast(sum(w2) as double) as ess from cum group by 1, 2)"""
+
+
+def _reviewed(spark, d):
+    """Targets, the reviewed pairs of each and the proofs: most peers are reviewed, some with two names for one car."""
     from ..operators import peers
     from .joins import _NARROW, b_pool
 
-    f = b.fresh(spark, d)
-    pairs = peers.strict_comparables(f.select(*_NARROW, F.lit("none").alias("vehicle_id")), f.filter(b_pool()).select(*_NARROW, "observed_at"), keys=("make", "seller_type"))
+    f = b.fresh(spark, d).withColumn("vehicle_id", F.lit("none"))
+    recent = F.col("observed_at") >= at() - F.expr(f"interval {S.COMPARABLE_MAX_AGE_DAYS} days")
+    pairs = peers.strict_comparables(f.select(*_NARROW, "vehicle_id"), f.filter(b_pool() & recent).select(*_NARROW, "observed_at"), keys=("seller_type",))
     key = F.col("p_source_id").cast("bigint")
-    proofs = _checked(pairs.select(
-        "source", "source_id", "p_source", "p_source_id", "p_observed_at", (key % 500).cast("string").alias("comparable_vehicle_id"), (key % 5 != 0).alias("specifications_verified"),
-        (F.col("p_price_eur") * 100).alias("price_cents"),
+    names = F.when(key % 97 == 0, F.array((key % 500).cast("string"), F.concat(F.lit("x"), key % 500))).otherwise(F.array((key % 500).cast("string")))
+    proofs = _checked(pairs.filter(key % 5 != 0).select(
+        "source", "source_id", "p_source", "p_source_id", "p_observed_at", F.explode(names).alias("comparable_vehicle_id"), F.lit(True).alias("specifications_verified"), (F.col("p_price_eur") * 100).alias("price_cents"),
     ), F.lit(True))
-    return economics.reviewed_comparables(pairs, proofs, at(), ["source", "source_id"])
+    targets = f.select("source", "source_id", (F.col("version_key") % 3 == 0).alias("severe_controls_required"), F.when(F.col("version_key") % 7 == 0, "national").otherwise("province").alias("geographic_scope"))
+    return targets, economics.reviewed_comparables(pairs, proofs, at(), ["source", "source_id"]), proofs
 
 
-@query("comparable_audit", b.with_asks("select source, source_id, count(*) as accepted_count, min(price_eur) as lowest_eur, count(*) >= 2 as enough from revd group by 1, 2", _PAIR))
+@query("comparable_audit", b.with_asks("""select source, source_id, required_count, accepted_count, p25 as reviewed_p25_eur, p75 as reviewed_p75_eur, array_to_string(list_filter([case when clash then 'conflicting_comparable_identities' end, case when accepted_count < required_count then 'too_few_reviewed_comparables' end,
+ case when national then 'local_comparable_coverage_required' end, case when ess < required_count * 0.75 or (p75 - p25) / p50 > 0.8 then 'insufficient_effective_size_or_excessive_dispersion' end], lambda x: x is not null), ',') as blockers
+ from (select f.source, f.source_id, case when f.version_key % 3 = 0 then 20 else 12 end as required_count, f.version_key % 7 = 0 as national, coalesce(n, 0) as accepted_count, p25, p50, p75, ess,
+ exists (select 1 from pairs q where q.source = f.source and q.source_id = f.source_id and q.pk_id % 5 <> 0 and q.pk_id % 97 = 0) as clash from fresh f left join st on st.source = f.source and st.source_id = f.source_id)""", _PAIR))
 def comparable_audit(spark, d):
-    return _reviewed_pairs(spark, d).groupBy("source", "source_id").agg(
-        F.count(F.lit(1)).alias("accepted_count"), F.min("p_price_eur").alias("lowest_eur"), (F.count(F.lit(1)) >= 2).alias("enough")
-    )
+    targets, accepted, proofs = _reviewed(spark, d)
+    out = economics.comparable_gate(targets, accepted, proofs, at(), ["source", "source_id"], max_dispersion=0.8)
+    return out.select("source", "source_id", "required_count", "accepted_count", "reviewed_p25_eur", "reviewed_p75_eur", F.array_join("blocking_reasons", ",").alias("blockers"))
 
 
 @query("repaired_history_ceiling", """select k, count(*) as repaired_count, case when count(*) >= 8 then cast(quantile_disc(c, 0.25) as bigint) end as repaired_ceiling_cents from (select l_suppkey k, l_partkey v, min(cast(round(l_extendedprice * 100) as bigint)) c from lineitem where l_returnflag = 'R' and l_linenumber <> 5 group by 1, 2) group by k""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import damage, money, text as tx
 from .predicates import bounded_cost_ok, document_ok
+from .stats import benchmark_weight, weighted_quantiles
 from .temporal import pick_first
 
 KEY = ("source", "source_id", "observed_at")
@@ -259,13 +260,45 @@ def parts_card(d: DataFrame) -> DataFrame:
     })
 
 
+def _good_proofs(proofs: DataFrame, as_of: Column) -> DataFrame:
+    return proofs.filter(document_ok(as_of) & tx.present("comparable_vehicle_id"))
+
+
+def conflicting_identities(proofs: DataFrame, as_of: Column, target: Sequence[str]) -> DataFrame:
+    """Targets of which reviewers name two vehicles for one observation of a comparable."""
+    observation = [*target, "p_source", "p_source_id", "p_observed_at"]
+    named = _good_proofs(proofs, as_of).groupBy(*observation).agg(F.min("comparable_vehicle_id").alias("_lo"), F.max("comparable_vehicle_id").alias("_hi"))
+    return named.filter("_lo <> _hi").select(*target).distinct()
+
+
+def comparable_gate(targets: DataFrame, accepted: DataFrame, proofs: DataFrame, as_of: Column, target: Sequence[str], weight: Column | None = None, max_dispersion: float = 0.3) -> DataFrame:
+    """Whether reviewed comparables carry a valuation: required and accepted count, the reviewed range and what blocks it.
+
+    ``targets`` has severe_controls_required (20 vehicles instead of 12) and geographic_scope; ``accepted``
+    is what ``reviewed_comparables`` gives for ``proofs``. ``weight`` is a pair's whole-number weight, by
+    year, mileage and age unless given. The effective size must reach three quarters of the required
+    count, the quartiles' distance at most ``max_dispersion`` of the median.
+    """
+    stats = weighted_quantiles(accepted, target, "p_price_eur", benchmark_weight(as_of) if weight is None else weight)
+    conflicts = conflicting_identities(proofs, as_of, target).withColumn("_conflict", F.lit(True))
+    d = targets.join(stats, list(target), "left").join(conflicts, list(target), "left")
+    required = F.when(F.col("severe_controls_required"), S.STRESS["severe"]["comparables"]).otherwise(S.STRESS["ordinary"]["comparables"])
+    d = d.withColumns({"required_count": required, "accepted_count": F.coalesce("comparable_count", F.lit(0))})
+    thin = (F.col("effective_sample_size") < F.col("required_count") * 0.75) | ((F.col("p75") - F.col("p25")) / F.col("p50") > max_dispersion)
+    blockers = tx.labels(
+        conflicting_comparable_identities=F.col("_conflict"), too_few_reviewed_comparables=F.col("accepted_count") < F.col("required_count"),
+        local_comparable_coverage_required=~F.col("geographic_scope").eqNullSafe(F.lit("province")), insufficient_effective_size_or_excessive_dispersion=thin,
+    )
+    return d.withColumn("blocking_reasons", blockers).withColumnsRenamed({"p25": "reviewed_p25_eur", "p75": "reviewed_p75_eur"}).drop("comparable_count", "p50", "_conflict")
+
+
 def reviewed_comparables(pairs: DataFrame, proofs: DataFrame, as_of: Column, target: Sequence[str]) -> DataFrame:
     """Peer pairs backed by a reviewed identity, at most 14 days old, one per physical vehicle.
 
     ``proofs``: target key columns, p_source, p_source_id, p_observed_at, comparable_vehicle_id,
     specifications_verified, price_cents and the document columns.
     """
-    good = proofs.filter(document_ok(as_of) & tx.present("comparable_vehicle_id") & F.col("specifications_verified"))
+    good = _good_proofs(proofs, as_of).filter("specifications_verified")
     key = [*target, "p_source", "p_source_id", "p_observed_at"]
     d = pairs.join(good.select(*key, "comparable_vehicle_id", "price_cents"), key)
     recent = F.col("p_observed_at").between(as_of - F.expr(f"interval {S.COMPARABLE_MAX_AGE_DAYS} days"), as_of)
