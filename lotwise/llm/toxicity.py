@@ -120,7 +120,8 @@ def _select_features(sample: DataFrame, n_features: int, least_texts: int) -> tu
                 all_texts.update(present)
                 if label:
                     toxic.update(present)
-            yield pd.DataFrame({"feature": list(all_texts), "n": list(all_texts.values()), "n_toxic": [toxic[f] for f in all_texts]})
+            if all_texts:  # texts without words have no features
+                yield pd.DataFrame({"feature": list(all_texts), "n": list(all_texts.values()), "n_toxic": [toxic[f] for f in all_texts]})
 
     totals = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lotwise.llm import simhash, toxicity
+from lotwise.llm import toxicity
 from lotwise.session import cut_lineage
 
 from .conftest import SF
@@ -67,14 +67,19 @@ def test_repeated_lines_go(tables):
 
 
 def test_one_of_each_group_stays(tables):
+    """Groups by Jaccard similarity of five-word shingles, over all pairs."""
     before, after = rows(tables[2]), rows(tables[3])
     ids = sorted(before)
-    bits = np.array([simhash.fingerprint(before[d]["text"]) for d in ids], np.uint64)
+    sets = []
+    for d in ids:
+        w = before[d]["text"].lower().encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     group = list(range(len(ids)))
-    for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(bits[i] ^ bits) <= 3).tolist():
-            a, b = group[i], group[j]
-            group = [min(a, b) if g in (a, b) else g for g in group]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                p, q = sorted((group[i], group[j]))
+                group = [p if g == q else g for g in group]
     assert set(after) == {ids[g] for g in set(group)}
 
 
@@ -98,3 +103,26 @@ def test_packed_documents_are_whole(tables):
     for r in tables[5].collect():
         got[r["doc_id"]] += r["length"]
     assert got == {d: len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for d, r in rows(tables[4]).items()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, repeats and names that the stages use inside."""
+    rows = [(1, None), (2, ""), (None, "no id\nhere"), (None, None), (4, "a plain text that is long enough to stay"), (4, "a plain text that is long enough to stay"), (5, "word " * 2000)]
+    names = ("score", "predicted", "n_lines", "n_repeated", "n_near", "node", "root", "contaminated", "line")
+    return spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names)).repartition(2)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_odd_rows_and_names(spark, odd, name, stage):
+    out = stage(spark, odd, SF)
+    assert out.columns == odd.columns
+    rows = out.collect()
+    assert {tuple(r[c] for c in odd.columns[2:]) for r in rows} == {tuple(range(9))}
+    # Two groups of copies: the three texts without words, and the repeated row.
+    assert len(rows) == (4 if name == "simhash_dedup" else 7)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_an_empty_table(spark, odd, name, stage):
+    assert stage(spark, odd.limit(0), SF).collect() == []
