@@ -87,8 +87,46 @@ def text_claims(spark, d):
     return a.select("doc_id", F.explode(F.concat(*parts)).alias("c")).select("doc_id", "c.*").groupBy("doc_id", "field", "value").agg(F.count(F.lit(1)).alias("mentions"))
 
 
-@query("mileage_claims", b.with_adverts(r"""select doc_id, array_to_string(list_sort(list_distinct(list_filter([case when phrases like '%120.000 km%' and not regexp_matches(phrases, '(tagliando|batteria|sostituita).{0,45}120\.000 km') then 120000 end,
- case when phrases like '%km 85000%' and not regexp_matches(phrases, '(tagliando|batteria|sostituita).{0,45}km 85000') then 85000 end], lambda x: x is not null))), ',') as km from adverts"""))
+# Oracle text: the whole text in ASCII, character by character, so that word edges are those of Unicode. Other letters
+# and digits are x, other spaces a space, other marks an exclamation mark; paragraph and section marks are free.
+BOUND = r"\b"
+_SPACE = r"[ \t\n\x0B\f\r]"
+
+
+def _plain_sql(text: str) -> str:
+    out = f"translate({text}, '\u212a\u017f\u0130\u0131\u0085\u2028\u2029', 'ksii' || repeat(chr(10), 3))"
+    for found, instead in ((r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]", " "), (r"[^\x00-\x7F\pL\pM\p{Nd}\p{Pc}]", "!"), (r"[^\x00-\x7F]", "x")):
+        out = f"regexp_replace({out}, '{found}', '{instead}', 'g')"
+    return out
+
+
+def _unpreceded_sql(text: str, pattern: str, window: int, ending: str) -> str:
+    """The second group of every match of ``pattern``, if the ``window`` characters before it don't end with ``ending``.
+
+    The first group is what stands before the match and isn't part of it. Matches are set between section
+    marks; pieces at even places are the matches.
+    """
+    pieces = f"string_split(regexp_replace({text}, '{pattern}', '\\1§\\2§', 'g'), '§')"
+    before = f"right(replace(array_to_string(pieces[1:2 * i - 1], ''), '¶', ''), {window})"
+    return f"list_transform([{pieces}], lambda pieces: list_transform(list_filter(range(1, len(pieces) // 2 + 1), lambda i: not regexp_matches({before}, '(?i){ending}')), lambda i: pieces[2 * i]))[1]"
+
+
+_KM_NUMBER = "(?:[0-9]{1,3}(?:[ .][0-9]{3})+|[0-9]{4,7})"
+_KM_SERVICE = r"(?:distribuzion\w*|cinghia|tagliando|sostituit\w*|cambiat\w*|motore rifatto|batteria)[^\n\r]{0,45}\r?\n?$"
+# A paragraph mark after a digit: neither a digit nor a point or comma and a digit follow. It is no word's edge.
+_KM_ENDED = "regexp_replace(regexp_replace(plain, '([0-9])([^0-9.,]|$)', '\\1¶\\2', 'g'), '([0-9])([.,])([^0-9]|$)', '\\1¶\\2\\3', 'g')"
+_KM_CLAIMS = " || ".join(
+    f"list_transform({_unpreceded_sql(text, '(?i)' + pattern, 70, _KM_SERVICE)}, lambda v: cast(regexp_replace(v, '[^0-9]', '', 'g') as bigint) * {factor})"
+    for text, pattern, factor in (
+        ("plain", rf"(^|[^0-9])({_KM_NUMBER}{_SPACE}*(?:km|chilometri|kilometri)){BOUND}", 1),
+        (_KM_ENDED, rf"(^|[^¶\w])((?:km|chilometri|kilometri){_SPACE}*[:=]?{_SPACE}*(?:[0-9]{{1,3}}(?:(?:¶ |[.])[0-9]{{3}})+|[0-9]{{4,7}})¶)", 1),
+        ("plain", rf"(^|[^0-9])([0-9]{{1,3}}{_SPACE}*(?:mila|k){_SPACE}*(?:km|chilometri)){BOUND}", 1000),
+    )
+)
+
+
+@query("mileage_claims", b.with_adverts(f"""select doc_id, array_to_string(list_sort(list_distinct(list_filter({_KM_CLAIMS}, lambda v: v between 0 and 1000000))), ',') as km
+ from (select doc_id, {_plain_sql("description")} as plain from adverts)"""))
 def mileage_claims(spark, d):
     return b.adverts(spark, d).select("doc_id", F.array_join(F.transform(ident.mileage_claims("description"), lambda v: v.cast("string")), ",").alias("km"))
 
