@@ -131,9 +131,13 @@ def mileage_claims(spark, d):
     return b.adverts(spark, d).select("doc_id", F.array_join(F.transform(ident.mileage_claims("description"), lambda v: v.cast("string")), ",").alias("km"))
 
 
-@query("fuel_claims", b.with_adverts("""select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_append(case when said = ['petrol', 'lpg'] then ['petrol_lpg'] else said end,
- case fuel when 'benzina' then 'petrol' when 'gasolio' then 'diesel' end), lambda x: x is not null))), ',') as fuels from (select doc_id, fuel, list_filter([case when phrases like '%benzina e gpl%' then 'petrol' end,
- case when phrases like '%benzina e gpl%' then 'lpg' end, case when phrases like '%diesel%' then 'diesel' end, case when phrases like '%elettrica%' then 'electric' end], lambda x: x is not null) as said from adverts)"""))
+_FUEL_WORDS = {"cng": "metano", "diesel": "diesel|gasolio", "electric": "elettrica|elettrico|electric", "lpg": "gpl", "petrol": "benzina|petrol|gasoline"}
+_SAID = ", ".join(f"case when {_unpreceded_sql('plain', rf'(?i)()({BOUND}(?:{words})){BOUND}', 20, rf'{BOUND}(?:non|no|senza){_SPACE}*$')} <> [] then '{fuel}' end" for fuel, words in _FUEL_WORDS.items())
+
+
+@query("fuel_claims", b.with_adverts(f"""select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_append(case said when ['lpg', 'petrol'] then ['petrol_lpg'] when ['cng', 'petrol'] then ['petrol_cng'] else said end,
+ case fuel when 'benzina' then 'petrol' when 'gasolio' then 'diesel' end), lambda x: x is not null))), ',') as fuels from (select doc_id, fuel, list_filter([{_SAID}], lambda x: x is not null) as said
+ from (select doc_id, fuel, {_plain_sql("concat(title, ' ', description)")} as plain from adverts))"""))
 def fuel_claims(spark, d):
     fuels = ident.fuel_claims(tx.full_text("title", "description"), F.col("fuel"))
     return b.adverts(spark, d).select("doc_id", F.array_join(fuels, ",").alias("fuels"))
