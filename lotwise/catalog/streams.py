@@ -44,7 +44,9 @@ def _pages(spark, d):
         F.concat(F.lit('{"country":"'), F.when(k % 29 == 0, "FR").otherwise("IT"), F.lit('","price_eur":'), F.when(k % 31 == 0, '"7"').otherwise("7"), F.lit("}")).alias("payload"),
     )
     page = F.floor(k / 50)
-    pages = e.select(F.col("event_type").alias("source"), page.alias("page"), record.alias("r")).groupBy("source", "page").agg(F.collect_list("r").alias("records"))
+    # By event, so that a page collected again has the same records in the same order.
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "r")))
+    pages = e.select("event_id", F.col("event_type").alias("source"), page.alias("page"), record.alias("r")).groupBy("source", "page").agg(rows["r"].alias("records"))
     cursor = F.concat(F.lit("c"), F.col("page").cast("string"))
     return pages.select(
         "source", F.lit("run").alias("run_id"), F.col("page").cast("string").alias("page_id"), F.lit("initial").alias("mode"), F.lit('{"country":"IT"}').alias("scope"),
@@ -55,6 +57,9 @@ def _pages(spark, d):
 _PAGE_SQL = """select event_type as source, count(distinct event_id // 50) as pages, count(*) filter (event_id % 13 <> 0 and event_id % 29 <> 0 and event_id % 31 <> 0) as accepted,
  count(*) filter (event_id % 13 = 0 or event_id % 29 = 0 or event_id % 31 = 0) as rejected from events group by 1"""
 
+# Stored events are told apart by source, listing and time; what is refused is kept whole.
+_STORED_SQL = _PAGE_SQL.replace("count(*) filter (event_id % 13 <> 0", "count(distinct (user_id, ts)) filter (event_id % 13 <> 0", 1)
+
 
 def _ingested(spark, d, repeats=1):
     source, checkpoint = shared_folder(spark, "pages"), shared_folder(spark, "pages-log")
@@ -71,7 +76,7 @@ def page_ingestion(spark, d):
     return m.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
 
 
-@query("page_ingestion_twice", _PAGE_SQL)
+@query("page_ingestion_twice", _STORED_SQL)
 def page_ingestion_twice(spark, d):
     """The same pages collected again change nothing."""
     store = _ingested(spark, d, repeats=2)
