@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import peers, temporal
-from ..session import shared_folder
+from ..operators import temporal
+from ..session import cut_lineage, shared_folder
 from ..streaming import incremental, ingest, state
 from . import base as b
 from .base import query
@@ -118,10 +118,10 @@ def _signed(spark, d, moment):
     """Fresh listings at a moment with their own and their basis signature."""
     at = F.lit(moment).cast("timestamp")
     f = temporal.fresh(temporal.latest_as_of(b.asks(spark, d), at, ties=b.TIES), at, b.WINDOW_DAYS)
-    pool = f.filter("price_kind = 'total'").select(*_FIELDS, "make", "model")
-    signed = incremental.with_signature(f)
-    pairs = peers.strict_comparables(f.select(*_FIELDS, "make", "model"), pool, keys=("source", "make", "model"))
-    return incremental.basis_signatures(signed, pairs, _FIELDS)
+    # Read as targets, as places and as cells.
+    f = cut_lineage(f, "fresh")
+    serves = F.col("price_kind") == "total"
+    return incremental.near_basis_signatures(incremental.with_signature(f), f.filter(serves), _FIELDS, match=("source", "make", "model"), in_pool=serves)
 
 
 def _at_sql(name: str, moment: str) -> str:

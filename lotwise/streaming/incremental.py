@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.documents import signature
-from ..operators.peers import cell_key
+from ..operators.peers import band_join, cell_key
 from ..operators.temporal import KEY, pick_first
 
 STABLE = (
@@ -32,11 +32,35 @@ def basis_signatures(targets: DataFrame, pairs: DataFrame, peer_fields: Sequence
     basis = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(20,0)")).alias("_s"), F.bit_xor(h).alias("_x")
     )
-    joined = targets.join(basis, list(keys), "left")
+    return _signed(targets.join(basis, list(keys), "left"))
+
+
+def _signed(joined: DataFrame) -> DataFrame:
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("_n", "_s", "_x")])
     return joined.withColumn("basis_signature", F.sha2(text, 256)).withColumn("basis_count", F.coalesce("_n", F.lit(0))).drop("_n", "_s", "_x")
 
 
+def near_basis_signatures(
+    targets: DataFrame, pool: DataFrame, peer_fields: Sequence[str], *, match: Sequence[str], in_pool: Column, years: int = 1, km: int = 20_000,
+) -> DataFrame:
+    """``basis_signatures`` of the strict comparables within the band, without a row for each pair.
+
+    Count, sum and xor of a position's peers come from cells of (match, year, mileage); a target that is
+    itself in the pool (``in_pool``) is taken out of all three again.
+    """
+    place = [*match, "year", "mileage_km"]
+    h = F.xxhash64(cell_key(peer_fields))
+    cells = pool.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x"))
+    met = band_join(targets.select(*place).distinct(), cells, list(match), {"year": years, "mileage_km": km})
+    basis = met.groupBy(*place).agg(F.sum("p_n").alias("_n"), F.sum("p_s").alias("_s"), F.bit_xor("p_x").alias("_x"))
+    own = F.when(F.col("_n").isNotNull() & F.coalesce(in_pool, F.lit(False)), h)
+    left = F.col("_n") - F.when(own.isNotNull(), 1).otherwise(0)
+    one = targets.join(basis.hint("merge"), place, "left").withColumns({
+        "_n": F.when(left > 0, left), "_s": F.when(left > 0, F.col("_s") - F.coalesce(own.cast("decimal(20,0)"), F.lit(0))), "_x": F.when(left > 0, F.col("_x").bitwiseXOR(F.coalesce(own, F.lit(0)))),
+    })
+    return _signed(one).select(*targets.columns, "basis_signature", "basis_count")
+
+
 def latest_reviews(reviews: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Newest review per listing; the higher id wins at equal time."""
     return pick_first(reviews, keys, [F.col("as_of").desc(), F.col("id").desc()])
