@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as ident, money, text as tx
 from ..functions.damage import risky, with_damage
-from ..operators import peers, predicates, selection, stats
+from ..operators import contexts, peers, predicates, selection
 from ..operators.temporal import pick_first
 from ..schema import PROFILES
 from ..session import cut_lineage
@@ -80,6 +80,15 @@ def research_pairs(prepared: DataFrame, profile: str, chosen: DataFrame | None =
     return targets.join(right, on).withColumn("near", near)
 
 
+def research_contexts(prepared: DataFrame, profile: str, chosen: DataFrame | None = None) -> DataFrame:
+    """``stats.price_context`` over ``research_pairs``, without a row for each pair."""
+    p = PROFILES[profile]
+    targets = _targets(prepared)
+    if chosen is not None:
+        targets = targets.join(chosen.select("source", "source_id"), ["source", "source_id"], "left_semi")
+    return contexts.variant_contexts(targets, _offers(prepared, profile), match=MATCH, attributes=[c for c in KEEP if c not in ("source", "source_id")], years=p["years"], km=p["km"])
+
+
 def research_leads(rows: DataFrame, profile: str = "strict") -> DataFrame:
     """Targets with enough analogies whose stressed reference leaves the required headroom.
 
@@ -92,7 +101,7 @@ def research_leads(rows: DataFrame, profile: str = "strict") -> DataFrame:
     counts = near_offers(prepared, profile).filter((F.col("comparable_count") >= p["min_peers"]) & _wide_enough(F.col("near_low_eur"), profile))
     # Two uses: who meets its variant, and how many offers it is judged by.
     counts = cut_lineage(counts.select(*g, "comparable_count"), "chosen")
-    context = stats.price_context(research_pairs(prepared, profile, counts), F.col("near"))
+    context = research_contexts(prepared, profile, counts)
     leads = prepared.join(context, g).join(counts, g)
     budget = money.feasibility(F.col("price_eur"), F.col("asking_low_eur"), F.col("confidence"))
     leads = leads.withColumns(budget)
