@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .peers import cell_key, same_variant
+from .peers import band_join, cell_key, same_variant
 from .stats import context_judgement
 from .temporal import pick_first
 
@@ -25,6 +25,7 @@ STEP_FIGURES = 1 << 18
 
 FACTS = "case string, cohort_count long, relative_error double, adopted boolean, b1 double, b2 double, _mae double, context_count long, asking_low_eur long, asking_typical_eur long, asking_high_eur long"
 OWN = ("_own_source", "_own_id")
+PLACE = ("year", "mileage_km", "price_eur", "city")
 
 
 def listing_key(source: str, source_id: str) -> Column:
@@ -131,30 +132,52 @@ def _block_of(years: int, km: int):
     return judge
 
 
-def variant_contexts(targets: DataFrame, offers: DataFrame, *, match: Sequence[str], attributes: Sequence[str], years: int, km: int) -> DataFrame:
-    """``stats.price_context`` of every target among the ``offers`` of its variant that aren't its own listing.
+def _named(targets: DataFrame, offers: DataFrame, match: Sequence[str], attributes: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Targets with their case, the cases, the families of targets with those of the offers they accept, and the offers.
 
-    ``match`` columns must be equal, the rest of a variant is ``peers.same_variant``; ``attributes`` are all
-    columns a peer search reads, ``match``, year, mileage_km, price_eur, city and version among them. Offers lie
-    near within ``years`` and ``km``.
+    Families agree on all ``attributes`` but the place; families meet, and listings follow by the family's name.
     """
-    place = ("year", "mileage_km", "price_eur", "city")
-    family = [c for c in attributes if c not in place]
-    flat = lambda df: df.withColumn("_family", cell_key(family))
-    offers = cut_lineage(flat(offers.select("source", "source_id", *attributes)), "offers")
+    family = [c for c in attributes if c not in PLACE]
+    flat = lambda df: df.select("source", "source_id", *attributes).withColumn("_family", cell_key(family))
+    offers = cut_lineage(flat(offers), "offers")
     mine = offers.select("source", "source_id", F.col("source").alias("_own_source"), F.col("source_id").alias("_own_id")).hint("merge")
-    named = flat(targets.select("source", "source_id", *attributes)).join(mine, ["source", "source_id"], "left")
+    named = flat(targets).join(mine, ["source", "source_id"], "left")
     named = cut_lineage(named.withColumn("case", cell_key([*attributes, *OWN])), "named")
     cases = named.groupBy("case", "_family", "year", "mileage_km", *OWN).agg(F.count(F.lit(1))).withColumn("own", F.when(F.col("_own_id").isNotNull(), listing_key(*OWN)))
-
-    # Families of targets meet families of offers, by the fields they agree on; listings follow by the family's name.
     left = named.groupBy("_family", *family).agg(F.count_distinct("case").alias("_cases"))
     right = offers.select("_family", *family).distinct()
     right = right.select(*[F.col(c).alias("p_" + c) for c in right.columns])
     agree = [F.col(c) == F.col("p_" + c) for c in match] + [same_variant()]
     met = left.join(right.hint("merge"), agree).select("_family", F.col("p__family").alias("_other"), F.ceil(F.col("_cases") / BLOCK_CASES).cast("int").alias("_blocks"))
-    met = cut_lineage(met, "families")
-    listed = offers.select(F.col("_family").alias("_other"), F.col("source").alias("p_source"), F.col("source_id").alias("p_source_id"), listing_key("source", "source_id").alias("key"), *[F.col(c).alias("p_" + c) for c in (*place, "version")])
+    return named, cases, cut_lineage(met, "families"), offers
+
+
+def near_counts(targets: DataFrame, offers: DataFrame, *, match: Sequence[str], attributes: Sequence[str], years: int, km: int) -> DataFrame:
+    """Number and least price of the distinct offers near each target that has one.
+
+    Version or trim tells offers apart here. Offers are made distinct before they meet the cases, so a pair is
+    counted where it arises and no row of it is written.
+    """
+    named, cases, met, offers = _named(targets, offers, match, attributes)
+    listed = offers.select(F.col("_family").alias("_other"), "source", "source_id", *PLACE, F.coalesce("version", "trim").alias("label"))
+    offer = ["_family", "year", "mileage_km", "label", "price_eur", "city"]
+    two = pick_first(met.select("_family", "_other").join(listed.hint("merge"), "_other"), offer, [F.col("source"), F.col("source_id")], keep=2)
+    distinct = two.groupBy(*offer).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("source", "source_id")).alias("lead"))
+    alone = (F.col("p_copies") == 1) & F.coalesce((F.col("p_lead.source") == F.col("_own_source")) & (F.col("p_lead.source_id") == F.col("_own_id")), F.lit(False))
+    pairs = band_join(cases.select("case", "_family", "year", "mileage_km", *OWN), distinct, ["_family"], {"year": years, "mileage_km": km}, ~alone)
+    counts = pairs.groupBy("case").agg(F.count(F.lit(1)).alias("comparable_count"), F.min("p_price_eur").alias("near_low_eur"))
+    return named.select("source", "source_id", "price_eur", "case").join(counts.hint("merge"), "case").drop("case")
+
+
+def variant_contexts(targets: DataFrame, offers: DataFrame, *, match: Sequence[str], attributes: Sequence[str], years: int, km: int) -> DataFrame:
+    """``stats.price_context`` of every target among the ``offers`` of its variant that aren't its own listing.
+
+    ``match`` columns must be equal, the rest of a variant is ``peers.same_variant``; ``attributes`` are all
+    columns a peer search reads, ``match``, year, mileage_km, price_eur, city and version among them. Offers lie
+    near within ``years`` and ``km``.
+    """
+    named, cases, met, offers = _named(targets, offers, match, attributes)
+    listed = offers.select(F.col("_family").alias("_other"), F.col("source").alias("p_source"), F.col("source_id").alias("p_source_id"), listing_key("source", "source_id").alias("key"), *[F.col(c).alias("p_" + c) for c in (*PLACE, "version")])
     repost = ["_family", "p_year", "p_mileage_km", "p_price_eur", "p_city", "p_version"]
     # One listing stands for its reposts, the next one where that is the target's own.
     some = pick_first(met.join(listed.hint("merge"), "_other"), repost, [F.col("p_source"), F.col("p_source_id")], keep=2)

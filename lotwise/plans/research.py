@@ -34,6 +34,7 @@ def prepare(rows: DataFrame, profile: str) -> DataFrame:
 
 
 KEEP = ("source", "source_id", "year", "mileage_km", "price_eur", "city", "version", "signature", *MATCH, *TECHNICAL)
+SEARCHED = [c for c in KEEP if c not in ("source", "source_id")]
 
 
 def _offers(prepared: DataFrame, profile: str) -> DataFrame:
@@ -54,10 +55,7 @@ def near_offers(prepared: DataFrame, profile: str) -> DataFrame:
     Only offers inside the bands meet a target; version or trim tells offers apart here.
     """
     p = PROFILES[profile]
-    pairs = peers.band_join(_targets(prepared), _offers(prepared, profile), MATCH, {"year": p["years"], "mileage_km": p["km"]}, peers.not_self() & peers.same_variant())
-    label = F.coalesce(F.col("p_version"), F.col("p_trim")).alias("_label")
-    distinct = pairs.groupBy("source", "source_id", "price_eur", "p_year", "p_mileage_km", label, "p_price_eur", "p_city").agg(F.count(F.lit(1)))
-    return distinct.groupBy("source", "source_id", "price_eur").agg(F.count(F.lit(1)).alias("comparable_count"), F.min("p_price_eur").alias("near_low_eur"))
+    return contexts.near_counts(_targets(prepared), _offers(prepared, profile), match=MATCH, attributes=SEARCHED, years=p["years"], km=p["km"])
 
 
 def _wide_enough(low: Column, profile: str) -> Column:
@@ -86,7 +84,7 @@ def research_contexts(prepared: DataFrame, profile: str, chosen: DataFrame | Non
     targets = _targets(prepared)
     if chosen is not None:
         targets = targets.join(chosen.select("source", "source_id"), ["source", "source_id"], "left_semi")
-    return contexts.variant_contexts(targets, _offers(prepared, profile), match=MATCH, attributes=[c for c in KEEP if c not in ("source", "source_id")], years=p["years"], km=p["km"])
+    return contexts.variant_contexts(targets, _offers(prepared, profile), match=MATCH, attributes=SEARCHED, years=p["years"], km=p["km"])
 
 
 def research_leads(rows: DataFrame, profile: str = "strict") -> DataFrame:

@@ -55,3 +55,13 @@ def test_copies_of_an_offer(spark, prepared):
 def test_median_of_masked_values():
     got = contexts._middle(np.array([[3.0, 1.0, 9.0, 2.0], [5.0, 0.0, 0.0, 0.0], [1.0, 1.0, 1.0, 1.0]]), np.array([[1, 1, 0, 1], [1, 0, 0, 0], [0, 0, 0, 0]], bool))
     assert list(got[:2]) == [2.0, 5.0] and np.isnan(got[2])
+
+
+@pytest.mark.parametrize("profile", ["strict", "exploratory"])
+def test_near_counts_equal_distinct_pairs(prepared, profile):
+    pairs = research.research_pairs(prepared, profile).filter("near")
+    offer = F.struct("p_year", "p_mileage_km", F.coalesce("p_version", "p_trim").alias("label"), "p_price_eur", "p_city")
+    # collect_set keeps a struct that holds a null.
+    want = pairs.groupBy("source", "source_id", "price_eur").agg(F.size(F.collect_set(offer)).alias("comparable_count"), F.min("p_price_eur").alias("near_low_eur"))
+    plain = lambda d: sorted(tuple(r[c] for c in ("source", "source_id", "price_eur", "comparable_count", "near_low_eur")) for r in d.collect())
+    assert plain(research.near_offers(prepared, profile)) == plain(want) and want.count() > 100
