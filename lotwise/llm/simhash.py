@@ -41,10 +41,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         spans = zip(starts, ends[shingle - 1 :], strict=False)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of 64-bit hashes; 0 for none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)], "<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
