@@ -117,7 +117,7 @@ _FIELDS = ("source", "source_id", "observed_at", "price_eur", "year", "mileage_k
 def _signed(spark, d, moment):
     """Fresh listings at a moment with their own and their basis signature."""
     at = F.lit(moment).cast("timestamp")
-    f = temporal.fresh(temporal.latest_as_of(b.asks(spark, d), at, ties=b.TIES), at, b.WINDOW_DAYS)
+    f = temporal.fresh(b.latest_asks(spark, d, at), at, b.WINDOW_DAYS)
     # Read as targets, as places and as cells.
     f = cut_lineage(f, "fresh")
     serves = F.col("price_kind") == "total"
