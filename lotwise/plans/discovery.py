@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as ident, money, scoring, text as tx
 from ..functions.damage import with_damage
 from ..functions.terms import amount_usable
-from ..operators import peers, predicates, stats
+from ..operators import broad, peers, predicates, stats
 from ..operators.temporal import pick_first
 from ..session import cut_lineage
 
@@ -29,19 +29,16 @@ def prepare(rows: DataFrame) -> DataFrame:
     return d
 
 
-def screen_cells(cells: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Signal and conservative screen of every offer cell."""
-    signal = stats.broad_signal(peers.broad_peer_cells(cells, targets))
-    left = (cells if targets is None else targets).withColumn("cell", peers.cell_key(peers.BROAD_CELL))
-    d = left.join(signal.drop("price_eur"), "cell")
-    close = F.col("close_count")
+def screen_cells(cells: DataFrame) -> DataFrame:
+    """Signal and conservative screen of every offer cell that has a signal."""
+    d = stats.with_broad_signal(broad.broad_facts(cells))
     screen = stats.conservative_screen(
-        F.col("price_eur"), F.col("lowest.price"), close,
+        F.col("price_eur"), F.col("lowest_close_eur"), F.col("close_count"),
         fuel_known=F.col("fuel").isNotNull() & (F.col("_no_fuel") == 0),
         gearbox_known=F.col("transmission").isNotNull() & (F.col("_no_gear") == 0),
         conflicts=F.lit(False), clean=F.col("damage_group") == "clean",
     )
-    return d.withColumns(screen).drop("_no_fuel", "_no_gear", "lowest")
+    return d.withColumns(screen).drop("_no_fuel", "_no_gear")
 
 
 def discovery_leads(rows: DataFrame, as_of: Column) -> DataFrame:
