@@ -150,10 +150,9 @@ def append_only_sink(spark, d):
     a = b.asks(spark, d).withColumn("content", F.col("price_eur").cast("string"))
     path = shared_folder(spark, "events")
     schema = a.select("source", "source_id", "observed_at", "content").schema
-    keep = ["source", "source_id", "observed_at", "content"]
     for part in ("version_key % 2 = 1", "version_key % 2 = 0"):
         stored = sinks.read_or_empty(spark, path, schema)
-        sinks.append_new(sinks.event_outcomes(a.filter(part), stored, "content", ["version_key", "cents"]).select(*keep, "outcome", "arrivals"), path)
+        sinks.append_new(sinks.new_events(a.filter(part), stored, "content", ["version_key", "cents"]), path)
     return spark.read.schema(schema).parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -47,9 +47,22 @@ def event_outcomes(
     return d.withColumn("outcome", outcome).drop("_hash", "_first", "_stored", "_at")
 
 
-def append_new(outcomes: DataFrame, path: str) -> None:
-    """Append the new events, partitioned by source."""
-    outcomes.filter("outcome = 'new'").drop("outcome", "arrivals").write.mode("append").partitionBy("source").parquet(path)
+def new_events(incoming: DataFrame, stored: DataFrame, content: str, order: Sequence[str], keys: Sequence[str] = EVENT_KEY) -> DataFrame:
+    """First content of each unseen key: the rows that ``event_outcomes`` calls new, without judging the others.
+
+    An unknown part of a key is a value of its own, and so is unknown content.
+    """
+    first = incoming.groupBy(*keys).agg(F.min_by(content, F.struct(*order)).alias(content))
+    seen = stored.select(*[F.col(k).alias("_" + k) for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_" + k))
+    return first.join(seen.hint("merge"), same, "left_anti")
+
+
+def append_new(events: DataFrame, path: str) -> None:
+    """Append new events, partitioned by source."""
+    events.write.mode("append").partitionBy("source").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
